@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terrane.llm import pieces
+from terrane.llm import cosine, mixing, pieces, quality, simhash
 from terrane.llm.shared import tables
 
 
@@ -14,11 +15,40 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def fold(parts: int) -> Column:
+    """CRC-32 of doc_id as text, modulo `parts`."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+def op2_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosine.near_duplicates(spark, tables(spark, sf_dir, "embeddings"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(spark, tables(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels")
+    found = quality.scores(spark, docs, labels, fold(3) != 1)
+    return found.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(spark, tables(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_documents(tables(spark, sf_dir, "documents"), piece_model())
 
 
 QUERIES = {
+    "op2_cosine": op2_cosine,
+    "op7_mixing": op7_mixing,
+    "op8_quality": op8_quality,
+    "op9_simhash": op9_simhash,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
