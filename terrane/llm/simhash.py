@@ -82,7 +82,7 @@ def links(classes: DataFrame, most: int = 4, block: int = BLOCK) -> DataFrame:
         for table in whole_groups(batches, ["bucket", "i", "j"]):
             a, b = _forest(table, most)
             reps = table.column("rep").combine_chunks()
-            yield pa.RecordBatch.from_arrays([reps.take(pa.array(a)), reps.take(pa.array(b))], names=["src", "dst"])
+            yield pa.RecordBatch.from_arrays([reps.take(pa.array(a, pa.int64())), reps.take(pa.array(b, pa.int64()))], names=["src", "dst"])
 
     return ordered.mapInArrow(run, f"src {kind}, dst {kind}").distinct()
 
