@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import cosine, mixing, pieces, quality, simhash
+from terrane.llm import cosine, mixing, pieces, quality, simhash, substrings
 from terrane.llm.shared import tables
 
 
@@ -24,6 +24,11 @@ def op2_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine.near_duplicates(spark, tables(spark, sf_dir, "embeddings"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.deduplicated(spark, tables(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(spark, tables(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -46,6 +51,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_cosine": op2_cosine,
+    "op5_substrings": op5_substrings,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
