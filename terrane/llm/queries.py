@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import cosine, mixing, pieces, quality, simhash, substrings
+from terrane.llm import cosine, mixing, phrases, pieces, quality, simhash, substrings
 from terrane.llm.shared import tables
 
 
@@ -20,6 +20,10 @@ def fold(parts: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % parts
 
 
+def op1_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.compared(spark, tables(spark, sf_dir, "documents"))
+
+
 def op2_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine.near_duplicates(spark, tables(spark, sf_dir, "embeddings"))
 
@@ -50,6 +54,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_phrases": op1_phrases,
     "op2_cosine": op2_cosine,
     "op5_substrings": op5_substrings,
     "op7_mixing": op7_mixing,
