@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import cosine, mixing, phrases, pieces, quality, simhash, substrings
+from terrane.llm import cosine, language, mixing, phrases, pieces, quality, simhash, substrings
 from terrane.llm.shared import tables
 
 
@@ -28,6 +28,11 @@ def op2_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine.near_duplicates(spark, tables(spark, sf_dir, "embeddings"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.languages(spark, tables(spark, sf_dir, "documents"), fold(4) != 2)
+    return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.deduplicated(spark, tables(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -56,6 +61,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_phrases": op1_phrases,
     "op2_cosine": op2_cosine,
+    "op4_language": op4_language,
     "op5_substrings": op5_substrings,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
