@@ -143,3 +143,20 @@ def scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Colum
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.score(x))], names=["doc_id", "score"])
 
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) -> DataFrame:
+    """The rows of `docs`, with their columns, whose score is `least` or more; learnt from all labelled rows.
+
+    Cases are as in scores(). Statistics are computed again as rows are kept, so texts aren't moved.
+    """
+    known = labels.filter("quality in (0, 1)").select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("y"))
+    found = with_statistics(docs, ["doc_id"]).join(known, F.col("doc_id") == F.col("__id"))
+    model = spark.sparkContext.broadcast(fit(moments(found.select("y", "x"), len(NAMES)), **options))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            x = np.array([statistics(t) for t in raw_texts(batch)], np.float64)
+            yield batch.filter(pa.array(model.value.score(x) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

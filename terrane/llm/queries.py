@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import cosine, language, mixing, phrases, pieces, quality, simhash, substrings
+from terrane.llm import cosine, entropy, language, lattice, mixing, phrases, pieces, quality, simhash, substrings
 from terrane.llm.shared import tables
 
 
@@ -28,6 +28,11 @@ def op2_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine.near_duplicates(spark, tables(spark, sf_dir, "embeddings"))
 
 
+def op3_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = tables(spark, sf_dir, "labels")
+    return entropy.scores(spark, tables(spark, sf_dir, "documents"), labels.filter("quality = 1").select("doc_id"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.languages(spark, tables(spark, sf_dir, "documents"), fold(4) != 2)
     return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
@@ -38,6 +43,12 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lattice.token_counts(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(spark, tables(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -61,8 +72,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_phrases": op1_phrases,
     "op2_cosine": op2_cosine,
+    "op3_entropy": op3_entropy,
     "op4_language": op4_language,
     "op5_substrings": op5_substrings,
+    "op6_tokens": op6_tokens,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,

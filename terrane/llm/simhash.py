@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrane.llm.buckets import BLOCK, Forest, block_pairs, group_starts, whole_groups
@@ -124,6 +124,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 4, most: i
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs`, with their columns, that stand for their near-duplicates: those whose doc_id is their component's.
+
+    Of rows that share a doc_id one stays. Rows without doc_id all stay. Other cases are as in near_duplicates().
+    """
+    found = near_duplicates(spark, docs.filter("doc_id is not null"), **options)
+    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    kept = docs.join(stay, F.col("doc_id") == F.col("__id")).withColumn("__n", F.row_number().over(once)).filter("__n = 1")
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
 def hex_fingerprint(fp: str = "fp"):
     """16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
