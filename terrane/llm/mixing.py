@@ -34,8 +34,8 @@ def sainte_lague(weights: Sequence[float], seats: int) -> np.ndarray:
             high = middle
         else:
             low = middle
-    held = np.floor(w * low + 0.5).astype(np.int64)
-    # what bisection leaves are ties within the last bit
+    # just below the divisor, so that rounding gives no seat; what is left are ties within the last bits
+    held = np.floor(w * (low * (1 - 1e-12)) + 0.5 * (1 - 1e-12)).astype(np.int64)
     while (left := int(seats - held.sum())) > 0:
         order = np.argsort(-(w / (2 * held + 1)), kind="stable")[:left]
         held[order[w[order] > 0]] += 1
