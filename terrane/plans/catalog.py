@@ -1,6 +1,8 @@
-"""Registry of the queries over the driver tables."""
+"""All queries over the driver tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from terrane.plans import spatial
+from terrane.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "spatial"]
