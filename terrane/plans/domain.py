@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Points of a scan: a line item is a point, its supplier the object, its order the frame.
 POINTS = """points AS (
-  SELECT l_orderkey * 8 + l_linenumber AS point_id, CAST(l_orderkey % 97 AS INT) AS frame, CAST(l_orderkey % 3 AS INT) AS cam,
+  SELECT (l_orderkey * 8 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) % 100000000 AS point_id, CAST(l_orderkey % 97 AS INT) AS frame, CAST(l_orderkey % 3 AS INT) AS cam,
          CAST(l_quantity AS DOUBLE) AS x, l_extendedprice / CAST(2000 AS DOUBLE) AS y, l_discount * CAST(20 AS DOUBLE) AS z,
          CAST(l_orderkey % 256 AS INT) AS r, CAST(l_partkey % 256 AS INT) AS g, CAST(l_suppkey % 256 AS INT) AS b,
          l_suppkey AS object_id, concat(l_returnflag, l_linestatus) AS label
@@ -27,7 +27,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     byte = lambda c: (F.col(c) % 256).cast("int")
     return li.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("point_id"),
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100_000_000 + F.round(F.col("l_extendedprice") * 100).cast("long") % 100_000_000).alias("point_id"),
         (F.col("l_orderkey") % 97).cast("int").alias("frame"),
         (F.col("l_orderkey") % 3).cast("int").alias("cam"),
         F.col("l_quantity").cast("double").alias("x"),
