@@ -177,12 +177,12 @@ def box_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    with_(POINTS, PATCHES, LARGEST, BOXED, "fresh AS (SELECT a, b, gap, row_number() OVER (PARTITION BY a ORDER BY b) AS place FROM boxed WHERE gap <= 0.5 AND color <= 60 AND a % 2 = b % 2 AND NOT (shared > 0 AND shared / (pv + qv - shared) > 0.3))")
+    with_(POINTS, PATCHES, LARGEST, BOXED, "fresh AS (SELECT a, b, gap, row_number() OVER (PARTITION BY a ORDER BY b) AS place FROM boxed WHERE gap <= 2.0 AND color <= 60 AND a % 2 = b % 2 AND NOT (shared > 0 AND shared / (pv + qv - shared) > 0.3))")
     + "SELECT a, b, round(gap, 6) AS gap FROM fresh WHERE place <= 8"
 )
 def near_box_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes near each other and alike in color that don't overlap much already, at most 8 for each patch."""
-    met = neighbours.box_pairs(_largest(spark, sf_dir), "patch_id", 0.5, 5.0)
+    met = neighbours.box_pairs(_largest(spark, sf_dir), "patch_id", 2.0, 5.0)
     edges = met.filter("iou > 0.3").select(F.col("a_patch_id").alias("a"), F.col("b_patch_id").alias("b"))
     color = F.sqrt(sum((F.pow(F.col(f"a_{c}") - F.col(f"b_{c}"), 2) for c in "rgb"), F.lit(0.0)))
     gates = (color <= 60) & (F.col("a_patch_id") % 2 == F.col("b_patch_id") % 2)
