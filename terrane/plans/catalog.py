@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrane.plans import semantic, spatial
+from terrane.plans import folds, semantic, spatial
 from terrane.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "semantic", "spatial"]
+__all__ = ["ORACLE_SQL", "QUERIES", "folds", "semantic", "spatial"]

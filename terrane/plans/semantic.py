@@ -214,11 +214,12 @@ def pooled_feature_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(evidence.cosine("va", "vb"), 5).alias("cosine"))
 
 
-SECONDS = "epoch_us(ts) / CAST(1000000 AS DOUBLE)"
+#: Seconds since the start of 2024.
+SECONDS = "(epoch_us(ts) - 1704067200000000) / CAST(1000000 AS DOUBLE)"
 
 
 def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000.0))
+    return table(spark, sf_dir, "events").withColumn("t", (F.unix_micros(F.col("ts").cast("timestamp")) - 1_704_067_200_000_000) / F.lit(1_000_000.0))
 
 
 @query(
@@ -232,9 +233,9 @@ def nearest_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(timing.nearest_in_time(left, right, ["user_id"], "t", 20000.0, "pose_id").select("event_id", "user_id", "pose_id", "gap"), 4, "gap")
 
 
-@query(f"WITH timed AS (SELECT event_id, user_id, {SECONDS} AS t FROM events) SELECT event_id, round(t + 0.5 * coalesce(lead(t) OVER w - t, t - lag(t) OVER w, 0), 4) AS shifted FROM timed WINDOW w AS (PARTITION BY user_id ORDER BY t)")
+@query(f"WITH timed AS (SELECT event_id, user_id, {SECONDS} AS t FROM events) SELECT event_id, round(t + 1.0 * coalesce(lead(t) OVER w - t, t - lag(t) OVER w, 0), 6) AS shifted FROM timed WINDOW w AS (PARTITION BY user_id ORDER BY t)")
 def phase_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timing.shifted(_timed(spark, sf_dir), ["user_id"], "t", "t", 0.5).select("event_id", F.round("shifted", 4).alias("shifted"))
+    return timing.shifted(_timed(spark, sf_dir), ["user_id"], "t", "t", 1.0).select("event_id", F.round("shifted", 6).alias("shifted"))
 
 
 @query("WITH s AS (SELECT user_id, event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events) SELECT user_id, count(*) AS n, CAST(sum(CASE WHEN step < 0 THEN 1 ELSE 0 END) AS BIGINT) AS backs, round(max(step), 6) AS largest FROM s GROUP BY 1")
