@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from terrane.llm import components, cosine, queries, simhash
+from terrane.llm import components, cosine, queries, shared, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,7 +68,7 @@ def test_simhash_near_fingerprints_in_small_blocks(spark):
     pairs = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4]
     want = roots(range(len(fps)), pairs)
     for block in (3, 2048):
-        found = components.connected_components(spark, simhash.links(classes, 4, block))
+        found = components.connected_components(spark, simhash.links(classes, shared.Scratch(spark, "test"), 4, block))
         got = {r["node"]: r["component"] for r in found.collect()}
         assert {k: got.get(k, k) for k in want} == want
 
