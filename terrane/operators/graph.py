@@ -3,22 +3,13 @@
 from __future__ import annotations
 
 import heapq
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def kept(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder of spark.checkpoint.dir and read again, which cuts its lineage."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from terrane.operators.lineage import Scratch
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int = 50) -> DataFrame:
@@ -28,16 +19,19 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: in
     label's label, so rounds grow with the logarithm of a component's width. Nodes of `nodes` (node) without
     edges are their own component.
     """
+    scratch = Scratch(edges.sparkSession, "graph")
     both = edges.filter("a <> b").select("a", "b")
-    both = kept(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")))
+    both, _ = scratch.keep(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels, path = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")))
     for _ in range(most_rounds):
         around = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         met = labels.join(around, "node").withColumn("best", F.least("component", "near"))
         # a component's root takes the best label that any of its nodes met, and all nodes take their root's
         roots = met.groupBy(F.col("component").alias("root")).agg(F.min("best").alias("to"))
         jumped = met.join(roots, F.col("best") == F.col("root"), "left").join(roots.select(F.col("root").alias("own"), F.col("to").alias("own_to")), F.col("component") == F.col("own"), "left")
-        new = kept(jumped.select("node", F.least("best", F.coalesce("to", "best"), F.coalesce("own_to", "best")).alias("component"), F.col("component").alias("was")))
+        new, new_path = scratch.keep(jumped.select("node", F.least("best", F.coalesce("to", "best"), F.coalesce("own_to", "best")).alias("component"), F.col("component").alias("was")))
+        scratch.drop(path)
+        path = new_path
         changed = new.filter("component <> was").limit(1).count()
         labels = new.select("node", "component")
         if not changed:
@@ -50,11 +44,9 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: in
 
 
 def sized(labelled: DataFrame, least: int) -> DataFrame:
-    """Components numbered on by size, then least node; those of fewer than `least` nodes are residual (number 0)."""
+    """Components with their size and `piece`: their own name, or null for residual ones of fewer than `least` nodes."""
     sizes = labelled.groupBy("component").agg(F.count("*").alias("size"))
-    big = sizes.filter(F.col("size") >= least)
-    numbered = big.withColumn("number", F.row_number().over(Window.orderBy(F.desc("size"), "component")))
-    return labelled.join(sizes, "component").join(numbered.select("component", "number"), "component", "left").fillna({"number": 0})
+    return labelled.join(sizes, "component").withColumn("piece", F.when(F.col("size") >= least, F.col("component")))
 
 
 def split_inside(nodes: DataFrame, edges: DataFrame, patch: str, least: int) -> DataFrame:

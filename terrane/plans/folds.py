@@ -32,7 +32,7 @@ def voxel_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = voxels.keyed(points(spark, sf_dir), 1.0).select(*KEYS, "label").distinct().withColumn("node", F.xxhash64(*KEYS, "label"))
     both = neighbours.offset_join(marks, marks, neighbours.positive(neighbours.offsets("cube"))).filter("label = n_label")
     edges = both.select(F.col("node").alias("a"), F.col("n_node").alias("b"))
-    return graph.sized(graph.components(edges, marks.select("node")), 5).groupBy("number").agg(F.count("*").alias("cells"))
+    return graph.sized(graph.components(edges, marks.select("node")), 5).groupBy("piece").agg(F.count("*").alias("cells"))
 
 
 @query()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from typing import Any
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from terrane.operators.lineage import shared_dir
+
 
 def windowed_votes(observations: DataFrame, late: str, width: str) -> DataFrame:
     """Weight and number of each label in tumbling windows of `ts`, closed when the watermark passes them."""
@@ -42,7 +43,7 @@ def running_tracks(observations: DataFrame, most_gap: float) -> DataFrame:
 
 def drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """All that a stream gives for what is there now, written to the shared folder and read again."""
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     run = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/log").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
