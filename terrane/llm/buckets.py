@@ -9,23 +9,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.llm.shared import Scratch
+
 #: Rows of a bucket that one block holds.
 BLOCK = 2048
 
 
-def block_pairs(rows: DataFrame, bucket: str, salt: Column, block: int = BLOCK) -> DataFrame:
+def block_pairs(rows: DataFrame, bucket: str, salt: Column, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """`rows` with `i`, `j` (the pair of blocks) and `side` (which of the two a row is in).
 
-    Buckets of one row are left out. A bucket of up to `block` rows is the single pair (0, 0). A larger
-    one is dealt by `salt` into n blocks of about `block` rows, and each row goes to the n pairs of its
-    block, so a group to compare never has more than about two blocks, however many rows share a bucket.
-    The bucket sizes are counted with map-side combining.
+    A bucket of up to `block` rows is the single pair (0, 0). A larger one is dealt by `salt` into n blocks
+    of about `block` rows, and each row goes to the n pairs of its block, so a group to compare never has
+    more than about two blocks, however many rows share a bucket. The bucket sizes are counted with map-side
+    combining; only those of large buckets are kept and joined, so rows aren't moved for it while they are few.
     """
-    sizes = rows.groupBy(bucket).agg(F.count("*").alias("__n")).filter("__n > 1")
-    dealt = rows.join(sizes, bucket).withColumn("__blocks", F.ceil(F.col("__n") / block).cast("int"))
+    large, _ = scratch.keep(rows.groupBy(F.col(bucket).alias("__bucket")).agg(F.count("*").alias("__n")).filter(F.col("__n") > block))
+    dealt = rows.join(large, F.col(bucket) == F.col("__bucket"), "left").withColumn("__blocks", F.coalesce(F.ceil(F.col("__n") / block), F.lit(1)).cast("int"))
     own = F.pmod(salt, F.col("__blocks")).cast("int")
-    partners = F.when(F.col("__blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("__blocks") - 1))
-    paired = dealt.withColumn("__own", own).withColumn("__other", F.explode(partners))
+    paired = dealt.withColumn("__own", own).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     return paired.select(
         *rows.columns,
         F.least("__own", "__other").alias("i"),

@@ -68,13 +68,13 @@ def variants(classes: DataFrame, most: int) -> DataFrame:
     return spread.select(F.expr(f"xxhash64({kept}, wild)" if segments < 2 else f"shiftleft({kept}, 6) | wild").alias("bucket"), "fp", "rep")
 
 
-def links(classes: DataFrame, most: int = 4, block: int = BLOCK) -> DataFrame:
+def links(classes: DataFrame, scratch: Scratch, most: int = 4, block: int = BLOCK) -> DataFrame:
     """Links (src, dst) between representatives that join, in every bucket, all fingerprints linked there.
 
     `classes` has (fp, rep), a row for each distinct fingerprint. Within a bucket a spanning forest of the
     links at `most` bits or fewer is given, not all pairs; together they have the components of all links.
     """
-    paired = block_pairs(variants(classes, most), "bucket", F.xxhash64("fp"), block)
+    paired = block_pairs(variants(classes, most), "bucket", F.xxhash64("fp"), scratch, block)
     ordered = paired.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     kind = classes.schema["rep"].dataType.simpleString()
 
@@ -119,7 +119,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 4, most: i
     scratch = Scratch(spark, "simhash")
     found, _ = scratch.keep(fingerprints(docs, size))
     classes, _ = scratch.keep(found.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    parts = connected_components(spark, links(classes.filter("rep is not null"), most, block))
+    parts = connected_components(spark, links(classes.filter("rep is not null"), scratch, most, block))
     named = classes.join(parts, classes["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
