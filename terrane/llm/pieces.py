@@ -18,7 +18,7 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Marks of space with the Latin letters or the other characters after them: no piece reaches across these joints.
 UNITS = re.compile(f"{SPACE}*[{LATIN}]+|{SPACE}*[^{SPACE}{LATIN}\n]+|{SPACE}+|\n")
 JOINT = re.compile(f"[^{SPACE}]{SPACE}|[{LATIN}][^{LATIN}]|[^{SPACE}{LATIN}][{LATIN}]|\n")
-CACHE_UNITS, CACHE_CHARS, CACHE_PAIRS = 800_000, 32, 600_000
+CACHE_UNITS, CACHE_CHARS, CACHE_PAIRS = 200_000, 32, 250_000
 
 
 class PieceCodec:
