@@ -12,37 +12,46 @@ from pyspark.sql import functions as F
 from terrane.operators.lineage import Scratch
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int = 60) -> DataFrame:
     """(node, component) with the least node of each connected component; edges are (a, b).
 
-    Every round hangs each node's neighbours on the least node it knows and lets labels jump to their
-    label's label, so rounds grow with the logarithm of a component's width. Nodes of `nodes` (node) without
-    edges are their own component.
+    Large-star and small-star steps alternate until the links no longer change, in a number of rounds that
+    grows with the logarithm of a component's size. Each step is an aggregation with map-side combining and a
+    join that adaptive execution may split. Nodes of `nodes` (node) without edges are their own component.
     """
     scratch = Scratch(edges.sparkSession, "graph")
-    both = edges.filter("a <> b").select("a", "b")
-    both, _ = scratch.keep(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels, path = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")))
+    stars, path = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
+    was = None
     for _ in range(most_rounds):
-        around = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        met = labels.join(around, "node").withColumn("best", F.least("component", "near"))
-        # a component's root takes the best label that any of its nodes met, and all nodes take their root's
-        roots = met.groupBy(F.col("component").alias("root")).agg(F.min("best").alias("to"))
-        jumped = met.join(roots, F.col("best") == F.col("root"), "left").join(roots.select(F.col("root").alias("own"), F.col("to").alias("own_to")), F.col("component") == F.col("own"), "left")
-        new, new_path = scratch.keep(jumped.select("node", F.least("best", F.coalesce("to", "best"), F.coalesce("own_to", "best")).alias("component"), F.col("component").alias("was")))
-        scratch.drop(path)
-        path = new_path
-        changed = new.filter("component <> was").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
+        now = tuple(stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
+        if now == was:
             break
+        after, after_path = scratch.keep(_small_star(_large_star(stars)))
+        scratch.drop(path)
+        stars, path, was = after, after_path, now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    labels = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    labels = labels.unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     if nodes is None:
         return labels
     return nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def _large_star(stars: DataFrame) -> DataFrame:
+    """Each node's larger neighbours hang on the least node that it touches."""
+    both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+
+
+def _small_star(stars: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours hang on the least of them."""
+    least = stars.groupBy("u").agg(F.min("v").alias("m"))
+    hung = stars.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return hung.unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
+
+
 def sized(labelled: DataFrame, least: int) -> DataFrame:
     """Components with their size and `piece`: their own name, or null for residual ones of fewer than `least` nodes."""
     sizes = labelled.groupBy("component").agg(F.count("*").alias("size"))
