@@ -86,3 +86,9 @@ def holdout(edges: DataFrame, truth: DataFrame, score: str, threshold: float) ->
     hit = F.sum(F.when(F.col("said") & F.col("same"), 1).otherwise(0))
     said, same = F.sum(F.when(F.col("said"), 1).otherwise(0)), F.sum(F.when(F.col("same"), 1).otherwise(0))
     return met.agg(F.count("*").alias("n"), hit.alias("hits"), (hit / F.greatest(said, F.lit(1))).alias("precision"), (hit / F.greatest(same, F.lit(1))).alias("recall"))
+
+
+def gated(rows: DataFrame, gates: dict[str, Column]) -> DataFrame:
+    """`rows` with `failed`, the gates that don't hold (unknown counts as not), and `promoted`, whether all do."""
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), k) for k, c in gates.items()]))
+    return rows.withColumn("failed", F.array_join(failed, ",")).withColumn("promoted", F.col("failed") == "")

@@ -207,3 +207,19 @@ def seeds_by_uncovered(edges: DataFrame, nodes: DataFrame, covered: DataFrame, g
     return ranked.filter(F.col("place") <= k).select(*group, "node", "gain", "place")
 
 
+
+
+def image_components(points: DataFrame, keys: list[str], radius: int, gap: float, least: int) -> DataFrame:
+    """(node, piece): points of a mask that hang together in the image: pixels (u, v) within `radius`, depths z within `gap`.
+
+    `points` has (node, keys, u, v, z). Points meet by pixel cells of the radius; pieces of fewer than `least`
+    points share the null piece.
+    """
+    cell = points.withColumns({"cu": F.floor(F.col("u") / radius), "cv": F.floor(F.col("v") / radius)})
+    near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    moved = cell.withColumn("s", F.explode(near)).withColumns({"cu": F.col("cu") + F.col("s.a"), "cv": F.col("cv") + F.col("s.b")})
+    other = cell.select(*keys, "cu", "cv", F.col("node").alias("n_node"), F.col("u").alias("n_u"), F.col("v").alias("n_v"), F.col("z").alias("n_z"))
+    met = moved.join(other, [*keys, "cu", "cv"])
+    close = (F.abs(F.col("u") - F.col("n_u")) <= radius) & (F.abs(F.col("v") - F.col("n_v")) <= radius) & (F.abs(F.col("z") - F.col("n_z")) <= gap)
+    edges = met.filter((F.col("node") < F.col("n_node")) & close).select(F.col("node").alias("a"), F.col("n_node").alias("b"))
+    return sized(components(edges, points.select("node")), least).select("node", "piece")

@@ -73,3 +73,13 @@ def quantile_of_sorted(values: Column, q: float) -> Column:
     """The value at index round-half-even((n - 1) q) of a group's sorted values."""
     held = F.array_sort(F.collect_list(values))
     return F.element_at(held, (F.rint((F.size(held) - 1) * F.lit(q)) + 1).cast("int"))
+
+
+def bands(rows: DataFrame, keys: list[str], value: str, size: float, least: int) -> DataFrame:
+    """`rows` with `band`: the first bin of the stretch of neighbouring bins, each of at least `least` rows, that holds the value; null elsewhere."""
+    binned = rows.withColumn("bin", F.floor(F.col(value) / size))
+    dense = binned.groupBy(*keys, "bin").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    w = Window.partitionBy(*keys).orderBy("bin")
+    first = F.when(F.coalesce(F.col("bin") - F.lag("bin").over(w), F.lit(2)) > 1, F.col("bin"))
+    named = dense.withColumn("first", first).withColumn("band", F.last("first", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return binned.join(named.select(*keys, "bin", "band"), [*keys, "bin"], "left")

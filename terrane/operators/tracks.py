@@ -176,3 +176,34 @@ def plane_splits(points: DataFrame, target: str, most_planes: int, within: float
 
     kind = points.schema[target].dataType.simpleString()
     return points.groupBy(target).applyInPandas(fold, f"{target} {kind}, point_id long, plane int")
+
+
+def associated(tracks_: DataFrame, least_gap: int, most_gap: int, tiers: list[tuple[str, float, float, float]]) -> DataFrame:
+    """(tracklet, long_object, reason): tracklets of one label joined over longer gaps.
+
+    Tracklets (tracklet, label, first, last, x, y, z, color) come in order of first frame and name. Each tier is
+    (reason, most distance, most color difference, bonus); a tracklet joins the object of least distance plus
+    bonus by the first tier that admits it, of equals the earlier object, if the object ended between
+    `least_gap` and `most_gap` frames before. Objects are named by their first tracklet.
+    """
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        known: list[dict] = []
+        out = []
+        for row in rows.sort_values(["first", "tracklet"]).itertuples():
+            best, least, why = None, np.inf, "new"
+            for o in known:
+                if not least_gap <= row.first - o["last"] <= most_gap:
+                    continue
+                away = ((row.x - o["x"]) ** 2 + (row.y - o["y"]) ** 2 + (row.z - o["z"]) ** 2) ** 0.5
+                tier = next((t for t in tiers if away <= t[1] and abs(row.color - o["color"]) <= t[2]), None)
+                if tier and away + tier[3] < least:
+                    best, least, why = o, away + tier[3], tier[0]
+            if best is None:
+                best = {"name": row.tracklet, "last": row.last}
+                known.append(best)
+            best |= {"last": max(row.last, best["last"]), "x": row.x, "y": row.y, "z": row.z, "color": row.color}
+            out.append((row.tracklet, best["name"], why))
+        return pd.DataFrame(out, columns=["tracklet", "long_object", "reason"])
+
+    return tracks_.groupBy("label").applyInPandas(fold, "tracklet long, long_object long, reason string")

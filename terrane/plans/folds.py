@@ -185,3 +185,38 @@ def streaming_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_(VOTES) + "SELECT label, count(*) AS n FROM views GROUP BY 1")
 def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query()
+def long_association(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = _targets(spark, sf_dir)
+    rows = tracks.tracklets(targets, 15, 2.0, 45.0).join(targets, "target_id")
+    whole = rows.groupBy("tracklet", "label").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), *[F.avg(c).alias(c) for c in ("x", "y", "z", "color")])
+    return tracks.associated(whole, 1, 120, [("near", 0.5, 20.0, -2.0), ("like", 1.0, 45.0, -1.0), ("far", 2.0, 60.0, 0.0)])
+
+
+@query()
+def image_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the pieces that each label's points make in the first frames."""
+    pixels = points(spark, sf_dir).filter("frame < 10").select(F.col("point_id").alias("node"), "frame", "label", F.floor("x").alias("u"), F.floor("y").alias("v"), "z")
+    pieces = graph.image_components(pixels, ["frame", "label"], 2, 0.5, 3)
+    return pieces.groupBy("piece").agg(F.count("*").alias("points"))
+
+
+@query(
+    "WITH b AS (SELECT l_suppkey, CAST(floor(l_quantity / 2) AS BIGINT) AS bin, count(*) AS n FROM lineitem GROUP BY 1, 2), d AS (SELECT *, CASE WHEN coalesce(bin - lag(bin) OVER w, 2) > 1 THEN 1 ELSE 0 END AS new FROM b WHERE n >= 2 WINDOW w AS (PARTITION BY l_suppkey ORDER BY bin)), g AS (SELECT *, sum(new) OVER (PARTITION BY l_suppkey ORDER BY bin) AS k FROM d), f AS (SELECT l_suppkey, bin, min(bin) OVER (PARTITION BY l_suppkey, k) AS band FROM g) SELECT l.l_suppkey, f.band, count(*) AS rows FROM lineitem l LEFT JOIN f ON f.l_suppkey = l.l_suppkey AND f.bin = CAST(floor(l.l_quantity / 2) AS BIGINT) GROUP BY 1, 2"
+)
+def height_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.operators import timing
+
+    out = timing.bands(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", 2.0, 2)
+    return out.groupBy("l_suppkey", "band").agg(F.count("*").alias("rows"))
+
+
+@query("SELECT s_suppkey, concat_ws(',', CASE WHEN NOT s_acctbal >= 0 THEN 'balance' END, CASE WHEN NOT coalesce(n >= 50, false) THEN 'lines' END) AS failed, s_acctbal >= 0 AND coalesce(n >= 50, false) AS promoted FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey")
+def promotion_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.operators import decisions
+
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "supplier").join(lines, "s_suppkey", "left")
+    return decisions.gated(rows, {"balance": F.col("s_acctbal") >= 0, "lines": F.col("n") >= 50}).select("s_suppkey", "failed", "promoted")
