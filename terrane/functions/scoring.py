@@ -50,3 +50,14 @@ def stable_color(key: Column, seed: int = 7) -> tuple[Column, Column, Column]:
     """Three bytes that depend on the key alone."""
     mixed = (key.cast("long") * 2654435761 + seed) % 4294967296
     return tuple(F.shiftright(mixed, s).bitwiseAND(F.lit(255)).cast("int") for s in (0, 8, 16))
+
+
+def sky_like(r: Column, g: Column, b: Column, row: Column, height: int, upper: float = 0.72) -> Column:
+    """Whether a pixel of the upper image looks like blue sky or bright haze, from hue (degrees), saturation and value out of 255."""
+    top, low = F.greatest(r, g, b), F.least(r, g, b)
+    spread = top - low
+    saturation = F.when(top > 0, 255.0 * spread / top).otherwise(0.0)
+    turn = F.when(spread == 0, 0.0).when(top == r, (g - b) / spread).when(top == g, (b - r) / spread + 2).otherwise((r - g) / spread + 4)
+    hue = F.pmod(turn * 60.0, F.lit(360.0))
+    blue = hue.between(170, 260) & (saturation >= 25) & (top >= 95)
+    return (row < height * upper) & (blue | ((saturation <= 65) & (top >= 185)))

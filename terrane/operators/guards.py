@@ -61,3 +61,19 @@ def planar_relabels(label: Column, points: Column, first: Column, second: Column
     """Fine objects that are large planes; `first` and `second` are the longest two extents."""
     plane = label.isin(*fine) & (points >= least) & (first >= long) & (second >= wide) & (planarity >= even)
     return [Rule("large level plane", plane & (upright >= flat), "floor"), Rule("large upright plane", plane & (upright <= steep), "wall"), Rule("large sloping plane", plane, "building")]
+
+
+def surface_attachments(region: Column, share: Column, label: Column, upright: Column, planarity: Column, linearity: Column, large: Column, fine: Sequence[str], supported: float = 0.5, agreed: float = 0.8, flat: float = 0.8, steep: float = 0.35, even: float = 0.45, thin: float = 0.6) -> list[Rule]:
+    """What a target is to the structural region that most of its points lie in; the label of a rule is the status."""
+    is_fine, even_surface = label.isin(*fine), planarity >= even
+    level, wall = region.isin("ground", "upper"), region == "vertical"
+    merge = "merge_to_region"
+    return [
+        Rule("little support, fine", (share < supported) & is_fine, "independent_object"),
+        Rule("little support", share < supported, "unstructured"),
+        Rule("label agrees", ~is_fine & (share >= agreed), merge),
+        Rule("large level surface", level & (upright >= flat) & even_surface & large & ~is_fine, merge),
+        Rule("large upright surface", wall & (upright <= steep) & even_surface & large & (linearity < thin), merge),
+        Rule("fine shape inside", is_fine & (linearity >= thin), "attached_object"),
+        Rule("even surface", even_surface & ~is_fine, merge),
+    ]
