@@ -62,7 +62,9 @@ def variants(classes: DataFrame, most: int) -> DataFrame:
     for k in range(1, segments):
         offset = F.when(F.col("wild") >= cuts[k], cuts[k]).otherwise(offset)
         width = F.when(F.col("wild") >= cuts[k], cuts[k + 1] - cuts[k]).otherwise(width)
-    spread = classes.select("fp", "rep", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("wild")).withColumn("off", offset).withColumn("wide", width)
+    # a table of few files is dealt out first, as each row becomes 64
+    dealt = classes.select("fp", "rep").repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = dealt.select("fp", "rep", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("wild")).withColumn("off", offset).withColumn("wide", width)
     mask = "if(wide = 64, -1L, shiftleft(1L, wide) - 1L)"
     kept = f"shiftrightunsigned(fp, off) & {mask} & ~shiftleft(1L, wild - off)"
     return spread.select(F.expr(f"xxhash64({kept}, wild)" if segments < 2 else f"shiftleft({kept}, 6) | wild").alias("bucket"), "fp", "rep")
