@@ -131,6 +131,11 @@ class PieceCodec:
         raw = b"".join(self.bytes_of.get(i) or self.texts[i].encode() for i in ids)
         return raw.decode("utf-8", "replace").replace(SPACE, " ")
 
+    def forget(self) -> None:
+        """Empties the caches, so that a worker that lives on for other stages holds none of them."""
+        self.cache.clear()
+        self.compatible.clear()
+
     def ids_text(self, text: str) -> str:
         """The ids of the whole text, in decimal, joined by commas."""
         out, cache = [], self.cache
@@ -198,5 +203,6 @@ def _mapped(docs: DataFrame, model_path: str, keep: list[str], text: str, digest
                 first.append(hashlib.sha256(ids.encode()).hexdigest() if digests else ids)
                 second.append(hashlib.sha256(decoded.encode()).hexdigest() if digests else decoded)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=[*keep, "n_tokens", *names])
+        pieces.forget()
 
     return chosen.mapInArrow(run, schema)
