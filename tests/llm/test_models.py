@@ -87,6 +87,17 @@ def test_cross_entropy_edge_cases(spark):
     assert entropy.scores(spark, docs, target.limit(0)).count() == 6
 
 
+def test_texts_that_differ_only_in_rare_words_are_told_apart(spark):
+    # 3,000 common words, so that the others are rare ones with the same ending
+    common = " ".join(f"w{k}" for k in range(3000))
+    rows = [(k, f"{common} {common}") for k in range(10)]
+    rows += [(10 + k, " ".join(f"the {w}ing of" for w in ("sail", "row", "fish"))) for k in range(8)]
+    rows += [(20 + k, " ".join(f"the {w}ing of" for w in ("cod", "test", "debugg"))) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in entropy.scores(spark, docs, docs.filter("doc_id between 10 and 13")).collect()}
+    assert all(got[10 + k] < got[20 + j] - 0.1 for k in range(8) for j in range(8))
+
+
 def test_gradients_match_differences():
     net = language.Network({k: v.astype(np.float64) for k, v in language.Network.fresh(3, 4, 1).weights.items()})
     rng = np.random.default_rng(0)
