@@ -49,7 +49,16 @@ def drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-def arriving(spark: SparkSession, folder: str, name: str, most_files: int = 1) -> DataFrame:
-    """The files of a table in a folder as a stream; new files join it."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", most_files).parquet(folder)
+def arriving(spark: SparkSession, folder: str, name: str, most_files: int | None = None) -> DataFrame:
+    """The files of a table in a folder, itself a file or a folder of part files, as a stream; new files join it.
+
+    What is there now comes in one batch unless `most_files` bounds it, so no row is late by the order of files.
+    """
+    table = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(table).schema)
+    if most_files is not None:
+        reader = reader.option("maxFilesPerTrigger", most_files)
+    where = spark._jvm.org.apache.hadoop.fs.Path(table)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return reader.parquet(table)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
