@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from terrane.llm.shared import text_slices
+from terrane.llm.shared import text_slices, trimmed
 
 SPACE = "▁"
 SPLIT = "\n"  # in no piece
@@ -18,7 +19,12 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Marks of space with the Latin letters or the other characters after them: no piece reaches across these joints.
 UNITS = re.compile(f"{SPACE}*[{LATIN}]+|{SPACE}*[^{SPACE}{LATIN}\n]+|{SPACE}+|\n")
 JOINT = re.compile(f"[^{SPACE}]{SPACE}|[{LATIN}][^{LATIN}]|[^{SPACE}{LATIN}][{LATIN}]|\n")
-CACHE_UNITS, CACHE_CHARS, CACHE_PAIRS = 200_000, 32, 250_000
+#: Bytes that each of the two generations of cached units holds, about; those of an entry besides its characters; characters of the longest unit to keep.
+CACHE_BYTES, ENTRY_BYTES, CACHE_CHARS = 20 << 20, 200, 32
+#: Pairs whose compatibility is remembered, a power of two; each takes 8 bytes, and a new one takes the place of an old one.
+PAIR_SLOTS = 1 << 20
+#: Bytes of text that a task works on at a time.
+PIECE_SLICE = 1 << 18
 
 
 class PieceCodec:
@@ -27,6 +33,7 @@ class PieceCodec:
     An Aho-Corasick automaton gives the longest piece at a position. The encoder takes the longest one
     that is compatible with the piece before it, steps back on failure and keeps a bitfield of positions from which no encoding continues. Two pieces are compatible if merging their characters
     afresh by score, leftmost first on ties, gives back the two. Characters without a piece become bytes.
+    Texts are encoded unit by unit; what common units and pairs give is kept in bounded caches.
     Only models with identity normalization, a dummy prefix and kept white space are taken.
     """
 
@@ -40,16 +47,16 @@ class PieceCodec:
         spec, kinds = model.normalizer_spec, proto.ModelProto.SentencePiece
         if model.trainer_spec.model_type != proto.TrainerSpec.BPE or spec.precompiled_charsmap or not spec.add_dummy_prefix or spec.remove_extra_whitespaces or not spec.escape_whitespaces or not model.trainer_spec.byte_fallback:
             raise ValueError("this codec takes merge-type models with identity normalization and byte fallback")
-        self.texts = [p.piece for p in model.pieces]
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
         if any(p.type in (kinds.USER_DEFINED, kinds.UNUSED) for p in model.pieces):
             raise ValueError("user-defined and unused pieces are not taken")
         if any(map(JOINT.search, self.ids)):
             raise ValueError("a piece reaches across units")
-        self.names = {p: str(i) for p, i in self.ids.items()}
         self.scores = {p.piece: p.score for p in model.pieces if p.type == kinds.NORMAL}
         self.byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
-        self.bytes_of = {i: bytes([b]) for b, i in self.byte_ids.items()}
+        shown = {kinds.BYTE: lambda p: bytes([int(p.piece[3:5], 16)]), kinds.CONTROL: lambda p: b"", kinds.UNKNOWN: lambda p: model.trainer_spec.unk_surface.encode()}
+        #: The bytes that an id, written in decimal, decodes to.
+        self.surfaces = {str(i): shown.get(p.type, lambda p: p.piece.replace(SPACE, " ").encode())(p) for i, p in enumerate(model.pieces)}
         self.matcher = ahocorasick.Automaton()
         # a piece that merging never makes is never part of an encoding
         made = {p for p in self.ids if len(self._merge(p)) == 1}
@@ -57,13 +64,13 @@ class PieceCodec:
             self.matcher.add_word(piece, piece)
         self.matcher.make_automaton()
         self.most = max(map(len, made))
-        ahead = lambda text: next((text[:k] for k in range(len(text), 0, -1) if text[:k] in made), None)
-        #: The longest piece that starts what a walk of the automaton has matched; of a piece, the next shorter one.
+        ahead = lambda text: next((self.ids[text[:k]] for k in range(len(text), 0, -1) if text[:k] in made), 0)
+        #: The id of the longest piece that starts what a walk of the automaton has matched; of a piece, that of the next shorter one, 0 if there is none.
         self.longest = {p[:k]: ahead(p[:k]) for p in made for k in range(1, len(p) + 1)}
-        self.shorter = {p: ahead(p[:-1]) for p in made}
-        self.compatible: dict[str, bool] = {}
-        self.cache: dict[str, str] = {}
-        self.odd: dict[str, str] = {}
+        self.texts = [p.piece for p in model.pieces]
+        self.shorter = [ahead(p[:-1]) if p in made else 0 for p in self.texts]
+        self.sizes = list(map(len, self.texts))
+        self.forget()
 
     def _merge(self, text: str) -> list[str]:
         parts, scores = list(text), self.scores
@@ -77,90 +84,113 @@ class PieceCodec:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _fits(self, a: str, b: str) -> bool:
-        if len(self.compatible) > CACHE_PAIRS:
-            self.compatible.clear()
-        known = self.compatible[a + SPLIT + b] = self._merge(a + b) == [a, b]
-        return known
-
-    def split(self, unit: str) -> list[str]:
-        """The unit's pieces; a character without a piece stands alone."""
-        n, fits, reach, longest, shorter = len(unit), self.compatible.get, self.matcher.longest_prefix, self.longest, self.shorter
+    def _fits(self, a: int, b: int) -> bool:
+        first, second = self.texts[a], self.texts[b]
+        fit = self._merge(first + second) == [first, second]
+        self.pairs[(a * 40_503 + b) & PAIR_SLOTS - 1] = a << 32 | b << 1 | fit
+        return fit
+
+    def _walk(self, unit: str) -> list[int]:
+        """The ids of the unit's pieces; -1 - c for a character c without a piece."""
+        if not self.pairs:
+            self.pairs = array("q", bytes(8 * PAIR_SLOTS))
+        n, pairs, reach, longest, shorter, sizes, most = len(unit), self.pairs, self.matcher.longest_prefix, self.longest, self.shorter, self.sizes, self.most
         failed = bytearray(n + 1)
-        pieces: list[str] = []
-        at, last = 0, ""
+        found: list[int] = []
+        at = last = 0
         while at < n:
-            piece = longest.get(unit[at : at + reach(unit[at : at + self.most])])
-            if piece is None:
+            piece = longest.get(unit[at : at + reach(unit[at : at + most])], 0)
+            if not piece:
                 # no piece starts here: bytes, with which nothing merges
-                pieces.append(unit[at])
-                at, last = at + 1, ""
+                found.append(-1 - ord(unit[at]))
+                at, last = at + 1, 0
                 continue
             while True:
                 while piece:
-                    if not failed[at + len(piece)]:
-                        fit = not last or fits(last + SPLIT + piece)
-                        if fit is None:
-                            fit = self._fits(last, piece)
-                        if fit:
+                    if not failed[at + sizes[piece]]:
+                        if not last:
+                            break
+                        held = pairs[(last * 40_503 + piece) & PAIR_SLOTS - 1] ^ (last << 32 | piece << 1)
+                        if held == 1 or (held and self._fits(last, piece)):
                             break
                     piece = shorter[piece]
                 if piece:
                     break
                 failed[at] = 1
-                tried = pieces.pop()
-                at -= len(tried)
-                last = pieces[-1] if pieces and pieces[-1] in shorter else ""
+                tried = found.pop()
+                at -= sizes[tried]
+                last = found[-1] if found and found[-1] > 0 else 0
                 piece = shorter[tried]
-            pieces.append(piece)
-            at, last = at + len(piece), piece
-        return pieces
+            found.append(piece)
+            at, last = at + sizes[piece], piece
+        return found
+
+    def split(self, unit: str) -> list[str]:
+        """The unit's pieces; a character without a piece stands alone."""
+        return [self.texts[i] if i > 0 else chr(-1 - i) for i in self._walk(unit)]
 
     def _unit(self, unit: str) -> str:
-        """The unit's ids; where they don't decode to the unit, `odd` gets what they do decode to."""
-        pieces, names = self.split(unit), self.names
-        if all(map(names.__contains__, pieces)):
-            return ",".join([names[p] for p in pieces])
-        ids = [i for p in pieces for i in ([self.ids[p]] if p in self.ids else [self.byte_ids[b] for b in p.encode()])]
-        if (back := self._surface(ids)) != unit.replace(SPACE, " "):
-            self.odd[unit] = back
-        return ",".join(map(str, ids))
-
-    def _surface(self, ids: Iterable[int]) -> str:
-        """Pieces with spaces for their marks; runs of bytes as UTF-8, each stray byte as U+FFFD."""
-        raw = b"".join(self.bytes_of.get(i) or self.texts[i].encode() for i in ids)
-        return raw.decode("utf-8", "replace").replace(SPACE, " ")
+        found = self._walk(unit)
+        if found and min(found) > 0:
+            return ",".join(map(str, found))
+        return ",".join(str(i) for f in found for i in ([f] if f > 0 else self._character(chr(-1 - f))))
+
+    def _character(self, c: str) -> list[int]:
+        return [self.ids[c]] if c in self.ids else [self.byte_ids[b] for b in c.encode()]
 
     def forget(self) -> None:
         """Empties the caches, so that a worker that lives on for other stages holds none of them."""
-        self.cache.clear()
-        self.compatible.clear()
+        self.pairs = array("q")
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        self.young_bytes = 0
 
     def ids_text(self, text: str) -> str:
         """The ids of the whole text, in decimal, joined by commas."""
-        out, cache = [], self.cache
-        if len(cache) > CACHE_UNITS:
-            cache.clear()
-        for unit in UNITS.findall(SPACE + text.replace(" ", SPACE)) if text else ():
-            found = cache.get(unit)
-            if found is None:
-                found = self._unit(unit)
+        out, young = [], self.young
+        for found in UNITS.finditer(SPACE + text.replace(" ", SPACE)) if text else ():
+            unit = found[0]
+            ids = young.get(unit)
+            if ids is None:
+                ids = self.old.get(unit) or self._unit(unit)
                 if len(unit) <= CACHE_CHARS:
-                    cache[unit] = found
-            out.append(found)
+                    self.young_bytes += len(unit) + len(ids) + ENTRY_BYTES
+                    if self.young_bytes > CACHE_BYTES:
+                        # units of the last generation that recur come back from it
+                        self.old, self.young, self.young_bytes = young, {}, 0
+                        young = self.young
+                    young[unit] = ids
+            out.append(ids)
         return ",".join(out)
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.ids_text(text).split(",")] if text else []
 
+    def text_of(self, ids: str) -> str:
+        """What ids, in decimal and joined by commas, decode to, without the dummy prefix; runs of bytes as UTF-8, each stray byte as U+FFFD."""
+        each = ids.split(",") if ids else []
+        raw = b"".join(map(self.surfaces.__getitem__, each))
+        try:
+            text = raw.decode()
+        except UnicodeDecodeError:
+            # a byte that starts no character stands alone
+            text, at = "", 0
+            while at < len(raw):
+                size = next((n for n in (1, 2, 3, 4) if _whole(raw[at : at + n])), 0)
+                text += raw[at : at + size].decode() if size else "\ufffd"
+                at += size or 1
+        first = next((i for i in each if self.surfaces[i]), None)
+        return text[1:] if first and self.texts[int(first)].startswith(SPACE) else text
+
     def decode(self, ids: Iterable[int]) -> str:
-        """The text of the ids, without the dummy prefix."""
-        return self._surface(ids).removeprefix(" ")
+        return self.text_of(",".join(map(str, ids)))
+
 
-    def both(self, text: str) -> tuple[str, str]:
-        """ids_text of the text, and what those ids decode to; units were decoded as they were first encoded."""
-        ids = self.ids_text(text)
-        return ids, self.decode(map(int, ids.split(","))) if ids and self.odd else text.replace(SPACE, " ")
+def _whole(raw: bytes) -> bool:
+    try:
+        return len(raw.decode()) == 1
+    except UnicodeDecodeError:
+        return False
 
 
 _codecs: dict[str, PieceCodec] = {}
@@ -195,14 +225,15 @@ def _mapped(docs: DataFrame, model_path: str, keep: list[str], text: str, digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = codec(model_path)
-        for batch in text_slices(batches, "__text"):
+        for batch in text_slices(batches, "__text", PIECE_SLICE):
             counts, first, second = [], [], []
-            for value in batch.column(len(keep)).to_pylist():
-                ids, decoded = pieces.both(value or "")
+            for value in batch.column(len(keep)):
+                ids = pieces.ids_text(value.as_py() or "")
+                decoded = pieces.text_of(ids)
                 counts.append(ids.count(",") + bool(ids))
                 first.append(hashlib.sha256(ids.encode()).hexdigest() if digests else ids)
                 second.append(hashlib.sha256(decoded.encode()).hexdigest() if digests else decoded)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=[*keep, "n_tokens", *names])
         pieces.forget()
 
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(trimmed(run), schema)
