@@ -98,15 +98,26 @@ def test_texts_that_differ_only_in_rare_words_are_told_apart(spark):
     assert all(got[10 + k] < got[20 + j] - 0.1 for k in range(8) for j in range(8))
 
 
+def test_held_out_targets_score_below_the_rest(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    quality_of = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    learnt = [(d,) for d, q in quality_of.items() if q == 1 and zlib.crc32(str(d).encode()) % 2 == 0]
+    got = {r["doc_id"]: r["score"] for r in entropy.scores(spark, docs, spark.createDataFrame(learnt, "doc_id long")).collect()}
+    held = {q: [got[d] for d, x in quality_of.items() if x == q and zlib.crc32(str(d).encode()) % 2 == 1] for q in (0, 1)}
+    wins = np.mean([(a < b) + 0.5 * (a == b) for a in held[1] for b in held[0]])
+    assert wins > 0.9
+
+
 def test_gradients_match_differences():
     net = language.Network({k: v.astype(np.float64) for k, v in language.Network.fresh(3, 4, 1).weights.items()})
     rng = np.random.default_rng(0)
-    data, truth = rng.integers(97, 101, (6, 5)).astype(np.uint8), rng.integers(0, 3, 6)
-    _, found = net.gradients(data, truth)
+    data, truth = rng.integers(97, 101, (5, 6)).astype(np.uint8), rng.integers(0, 3, 6)
+    counted = rng.integers(0, 2, data.shape)
+    _, found = net.gradients(data, truth, counted)
 
     def loss():
         chance = net.labels(data)
-        return -np.log(chance[:, np.arange(6), truth] + 1e-9).mean()
+        return (-np.log(chance[:, np.arange(6), truth] + 1e-9) * counted).sum() / counted.sum()
 
     for name, weight in net.weights.items():
         for at in list(np.ndindex(weight.shape))[:: max(1, weight.size // 7)] + [(98, 1)] * (name.endswith("_in")):
@@ -119,6 +130,65 @@ def test_gradients_match_differences():
             assert math.isclose((up - down) / (2 * step), found[name][at], rel_tol=2e-2, abs_tol=2e-5), (name, at)
 
 
+def plain_labels(net, raw):
+    """Probabilities at each byte of one text, unit by unit."""
+    squash = lambda x: x / (1 + abs(x))
+    gate = lambda x: (1 + squash(x)) / 2
+    w = {k: v.astype(float).tolist() for k, v in net.weights.items()}
+    width = len(w["ahead_fresh_own"])
+
+    def states(side, data):
+        h, out = [0.0] * width, []
+        for byte in data:
+            through = {g: [sum(h[i] * w[f"{side}_{g}_own"][i][j] for i in range(width)) for j in range(width)] for g in language.GATES}
+            a = {g: w[f"{side}_{g}_in"][byte] for g in language.GATES}
+            u = [gate(a["update"][j] + through["update"][j]) for j in range(width)]
+            r = [gate(a["reset"][j] + through["reset"][j]) for j in range(width)]
+            f = [squash(a["fresh"][j] + r[j] * through["fresh"][j]) for j in range(width)]
+            h = [h[j] + u[j] * (f[j] - h[j]) for j in range(width)]
+            out.append(h)
+        return out
+
+    found = []
+    for x, y in zip(states("ahead", raw), states("back", raw[::-1])[::-1], strict=True):
+        z = [sum((x + y)[i] * w["out"][i][c] for i in range(2 * width)) + w["out_bias"][c] for c in range(len(w["out_bias"]))]
+        e = [math.exp(v) for v in z]
+        found.append([v / sum(e) for v in e])
+    return found
+
+
+def test_positions_and_pooling_match_plain_loops():
+    net, rng = language.Network.fresh(3, 5, 9), random.Random(3)
+    blank, edge, inner, window = b" ", language.EDGE, language.INNER, language.WINDOW
+    texts = ["", "a", "größe " * 9, "".join(rng.choice("abc é") for _ in range(700)), "x" * inner, "y" * (inner + 1)]
+    raws = [language.prepared(t) for t in texts]
+    got = language.document_sums(net, raws, 3, rows=2)
+    for raw, sums in zip(raws, got, strict=True):
+        plain = np.zeros(3)
+        for k in range(0, len(raw), inner):
+            padded = blank * edge + raw + blank * window
+            found = plain_labels(net, padded[k : k + window])
+            plain += np.sum(found[edge : edge + min(inner, len(raw) - k)], axis=0)
+        assert np.allclose(sums, plain, rtol=1e-4, atol=1e-4)
+
+
+def test_state_crosses_words():
+    net = language.Network.fresh(2, seed=4)
+    one, other = (language.document_sums(net, [b"aaa bcd", b"zzz bcd"], 2))
+    alone = language.document_sums(net, [b"aaa", b"zzz"], 2)
+    assert not np.allclose(one - alone[0], other - alone[1], atol=1e-5)
+
+
+def test_language_of_long_documents_only(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k, "thing and the other of them " * 3, "en") for k in range(40)]
+    rows += [(100 + k, "schöner größer für die und das " * 2000, "de") for k in range(40)]
+    docs = spark.createDataFrame([*rows, (999, "für die und das größer schöner und die schöner für das", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.languages(spark, docs, F.lit(True)).collect()}
+    assert all(got[d] == lang for d, _, lang in rows) and got[999] == "de"
+
+
 def test_languages_of_held_out_documents(spark):
     truth = {r["doc_id"]: (r["lang"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = queries.op4_language(spark, SF).collect()
