@@ -9,7 +9,9 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -84,5 +86,18 @@ def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in data.cast(pa.binary()).to_pylist()]
 
 
+def packed(docs: DataFrame, without: Iterable[str] = ()) -> Column:
+    """The columns of `docs` as one struct `row`, so that no name of the caller's meets one of the operator's."""
+    names = [c for c in docs.columns if c not in set(without)]
+    return F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+
+
+def whole_ids(docs: DataFrame, operator: str) -> None:
+    """Raises a TypeError unless doc_id is a whole number: its order and its arithmetic are part of the operator's meaning."""
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{operator} takes whole numbers as doc_id, not {kind.simpleString()}")
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

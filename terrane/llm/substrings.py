@@ -1,14 +1,20 @@
 """Substring dedup by recompression: words are named, rounds name runs and pairs, shared symbols reveal repeats.
 
-A name is a 64-bit hash of what it stands for, so every task gives a run or a pair the same name without
-a dictionary. Each round merges only symbols of at most so many words, so at each end of a window a round
-can change at most that many words, whatever stands outside. All rounds together change less than MARGIN
-words at an end, and any window of WINDOW words therefore has interior symbols that depend on the window
-alone. Its anchor is the interior symbol of least hash; equal windows have equal anchors in equal places.
-
-The windows of one anchor form a family, and a family is named by all words that its windows cover. Of
-families with one name all but the first are repeats. Only where families of different names share an
-anchor's surroundings, at the ends of repeats, are single windows compared.
+A name is a 64-bit hash of what it stands for, so every task gives a run or a pair the same name, and an
+exchange by name brings a symbol's occurrences together. Work goes from long symbols to short ones:
+
+1. Rounds name runs of equal symbols and pairs, each symbol falling by its own name on the left or the right
+   side of pairs, until symbols are about a thousand words long; then one more names the whole text. Equal
+   stretches thus have equal symbols inside, wherever they stand. A long symbol (at least a window) that
+   occurs more than once reveals a repeat: it is verified by a second hash of all its words, and all
+   windows inside each occurrence but the first are gone.
+2. What is left are windows across the ends of long symbols and repeats too short to have one. Rounds bounded
+   in span change less than MARGIN words at each end of a window, so any window of WINDOW words has
+   interior symbols that depend on the window alone. Its anchor is the one of least hash. The windows of
+   one anchor form a family, named by all words that they cover; of families with one name all but the
+   first are gone.
+3. Only where families of different names share an anchor's surroundings, at the ends of repeats, are single
+   windows compared.
 """
 
 from __future__ import annotations
@@ -19,11 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from terrane.llm.shared import Scratch, raw_texts, text_slices
+from terrane.llm.shared import Scratch, packed, raw_texts, text_slices, trimmed, whole_ids
 
 WINDOW = 20
-#: Rounds, with the words that a symbol to merge has at most. A run is merged if it has just two symbols.
+#: Rounds of long symbols: in every fourth runs are named before pairs. After those in LEVELS, symbols that are new since the level before are looked at.
+LONG_ROUNDS, LEVELS = 24, (10, 14, 18, 24)
+#: Rounds bounded in span, with the words that a symbol to merge has at most. A run is merged if it has just two symbols.
 ROUNDS = (("run", 1), ("pair", 1), ("pair", 1), ("pair", 2))
 #: Words at each end of a window that the rounds may name by what stands outside, and words of a symbol.
 MARGIN, SPAN = 2 + 1 + 1 + 2, 4
@@ -81,6 +90,46 @@ def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)), np.array(ends, np.int64)
 
 
+def long_symbols(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, at, span), in order of places, of the symbols of WINDOW words or more at each level and of each whole text."""
+    names, places = words.copy(), np.arange(len(words))
+    barrier = np.zeros(len(words), bool)
+    barrier[ends] = True
+    new = np.zeros(len(words), bool)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for k in range(1, LONG_ROUNDS + 1):
+        if k % 4 == 1:
+            start = np.ones(len(names), bool)
+            start[1:] = (names[1:] != names[:-1]) | barrier[1:]
+            at = np.flatnonzero(start)
+            length = np.diff(np.append(at, len(names)))
+            names, places, barrier, new = names[at], places[at], barrier[at], new[at]
+            run = np.flatnonzero(length > 1)
+            names[run] = mixed(names[run] * FIRST + mixed(length[run].astype(np.uint64), 51), 200 + k)
+            new[run] = True
+        right_side = mixed(names, 300 + k) >> U(63) == 1
+        at = np.flatnonzero(~right_side[:-1] & right_side[1:] & ~barrier[:-1] & ~barrier[1:])
+        names[at] = mixed(names[at] * FIRST + mixed(names[at + 1], 50), 400 + k)
+        new[at] = True
+        kept = np.ones(len(names), bool)
+        kept[at + 1] = False
+        names, places, barrier, new = names[kept], places[kept], barrier[kept], new[kept]
+        if k in LEVELS:
+            span = np.diff(np.append(places, len(words)))
+            here = np.flatnonzero(new & ~barrier & (span >= WINDOW))
+            found.append((names[here], places[here], span[here]))
+            new[:] = False
+    begins = np.concatenate(([0], ends[:-1] + 1))
+    inside = np.searchsorted(places, begins)
+    nth = np.arange(len(names)) - np.repeat(inside, np.diff(np.append(inside, len(names))))
+    whole = mixed(np.add.reduceat(mixed(names * FIRST + nth.astype(np.uint64), 52), inside), 500)
+    here = ends - begins >= WINDOW
+    found.append((whole[here], begins[here], (ends - begins)[here]))
+    key, at, span = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(at, kind="stable")
+    return key[order], at[order], span[order]
+
+
 def recompress(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(names, places, spans) of the symbols after all rounds; barriers stay as they are."""
     names, places = words.copy(), np.arange(len(words))
@@ -178,8 +227,41 @@ def _sorted(batch: pa.RecordBatch, by: str) -> pa.RecordBatch:
     return batch.take(pa.array(np.argsort(batch.column(by).to_numpy(), kind="stable")))
 
 
+def symbol_rows(docs: DataFrame) -> DataFrame:
+    """The long symbols of the whole texts of (doc, text), their words' second hash as the name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            batch = _sorted(batch, "doc")
+            words, ends = word_names(raw_texts(batch))
+            if len(words) > WINDOW:
+                key, at, span = long_symbols(words, ends)
+                text = np.searchsorted(ends, at)
+                yield rows(key, Hashes(words, 1)(at, at + span), batch.column("doc").to_numpy()[text], at - np.concatenate(([0], ends + 1))[text], span - WINDOW + 1)
+
+    return docs.mapInArrow(trimmed(run), ROW)
+
+
+def revealed(found: DataFrame) -> DataFrame:
+    """(doc, at, n) of the windows inside long symbols that occurred before; names that several slices have are found by aggregation and joined."""
+    stay = found.filter("not gone")
+    first = stay.groupBy("key", "name").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("slices")).filter("slices > 1")
+    later = stay.join(first, ["key", "name"]).filter(F.struct("doc", "at") > F.col("first"))
+    return found.filter("gone").select("doc", "at", "n").unionByName(later.select("doc", "at", "n"))
+
+
+def covered(gone: list[list[dict] | None], sizes: np.ndarray, reach: int) -> np.ndarray:
+    """For texts of `sizes` places one after another, the places inside their stretches, each taken to go `reach` places beyond its n."""
+    off = np.zeros(int(sizes.sum()) + 1, np.int32)
+    for base, size, stretches in zip((sizes.cumsum() - sizes).tolist(), sizes.tolist(), gone, strict=True):
+        for r in stretches or ():
+            off[base + min(r["at"], size)] += 1
+            off[base + min(r["at"] + r["n"] + reach, size)] -= 1
+    return off.cumsum()[:-1] > 0
+
+
 def family_rows(docs: DataFrame) -> DataFrame:
-    """Families of the whole texts of (doc, text)."""
+    """Families of the whole texts of (doc, text, gone) but those all of whose windows are `gone`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -188,10 +270,14 @@ def family_rows(docs: DataFrame) -> DataFrame:
             if len(words) < WINDOW:
                 continue
             key, name, at, n = families(words, ends)
+            # of the barriers none is in a stretch, as its windows end before them
+            before = np.concatenate(([0], covered(batch.column("gone").to_pylist(), np.diff(np.concatenate(([-1], ends))), 0).cumsum()))
+            left = before[at + n] - before[at] < n
+            key, name, at, n = key[left], name[left], at[left], n[left]
             text = np.searchsorted(ends, at)
             yield rows(key, name, batch.column("doc").to_numpy()[text], at - np.concatenate(([0], ends + 1))[text], n)
 
-    return docs.mapInArrow(run, ROW)
+    return docs.mapInArrow(trimmed(run), ROW)
 
 
 def window_rows(docs: DataFrame) -> DataFrame:
@@ -210,7 +296,7 @@ def window_rows(docs: DataFrame) -> DataFrame:
             if len(at):
                 yield rows(Hashes(words, 0)(places, places + WINDOW), Hashes(words, 1)(places, places + WINDOW), doc, at, np.ones(len(at), np.int64))
 
-    return docs.mapInArrow(run, ROW)
+    return docs.mapInArrow(trimmed(run), ROW)
 
 
 def settled(found: DataFrame) -> DataFrame:
@@ -227,40 +313,47 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Words are runs without ASCII white space of the whole text, unchanged; a null text has none. A word is
     removed if a window of 20 words over it also starts earlier, in a document of smaller doc_id or earlier
-    in its own. Names and families are compared by 128 bits of hashes. Rows that share a doc_id are one
-    document: none is earlier than the other, and what is removed from one is removed from all at the same
-    places. Rows without doc_id take no part and are kept whole. An empty table gives an empty one.
+    in its own. Symbols, families and windows are compared by 128 bits of hashes. Rows that share a doc_id are
+    one document: none is earlier than the other, and what is removed from one is removed from all at the same
+    places. Rows without doc_id take no part and are kept whole. An empty table gives an empty one. Other
+    columns are kept whatever their names; a doc_id that is no whole number is refused by a TypeError. A text
+    is worked on whole: a task takes about 250 bytes for each word of its longest one.
     """
+    whole_ids(docs, "substring dedup")
     scratch = Scratch(spark, "substrings")
-    rest = docs.drop("n_words", "n_removed", "kept")
     base = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    parted, _ = scratch.keep(settled(family_rows(base)))
-    opened = parted.filter("not gone").groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("open"))
+    symbols, _ = scratch.keep(symbol_rows(base))
+    repeated, _ = scratch.keep(revealed(symbols))
+    # where texts share an id, a place of one isn't one of the other: none of their windows is passed over
+    several = base.groupBy("doc").count().filter("count > 1").select("doc")
+    sure = stretches(repeated.join(several, "doc", "left_anti"), "gone")
+    parted, _ = scratch.keep(settled(family_rows(base.join(sure, "doc", "left"))))
+    opened = stretches(parted.filter("not gone"), "open")
     windows = settled(window_rows(base.join(opened, "doc"))).filter("gone")
-    gone = parted.filter("gone").select("doc", "at", "n").unionByName(windows.select("doc", "at", "n"))
-    by_doc = gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("at", "n")).alias("__gone"))
-    whole = rest.join(by_doc, F.col("doc_id") == F.col("__doc"), "left")
-    return _cut(whole, rest)
+    gone = repeated.unionByName(parted.filter("gone").select("doc", "at", "n")).unionByName(windows.select("doc", "at", "n"))
+    by_doc = stretches(gone, "gone")
+    rest = docs.select(F.col("doc_id").cast("long").alias("id"), "text", packed(docs, ("n_words", "n_removed", "kept")))
+    return _cut(rest.join(by_doc, F.col("id") == F.col("doc"), "left").select("row", "text", "gone")).select("row.*", "n_words", "n_removed", "kept")
+
 
+def stretches(places: DataFrame, name: str) -> DataFrame:
+    """(doc, `name`): each document's stretches (at, n) as an array."""
+    return places.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias(name))
 
-def _cut(whole: DataFrame, rest: DataFrame) -> DataFrame:
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
-    columns, width = rest.columns, len(rest.columns)
+
+def _cut(whole: DataFrame) -> DataFrame:
+    """(row, n_words, n_removed, kept) of (row, text, gone)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             counts, removed, kept = [], [], []
-            for text, gone in zip(raw_texts(batch), batch.column(width).to_pylist(), strict=True):
+            for text, gone in zip(raw_texts(batch), batch.column(2).to_pylist(), strict=True):
                 words = text.split()
-                off = np.zeros(len(words) + 1, np.int32)
-                for r in gone or ():
-                    off[min(r["at"], len(words))] += 1
-                    off[min(r["at"] + r["n"] - 1 + WINDOW, len(words))] -= 1
-                stays = off.cumsum()[:-1] == 0
+                stays = ~covered([gone], np.array([len(words)]), WINDOW - 1)
                 counts.append(len(words))
                 removed.append(len(words) - int(stays.sum()))
                 kept.append(b" ".join([words[k] for k in np.flatnonzero(stays).tolist()] if removed[-1] else words).decode())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*columns, "n_words", "n_removed", "kept"])
-
-    return whole.select(*columns, "__gone").mapInArrow(run, f"{fields}, n_words long, n_removed long, kept string")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["row", "n_words", "n_removed", "kept"])
 
+    fields = T.StructType([whole.schema["row"], *(T.StructField(n, T.LongType()) for n in ("n_words", "n_removed")), T.StructField("kept", T.StringType())])
+    return whole.mapInArrow(trimmed(run), fields)

@@ -64,3 +64,40 @@ def test_edge_cases(spark):
     assert substrings.deduplicated(spark, docs.limit(0)).count() == 0
     twice = docs.filter("doc_id = 4").drop("doc")
     assert {r["n_removed"] for r in substrings.deduplicated(spark, twice.unionByName(twice)).collect()} == {want[4][1]}
+
+
+def test_long_symbols_reveal_and_verify_long_repeats(spark):
+    rng = random.Random(4)
+    text = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    shared, whole = text(600), " ".join(text(400))
+    rows = [(k, " ".join(text(rng.randint(3, 40)) + shared + text(rng.randint(3, 40)))) for k in range(6)] + [(10, whole), (11, whole)]
+    docs = spark.createDataFrame(rows, "doc long, text string").repartition(4)
+    gone = {}
+    for r in substrings.revealed(substrings.symbol_rows(docs)).collect():
+        gone.setdefault(r["doc"], set()).update(range(r["at"], r["at"] + r["n"]))
+    assert set(gone) == {1, 2, 3, 4, 5, 11} and len(gone[11]) == 381
+    assert all(len(gone[k]) > 300 for k in range(1, 6))
+    want = plain(rows)
+    assert got(substrings.deduplicated(spark, docs.withColumnRenamed("doc", "doc_id"))) == want
+    windows = {}
+    for doc, text in rows:
+        words = text.split()
+        for p in range(len(words) - 19):
+            windows.setdefault(tuple(words[p : p + 20]), []).append((doc, p))
+    late = {place for places in windows.values() for place in places[1:]}
+    assert {(doc, p) for doc, places in gone.items() for p in places} <= late
+
+
+def test_texts_that_share_an_id_and_clashing_names(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"u{rng.randrange(500)}" for _ in range(n))
+    one, two, three = text(90), text(90), text(90)
+    # what repeats at the start of a text of id 2 must not hide the first occurrence that starts another text of it
+    rows = [(1, one), (2, one), (2, two), (3, two), (3, three), (4, three + " " + two)]
+    docs = spark.createDataFrame([(d, t, 1, "x", 2, 3) for d, t in rows], "doc_id long, text string, `__gone` int, `row` string, gone int, `a.b` int")
+    found = substrings.deduplicated(spark, docs)
+    assert found.columns == [*docs.columns, "n_words", "n_removed", "kept"]
+    removed = {(r["doc_id"], r["text"]): r["n_removed"] for r in found.collect()}
+    assert removed == {(1, one): 0, (2, one): 90, (2, two): 90, (3, two): 90, (3, three): 90, (4, three + " " + two): 180}
+    with pytest.raises(TypeError):
+        substrings.deduplicated(spark, docs.withColumn("doc_id", docs["doc_id"].cast("string")))
