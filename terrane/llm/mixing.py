@@ -6,14 +6,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrane.llm.shared import WORD
+from terrane.llm.shared import WORD, Scratch, packed
 
 SEED = 7_919
 #: Tokens of a block, and tokens that a shard has about.
 BLOCK_TOKENS, SHARD_TOKENS = 8, 1 << 20
+#: Shards that are dealt to at once.
+GROUP_SHARDS = 4096
 #: A table of at most so many rows is broadcast; a longer one is joined by shuffling.
 BROADCAST_ROWS = 50_000
 
@@ -65,21 +67,38 @@ def _small(spark: SparkSession, rows: pd.DataFrame, schema: str) -> DataFrame:
     return F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: int = SEED) -> DataFrame:
-    """`docs` with size, source_size, target and taken in place of columns of those names.
+def mix(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """`docs` with size, source_size, target and taken in place of columns of those names; other columns are kept whatever their names.
 
     size: words of the whole text (null: 0). Sources, in order of code points with null last, weigh
     `weights`, repeating. Their targets share the sum of all sizes, at most `most` times a source's size.
     Each source's target is dealt in blocks of `block_tokens` by highest quotients over all sources, then
     over its shards, to which documents go by a seeded hash of doc_id. A shard takes whole passes over its
     documents and, of one more, the run of blocks that begins at a seeded place; taken is the words of a
-    document in what its shard takes, at most ceil(most) times its size. Reruns agree; rows of one
-    doc_id and text are interchangeable. An empty table gives an empty one. Sources are few: a row for
-    each passes through the driver, never one for each document.
+    document in what its shard takes, at most ceil(most) times its size. Equal quotients go to the earlier
+    source or shard. Reruns agree; rows of one doc_id and text are interchangeable, and rows without doc_id
+    go by their text. An empty table gives an empty one. Sources are few: a row for each passes through the
+    driver, never one for each document or shard.
     """
-    sized = docs.drop("size", "source_size", "target", "taken").withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    light = sized.select("source", "size", "doc_id")
-    per_source = light.groupBy("source").agg(F.sum("size").alias("source_size")).toPandas()
+    names = ("size", "source_size", "target", "taken")
+    return _mixed(spark, docs, packed(docs, names), **options).select("row.*", *names)
+
+
+def _mixed(
+    spark: SparkSession,
+    docs: DataFrame,
+    row: Column,
+    weights: Sequence[float] = (1, 2, 3),
+    most: float = 3.0,
+    block_tokens: int = BLOCK_TOKENS,
+    shard_tokens: int = SHARD_TOKENS,
+    group_shards: int = GROUP_SHARDS,
+    seed: int = SEED,
+) -> DataFrame:
+    """(row, size, source_size, target, taken) of each document."""
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    sized = docs.select(row, F.col("source").alias("source"), F.coalesce(F.xxhash64(F.lit(seed), "doc_id"), F.lit(0)).alias("place"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).alias("tie"), size.alias("size"))
+    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size")).toPandas()
     present = per_source[per_source["source"].notna()].sort_values("source", key=lambda s: s.map(lambda x: [ord(c) for c in x]))
     sources = pd.concat([present, per_source[per_source["source"].isna()]], ignore_index=True)
     n, total = len(sources), int(sources["source_size"].sum()) if len(sources) else 0
@@ -87,35 +106,35 @@ def mix(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (1, 2,
     sources["target"] = targets
     sources["seats"] = sainte_lague(targets, round(targets.sum() / block_tokens)) if n else []
     sources["shards"] = np.maximum(1, np.ceil(sources["source_size"].astype(float) / shard_tokens)).astype("int64") if n else []
+    sources["nth"] = np.arange(n)
     sources = sources.astype({"source": object, "source_size": "int64", "target": "float64", "seats": "int64", "shards": "int64"})
-    plan = _small(spark, sources.where(sources.notna(), None), "source string, source_size long, target double, seats long, shards long")
-    named = sized.join(plan.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")))
-    named = named.withColumn("__place", F.xxhash64(F.lit(seed), "doc_id")).withColumn("__shard", F.pmod(F.xxhash64("__place", F.lit(seed)), "shards"))
-
-    def deal(shards: pd.DataFrame) -> pd.DataFrame:
-        shards = shards.sort_values("__shard", kind="stable")
-        held = sainte_lague(shards["tokens"].to_numpy(), int(shards["seats"].iloc[0]))
-        shards["quota"] = np.minimum(held * block_tokens, np.floor(most * shards["tokens"]).astype(np.int64))
-        return shards[["__source", "__shard", "tokens", "quota"]]
-
-    shards = (
-        named.groupBy("__source", "__shard", "seats")
-        .agg(F.sum("size").alias("tokens"))
-        .groupBy("__source")
-        .applyInPandas(deal, "__source string, __shard long, tokens long, quota long")
-        .select(F.col("__source").alias("__s"), F.col("__shard").alias("__k"), "tokens", "quota")
-    )
-    from pyspark.sql import Window
-
-    in_shard = Window.partitionBy("__source", "__shard").orderBy("__place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = named.withColumn("__end", F.sum("size").over(in_shard)).join(shards, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__shard") == F.col("__k")))
-    begin, end, tokens = F.col("__end") - F.col("size"), F.col("__end"), F.col("tokens")
+    plan = _small(spark, sources.where(sources.notna(), None), "source string, source_size long, target double, seats long, shards long, nth long")
+    named = sized.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+    named = named.withColumn("shard", F.pmod(F.xxhash64("place", F.lit(seed)), "shards")).drop("source", "of", "shards")
+
+    def deal(by: str):
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(by, kind="stable")
+            rows["held"] = sainte_lague(rows["tokens"].to_numpy(), int(rows["seats"].iloc[0]))
+            return rows[["nth", by, "held"]]
+
+        return run
+
+    # first over groups of shards, then over each group's, so that no task gets all shards of a source
+    shards, _ = Scratch(spark, "mixing").keep(named.groupBy("nth", "shard", "seats").agg(F.sum("size").alias("tokens")).withColumn("part", F.expr(f"shard div {group_shards}")))
+    parts = shards.groupBy("nth", "part", "seats").agg(F.sum("tokens").alias("tokens")).groupBy("nth").applyInPandas(deal("part"), "nth long, part long, held long")
+    dealt = shards.drop("seats").join(parts.withColumnRenamed("held", "seats"), ["nth", "part"]).groupBy("nth", "part").applyInPandas(deal("shard"), "nth long, shard long, held long")
+    quotas = shards.join(dealt, ["nth", "shard"]).select("nth", "shard", "tokens", F.least(F.col("held") * block_tokens, F.floor(F.col("tokens") * most)).cast("long").alias("quota"))
+
+    in_shard = Window.partitionBy("nth", "shard").orderBy("place", "tie", "size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = named.drop("seats").withColumn("end", F.sum("size").over(in_shard)).join(quotas, ["nth", "shard"])
+    begin, end, tokens = F.col("end") - F.col("size"), F.col("end"), F.col("tokens")
     part = F.expr("quota % tokens")
     blocks = F.ceil(tokens / block_tokens)
-    start = F.pmod(F.xxhash64(F.lit(seed), "__source", "__shard"), blocks) * block_tokens
+    start = F.pmod(F.xxhash64(F.lit(seed), "nth", "shard"), blocks) * block_tokens
     shared = lambda a, b: F.greatest(F.lit(0), F.least(end, b) - F.greatest(begin, a))
     taken = F.expr("quota div tokens") * F.col("size") + shared(start, F.least(start + part, tokens)) + shared(F.lit(0), F.greatest(F.lit(0), start + part - tokens))
-    return placed.withColumn("taken", F.when(tokens > 0, taken).otherwise(0).cast("long")).drop("__source", "__place", "__shard", "__end", "__s", "__k", "tokens", "quota", "seats", "shards")
+    return placed.select("row", "size", "source_size", "target", F.when(tokens > 0, taken).otherwise(0).cast("long").alias("taken"))
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
@@ -123,6 +142,6 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFram
 
     A document of which less than half is taken is left out; one with no words has none to take and is left out too.
     """
-    taken = mix(spark, docs, **options)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), times, F.when(times > 0, F.lit(1))))).select(*docs.columns)
+    copies = F.explode(F.sequence(F.lit(1), times, F.when(times > 0, F.lit(1))))
+    return _mixed(spark, docs, packed(docs), **options).select("row", copies.alias("copy")).select("row.*")

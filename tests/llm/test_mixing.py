@@ -76,3 +76,17 @@ def test_query_keeps_to_the_contract(spark):
     got = [r.asDict() | {"source": sources[r["doc_id"]][0]} for r in queries.op7_mixing(spark, SF).collect()]
     assert len(got) == len(sources) and all(r["size"] == len((sources[r["doc_id"]][1] or "").encode().split()) for r in got)
     checked(got, sources.values())
+
+
+def test_clashing_names_and_groups_of_shards(spark):
+    names = ["seats", "shards", "tokens", "quota", "nth", "place", "row", "tie", "__source", "a.b"]
+    rng = random.Random(7)
+    rows = [(str(k), rng.choice("ab"), "w " * rng.randint(0, 30), *range(len(names))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id string, source string, text string, " + ", ".join(f"`{n}` int" for n in names))
+    found = mixing.mix(spark, docs, shard_tokens=60, group_shards=5)
+    assert found.columns == [*docs.columns, "size", "source_size", "target", "taken"]
+    checked(found.collect(), [r[1:3] for r in rows], most=3)
+    assert all([r[n] for n in names] == list(range(len(names))) for r in found.collect())
+    sized = docs.withColumn("size", docs["seats"])
+    assert mixing.mixed_documents(spark, sized).columns == sized.columns
+    assert {r["size"] for r in mixing.mixed_documents(spark, sized).collect()} == {0}

@@ -81,6 +81,44 @@ def test_simhash_edge_cases(spark):
     assert simhash.near_duplicates(spark, docs.limit(0)).count() == 0
 
 
+def shingle_set(text, size=5):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))) if words else frozenset()
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_similar_documents_against_plain_sets(spark):
+    rng = random.Random(2)
+    rows = []
+    for _ in range(40):
+        words = [f"t{rng.randrange(5000)}" for _ in range(300)]
+        # each changed word changes five shingles
+        for share in (0.0, 0.005, 0.01, 0.08, 0.5):
+            rows.append((len(rows) * 3, " ".join("other" + str(rng.random()) if rng.random() < share else w for w in words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark, docs, block=64).collect()}
+    sets = {d: shingle_set(t) for d, t in rows}
+    close = [(a, b) for a in sets for b in sets if a < b and likeness(sets[a], sets[b]) >= 0.87]
+    assert len(close) > 60 and sum(got[a] == got[b] for a, b in close) >= 0.95 * len(close)
+    far = [(a, b) for a in sets for b in sets if a < b and likeness(sets[a], sets[b]) < 0.5]
+    assert not any(got[a] == got[b] for a, b in far)
+
+
+def test_one_of_each_keeps_odd_rows_and_names(spark):
+    long = " ".join(f"k{n % 1999}" for n in range(30_000))
+    rows = [(1, None), (2, ""), (3, "Some Words"), (4, "some words"), (4, "some words"), (5, long), (6, long + " end"), (None, long), (None, None)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, "x") for r in rows], "doc_id long, text string, __id int, n int, row int, stay string")
+    kept = simhash.one_of_each(spark, docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 0, 1, 3, 5]
+    assert simhash.one_of_each(spark, docs.limit(0)).count() == 0
+    words = docs.withColumn("doc_id", docs["doc_id"].cast("string"))
+    assert sorted((r["doc_id"] or "") for r in simhash.one_of_each(spark, words).collect()) == ["", "", "1", "3", "5"]
+
+
 def plain_cosine(rows, least=0.95):
     good = {}
     for i, v in rows:

@@ -23,7 +23,7 @@ def test_each_stage_works_on_what_the_one_before_kept(spark, tmp_path):
     bad = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r["quality"] == 0}
     kept = {r["doc_id"] for r in seen[0][1]}
     assert len(bad & kept) <= 1 and len(kept) > 150
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark, spark.createDataFrame(seen[1][0])).collect()}
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark, spark.createDataFrame(seen[1][0])).collect()}
     assert {r["doc_id"] for r in seen[1][1]} == set(groups.values())
     windows = set()
     for r in sorted(seen[2][0], key=lambda r: r["doc_id"]):
