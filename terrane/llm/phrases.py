@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm.shared import SLICE_BYTES, text_slices
+from terrane.llm.shared import SLICE_BYTES, text_slices, trimmed, whole_ids
 
 #: Phrases from this level on make the signature, and hashes that a fingerprint keeps of it.
 LEVEL, KEPT = 3, 64
-#: Bytes of text of a range of neighbouring documents, and how many ranges there are at most: a task streams its ranges.
-RANGE_BYTES, MOST_RANGES = 4 << 20, 10_000
+#: Bytes of text of a range of neighbouring documents: the first while ranges are few, the second at most; a task streams its ranges.
+RANGE_BYTES, LARGE_RANGE_BYTES = 4 << 20, 128 << 20
+#: Ranges that are cut at once; more of them are cut inside those.
+CUT_RANGES = 10_000
 TOSSES = 4
 
 U = np.uint64
@@ -133,17 +135,35 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def in_ranges(spark: SparkSession, docs: DataFrame, range_bytes: int) -> DataFrame:
+def range_cuts(spark: SparkSession, placed: DataFrame, n: int, cut_ranges: int = CUT_RANGES) -> np.ndarray:
+    """About n - 1 quantiles of place: at most `cut_ranges` of the whole table, and if that is too few as many of each part as it takes."""
+    coarse = min(n, cut_ranges)
+    cuts = placed.approxQuantile("place", [k / coarse for k in range(1, coarse)], 0.2 / coarse) if coarse > 1 else []
+    cuts = np.unique(np.array(cuts, np.float64).astype(np.int64))
+    each = -(-n // coarse)
+    if each == 1:
+        return cuts
+    ids = spark.sparkContext.broadcast(cuts)
+
+    @F.pandas_udf("int")
+    def part(place: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(ids.value, place.to_numpy(), "right").astype(np.int32))
+
+    inner = placed.groupBy(part("place").alias("part")).agg(F.percentile_approx("place", [k / each for k in range(1, each)], 10 * each).alias("cuts")).select(F.explode("cuts").alias("cut")).distinct()
+    return np.union1d(cuts, np.array([r["cut"] for r in inner.collect()], np.int64))
+
+
+def in_ranges(spark: SparkSession, docs: DataFrame, range_bytes: int, cut_ranges: int = CUT_RANGES) -> DataFrame:
     """Documents in ranges of doc_id, each range with the first document of the next one, the last with the very first.
 
     Columns: range, extra (true for that added document), place (doc_id, null as the least long), doc_id,
-    text. Only doc_ids and lengths are read to cut the ranges; one number for each range reaches the driver.
+    text. Only doc_ids and lengths are read to cut the ranges; one number for each range reaches the driver:
+    ranges grow with the table up to 128 MB, beyond which there are more of them (800,000 at 100 TB).
     """
     placed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("place"), "doc_id", "text")
     total = placed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = min(MOST_RANGES, int(total // range_bytes) + 1)
-    cuts = placed.approxQuantile("place", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else []
-    cuts = np.unique(np.array(cuts, np.float64).astype(np.int64))
+    n = max(min(total // range_bytes, cut_ranges), total // LARGE_RANGE_BYTES) + 1
+    cuts = range_cuts(spark, placed, n, cut_ranges)
     ids = spark.sparkContext.broadcast(cuts)
 
     @F.pandas_udf("int")
@@ -163,15 +183,18 @@ def in_ranges(spark: SparkSession, docs: DataFrame, range_bytes: int) -> DataFra
     return dealt.select("range", (F.col("added") > 0).alias("extra"), "place", "doc_id", "text").repartition(n, "range").sortWithinPartitions("range", "extra", "place", "text")
 
 
-def compared(spark: SparkSession, docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def compared(spark: SparkSession, docs: DataFrame, range_bytes: int = RANGE_BYTES, cut_ranges: int = CUT_RANGES) -> DataFrame:
     """Each whole text's fingerprint, its edited text's, and how like it those and the next document's are.
 
     Columns: doc_id, n_chars (code points), edited_sha256, fingerprint and edited_fingerprint (lowercase
     hex, 8 digits a phrase), near_edited, near_next. The next document is that of the next doc_id, after
     the last the first; of rows that share a doc_id, by text. A null text counts as empty, a null doc_id
-    as the least. One document alone is its own next one. An empty table gives an empty one; other columns
-    are left out.
+    as the least. One document alone is its own next one. Of phrases that tie for a place in a fingerprint
+    the names are equal, so either gives the same. An empty table gives an empty one; other columns are left
+    out. A doc_id that is no whole number is refused by a TypeError. A text is worked on whole: a task takes
+    about 60 times the bytes of its longest one.
     """
+    whole_ids(docs, "fingerprints")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +212,7 @@ def compared(spark: SparkSession, docs: DataFrame, range_bytes: int = RANGE_BYTE
         if len(held) > 1:
             yield _pairs(held, batch.schema.field(2).type)
 
-    return in_ranges(spark, docs, range_bytes).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return in_ranges(spark, docs, range_bytes, cut_ranges).mapInArrow(trimmed(run), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _pairs(held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:

@@ -166,8 +166,10 @@ def wide_simhash(texts: list[bytes], size: int = 5) -> np.ndarray:
             own = np.array([sum(int(mixed(words[begin + j : begin + j + 1], 20 + j)[0]) for j in range(end - begin)) & (1 << 64) - 1], np.uint64)
         else:
             continue
-        longs = np.stack([mixed(own, 40 + j) for j in range(LONGS)], axis=1)
-        ones = np.unpackbits(longs.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones = np.zeros(64 * LONGS, np.int64)
+        for first in range(0, len(own), 1 << 14):
+            longs = np.stack([mixed(own[first : first + (1 << 14)], 40 + j) for j in range(LONGS)], axis=1)
+            ones += np.unpackbits(longs.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out[k] = np.packbits(2 * ones > len(own), bitorder="little").view(np.uint64)
     return out
 

@@ -92,14 +92,19 @@ def test_equal_substrings_share_their_inside():
     assert phrases.likeness(*phrases.fingerprints([inside.encode(), other.encode()])) < 0.05
 
 
-@pytest.mark.parametrize("range_bytes", [3_000, phrases.RANGE_BYTES])
-def test_edge_cases_in_few_and_many_ranges(spark, range_bytes):
+@pytest.mark.parametrize(("range_bytes", "cut_ranges", "large"), [(3_000, 10_000, phrases.LARGE_RANGE_BYTES), (phrases.RANGE_BYTES, 10_000, phrases.LARGE_RANGE_BYTES), (3_000, 3, 700)])
+def test_edge_cases_in_few_and_many_ranges(spark, monkeypatch, range_bytes, cut_ranges, large):
+    monkeypatch.setattr(phrases, "LARGE_RANGE_BYTES", large)
     rng = random.Random(9)
     rows = [(k * 7, "".join(rng.choice("ab é") for _ in range(rng.randint(0, 300)))) for k in range(60)]
     rows += [(None, "no id"), (14, "repeated id"), (14, "repeated id"), (1000, None), (1001, ""), (1002, "word " * 3000)]
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, range int").repartition(3)
-    assert rounded(phrases.compared(spark, docs, range_bytes)) == plain(rows)
+    assert rounded(phrases.compared(spark, docs, range_bytes, cut_ranges)) == plain(rows)
+    if large == 700:
+        assert phrases.in_ranges(spark, docs, range_bytes, cut_ranges).select("range").distinct().count() > 15
     assert phrases.compared(spark, docs.limit(0), range_bytes).count() == 0
+    with pytest.raises(TypeError):
+        phrases.compared(spark, docs.withColumn("doc_id", docs["doc_id"].cast("string")))
     alone = phrases.compared(spark, docs.filter("doc_id = 1002")).first()
     assert alone["near_next"] == 1.0 and alone["n_chars"] == 15000
 
