@@ -7,15 +7,22 @@ from pyspark.sql import functions as F
 
 #: Weights of the seven terms of an edge score, in order of the arguments.
 EDGE_WEIGHTS = (0.28, 0.16, 0.18, 0.14, 0.10, 0.07, 0.07)
+#: Fixed value: the difference of roughness, planarity or linearity from which nothing is alike.
+FAR_SHAPE = 0.35
 
 
 def unit(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
-def edge_score(contact_color: Column, p90_color: Column, support: Column, normal: Column, roughness: Column, planarity: Column, linearity: Column, outside: Column | None = None, outside_weight: float = 0.0) -> Column:
-    """Weighted likeness of two patches in contact: color distances out of 255, differences out of 1, blended with outside evidence where there is any."""
-    terms = [1 - contact_color / 255, 1 - p90_color / 255, support, normal, 1 - roughness, 1 - planarity, 1 - linearity]
+def edge_score(contact_color: Column, p90_color: Column, support: Column, normal: Column, roughness: Column, planarity: Column, linearity: Column, far_color: float, outside: Column | None = None, outside_weight: float = 0.0) -> Column:
+    """Weighted likeness of two patches in contact: color distances out of `far_color`, shape differences out of FAR_SHAPE, blended with outside evidence where there is any.
+
+    A color distance that is unknown counts as `far_color`, an unknown difference as 1, unknown support and normals as 0.
+    """
+    known = lambda x, other: F.coalesce(x, F.lit(other))
+    terms = [1 - known(x, far_color) / far_color for x in (contact_color, p90_color)] + [known(support, 0.0), known(normal, 0.0)]
+    terms += [1 - known(x, 1.0) / FAR_SHAPE for x in (roughness, planarity, linearity)]
     own = sum((w * unit(t) for w, t in zip(EDGE_WEIGHTS, terms, strict=True)), F.lit(0.0))
     return own if outside is None else F.coalesce((1 - outside_weight) * own + outside_weight * unit(outside), own)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +19,28 @@ def flagged(rows: DataFrame, flags: dict[str, Column], weights: dict[str, float]
 def pareto(rows: DataFrame, key: str, goals: list[str]) -> DataFrame:
     """Rows that no other row beats: at most as much in every goal and less in one (less is better).
 
-    Equal goals are one point; points are compared within the sorted front of the first goal only, so what
-    meets are distinct points, not rows.
+    Equal goals are one point. Each partition first drops the points that others of its own beat; what is
+    left, the fronts of the partitions, is compared pair by pair. Rows with a null or NaN goal are left out.
     """
-    points = rows.select(*goals).distinct()
+    known = rows
+    for g in goals:
+        known = known.filter(F.col(g).isNotNull() & ~F.isnan(F.col(g).cast("double")))
+
+    def front_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for part in parts:
+            part = part if held is None else pd.concat([held, part], ignore_index=True)
+            part = part.sort_values(goals, kind="stable").drop_duplicates(ignore_index=True)
+            values, stay = part.to_numpy(float), []
+            for k, point in enumerate(values):
+                # what beats a point comes before it in this order
+                if not stay or not (values[stay] <= point).all(axis=1).any():
+                    stay.append(k)
+            held = part.iloc[stay]
+        if held is not None:
+            yield held
+
+    points = known.select(*goals).mapInPandas(front_of, known.select(*goals).schema).distinct()
     other = points.select(*[F.col(g).alias(f"__{g}") for g in goals])
     no_worse, better = F.lit(True), F.lit(False)
     for g in goals:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.operators.lineage import Scratch
+from terrane.operators.patches import BUCKETS
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int = 60) -> DataFrame:
@@ -129,6 +132,114 @@ def greedy_union(edges: DataFrame, sizes: DataFrame, k: float, least_score: floa
     return joined.unionByName(alone)
 
 
+@dataclass(frozen=True)
+class Gates:
+    """Limits of superpoint clustering; a bridge lets an edge below `least_score` through."""
+
+    least_score: float = 0.62
+    least_size: int = 1
+    #: Scale of the internal difference that a merge may pass, 0 for none.
+    k: float = 0.0
+    most_entropy: float = 2.0
+    #: Horizontal and vertical shares from which two patches of `veto_size` each are never merged, None for no veto.
+    veto_share: float | None = None
+    veto_size: int = 0
+    contact_support: float = 0.25
+    contact_color: float = 65.0
+    contact_p90: float = 80.0
+    near_gap: float = 0.15
+    near_color: float = 70.0
+    near_normal: float = 0.65
+    #: Contact points from which an uncertain fragment is taken by a stable surface, None for no such bridge.
+    fragment_contacts: float | None = None
+    fragment_color: float = 60.0
+    fragment_gap: float = 0.2
+    fragment_size: int = 1000
+    surface_size: int = 1000
+
+
+def dominant_bucket(counts: Sequence[float], share: float = 0.6) -> str:
+    """The bucket with at least `share` of the counts, of equals the first, else mixed."""
+    top = max(range(len(counts)), key=lambda k: (counts[k], -k))
+    return BUCKETS[top] if counts[top] >= share * sum(counts) else "mixed"
+
+
+def bits_of(counts: Sequence[float]) -> float:
+    """Entropy in bits."""
+    total = sum(counts)
+    return -sum(c / total * math.log2(c / total) for c in counts if c > 0)
+
+
+def superpoints(edges: DataFrame, nodes: DataFrame, gates: Gates) -> DataFrame:
+    """Clusters (node, cluster) of patches by one pass over scored edges, gated by what the two clusters have become.
+
+    Edges are (a, b, score, shared) with support, color, color_p90, normal, gap and contacts, null where there is
+    no such evidence; `nodes` are (node, size, counts), counts being cells by geometry bucket. The pass goes in
+    order of score, shared and pair, all descending. An edge passes if its score reaches the least, or by a bridge:
+    two clusters of one definite geometry in firm contact of like color, or near each other with like color and
+    normals, or a small uncertain fragment touching a large stable surface. Clusters too small (but for
+    such fragments), too unlike inside, that would put a horizontal and a vertical surface together, or whose
+    union's buckets have too much entropy stay apart. The larger one's name stays, of equals the first's.
+
+    Edges that no gate can let through, whatever clusters come to be, are dropped first; what then hangs
+    together is folded in one task.
+    """
+    color, near = F.coalesce("color", F.lit(math.inf)), F.coalesce("gap", F.lit(math.inf))
+    bridge = (F.coalesce("support", F.lit(0.0)) >= gates.contact_support) & (color <= gates.contact_color) & (F.coalesce("color_p90", F.lit(math.inf)) <= gates.contact_p90)
+    bridge = bridge | ((near <= gates.near_gap) & (color <= gates.near_color) & (F.coalesce("normal", F.lit(0.0)) >= gates.near_normal))
+    if gates.fragment_contacts is not None:
+        bridge = bridge | ((F.coalesce("contacts", F.lit(0.0)) >= gates.fragment_contacts) & (color <= gates.fragment_color) & (near <= gates.fragment_gap))
+    able = edges.filter((F.col("score") >= gates.least_score) | bridge)
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows["a"] == rows["b"]
+        held = rows[own]
+        sets, size = Sets(), dict(zip(held["a"], held["size"], strict=True))
+        counts = {n: list(c) for n, c in zip(held["a"], held["counts"], strict=True)}
+        inner = dict.fromkeys(size, 0.0)
+        known = lambda x, other: other if x is None or x != x else x
+        for row in rows[~own].sort_values(["score", "shared", "a", "b"], ascending=False).itertuples():
+            p, q = sets.root(row.a), sets.root(row.b)
+            if p == q:
+                continue
+            kinds = dominant_bucket(counts[p]), dominant_bucket(counts[q])
+            color, gap = known(row.color, math.inf), known(row.gap, math.inf)
+            fragment = False
+            for (s, one), (f, other) in (((p, kinds[0]), (q, kinds[1])), ((q, kinds[1]), (p, kinds[0]))):
+                if gates.fragment_contacts is not None and one in ("horizontal", "vertical") and other in ("unknown", "mixed", "rough_mixed"):
+                    fragment = size[s] >= gates.surface_size and size[f] <= gates.fragment_size and known(row.contacts, 0.0) >= gates.fragment_contacts and color <= gates.fragment_color and gap <= gates.fragment_gap
+            if min(size[p], size[q]) < gates.least_size and not fragment:
+                continue
+            definite = kinds[0] == kinds[1] and kinds[0] not in ("unknown", "mixed")
+            contact = definite and known(row.support, 0.0) >= gates.contact_support and color <= gates.contact_color and known(row.color_p90, math.inf) <= gates.contact_p90
+            close = definite and gap <= gates.near_gap and color <= gates.near_color and known(row.normal, 0.0) >= gates.near_normal
+            if row.score < gates.least_score and not (fragment or close or contact):
+                continue
+            apart = 1 - row.score
+            if gates.k > 0 and apart > min(inner[p] + gates.k / size[p], inner[q] + gates.k / size[q]):
+                continue
+            if gates.veto_share is not None and min(size[p], size[q]) >= gates.veto_size:
+                share = lambda n, name: counts[n][BUCKETS.index(name)] / max(sum(counts[n]), 1)
+                if any(share(m, "horizontal") >= gates.veto_share and share(n, "vertical") >= gates.veto_share for m, n in ((p, q), (q, p))):
+                    continue
+            both = [x + y for x, y in zip(counts[p], counts[q], strict=True)]
+            if bits_of(both) > gates.most_entropy:
+                continue
+            if size[q] > size[p]:
+                p, q = q, p
+            sets.up[q] = p
+            size[p] += size[q]
+            counts[p] = both
+            inner[p] = max(inner[p], apart)
+        return pd.DataFrame({"node": list(inner), "cluster": [sets.root(n) for n in inner]})
+
+    kind = nodes.schema["node"].dataType.simpleString()
+    read = able.select("a", "b", "score", "shared", *[F.col(c).cast("double").alias(c) for c in ("support", "color", "color_p90", "normal", "gap", "contacts")])
+    joined = by_component(read, fold, f"node {kind}, cluster {kind}", nodes)
+    alone = nodes.join(joined, "node", "left_anti").select("node", F.col("node").alias("cluster"))
+    return joined.unionByName(alone)
+
+
 def propagated(edges: DataFrame, anchors: DataFrame, most_hops: int, least: float) -> DataFrame:
     """(node, label, score, hops): the best product of edge weights from an anchor, settled best first.
 

@@ -67,9 +67,10 @@ def contacts(cells: DataFrame, owner: str) -> DataFrame:
 def first_hit(queries: DataFrame, cells: DataFrame, query_id: str, kind: str = "cube", radius: int = 1) -> DataFrame:
     """For each query its own cell's row or else the nearest cell's, by squared distance and then by offset."""
     steps = [(0, 0, 0), *offsets(kind, radius)]
-    found = offset_join(queries, cells, steps)
-    first = Window.partitionBy(query_id).orderBy("rank")
-    return found.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+    found = offset_join(queries.select(query_id, *KEY), cells, steps)
+    # a cell has one row, so ranks of a query don't tie; the least is kept before anything is moved
+    best = found.groupBy(query_id).agg(F.min_by(F.struct(*[c for c in found.columns if c not in (query_id, *KEY)]), "rank").alias("__m"))
+    return best.select(query_id, "__m.*")
 
 
 def nearest_within(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, radius: float, closed: bool = False) -> DataFrame:

@@ -12,13 +12,15 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], seconds:
     Both sides have `seconds`; rows meet in buckets of the tolerance, so a key with many rows is never one group.
     """
     bucket = F.floor(F.col(seconds) / tolerance)
-    spread = left.withColumn("__b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    # each left row is one of its own, though others may equal it
+    own = left.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("__row"), *[F.col(k) for k in keys], F.col(seconds))
+    spread = own.select("*", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("__b"))
     named = right.select(*[F.col(k) for k in keys], bucket.alias("__b"), F.col(seconds).alias("__t"), F.col(right_id).alias("__id"))
     gap = F.abs(F.col(seconds) - F.col("__t"))
     met = spread.join(named, [*keys, "__b"]).filter(gap <= tolerance)
     order = F.struct(gap.alias("gap"), F.col("__t").alias("t"), F.col("__id").alias("id"))
-    found = met.groupBy(*left.columns).agg(F.min(order).alias("__m"))
-    return found.select(*left.columns, F.col("__m.id").alias(right_id), F.col("__m.gap").alias("gap"))
+    found = met.groupBy("__row", "row").agg(F.min(order).alias("__m"))
+    return found.select("row.*", F.col("__m.id").alias(right_id), F.col("__m.gap").alias("gap"))
 
 
 def shifted(rows: DataFrame, keys: list[str], order: str, seconds: str, phase: float) -> DataFrame:

@@ -14,13 +14,16 @@ from terrane.streaming import votes
 
 
 def _bought_together(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between parts that stand in large lines of one order."""
-    large = table(spark, sf_dir, "lineitem").filter("l_quantity >= 47").select("l_orderkey", "l_partkey").distinct()
-    a, b = (large.select("l_orderkey", F.col("l_partkey").alias(s)) for s in "ab")
-    return a.join(b, "l_orderkey").filter("a < b").select("a", "b").distinct()
+    """Edges from the least part of each order's lines of one supplier to its others there."""
+    lines = table(spark, sf_dir, "lineitem")
+    keys = [F.col("l_orderkey"), (F.col("l_suppkey") % 10).alias("dock")]
+    first = lines.groupBy(*keys).agg(F.min("l_partkey").alias("a"))
+    return lines.select(*keys, F.col("l_partkey").alias("b")).join(first, ["l_orderkey", "dock"]).filter("a < b").select("a", "b").distinct()
 
 
-@query()
+@query(
+    "WITH RECURSIVE first AS (SELECT l_orderkey, l_suppkey % 10 AS dock, min(l_partkey) AS a FROM lineitem GROUP BY 1, 2), half AS (SELECT DISTINCT a, l_partkey AS b FROM lineitem l JOIN first f ON f.l_orderkey = l.l_orderkey AND f.dock = l.l_suppkey % 10 WHERE a < l_partkey), e AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half), r(a, b) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT a AS node, min(b) AS component FROM r GROUP BY 1"
+)
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
     return graph.components(_bought_together(spark, sf_dir), nodes)
@@ -37,10 +40,11 @@ def voxel_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def patch_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects whose voxels fall apart, by faces of near colors."""
+    """Objects whose voxels fall apart, neighbours being cells of one bucket and of near color that touch in any of 26 ways."""
     cells = owned(spark, sf_dir).withColumn("node", voxels.packed_key(1000, 1000))
     both = neighbours.offset_join(cells, cells, neighbours.positive(neighbours.offsets("cube"))).filter("owner = n_owner")
-    edges = both.select(F.col("node").alias("a"), F.col("n_node").alias("b"))
+    color = F.sqrt(sum((F.pow(F.col(c) - F.col(f"n_{c}"), 2) for c in "rgb"), F.lit(0.0)))
+    edges = both.filter(color <= 120).select(F.col("node").alias("a"), F.col("n_node").alias("b"))
     return graph.split_inside(cells.withColumnRenamed("owner", "patch"), edges, "patch", 2).groupBy("patch", "part").agg(F.count("*").alias("cells"))
 
 
@@ -51,6 +55,21 @@ def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return edges.select("a", "b", score.alias("score"), F.col("faces").alias("shared")), cells.groupBy(F.col("owner").alias("node")).agg(F.count("*").alias("size"))
 
 
+@query()
+def superpoint_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners of cells in contact, clustered with every gate; a cell's bucket follows its owner or, for some, its column."""
+    cells = owned(spark, sf_dir)
+    contact = neighbours.contacts(cells, "owner")
+    score = F.round(0.6 * (1 - F.col("color_distance") / 442) + 0.4 * F.least(F.lit(1.0), F.col("contact_ratio")), 6)
+    none = F.lit(None).cast("double")
+    edges = contact.select("a", "b", score.alias("score"), F.col("faces").alias("shared"), F.col("contact_ratio").alias("support"), F.col("color_distance").alias("color"), F.col("color_distance").alias("color_p90"), none.alias("normal"), F.lit(0.0).alias("gap"), F.col("faces").cast("double").alias("contacts"))
+    bucket = F.when(F.col("ix") % 4 > 0, F.col("owner") % 5).otherwise(F.col("ix") % 5)
+    counts = F.array(*[F.count_if(F.col("bucket") == k) for k in range(5)])
+    nodes = cells.withColumn("bucket", bucket).groupBy(F.col("owner").alias("node")).agg(F.count("*").alias("size"), counts.alias("counts"))
+    limits = graph.Gates(least_score=0.7, k=4.0, most_entropy=1.8, veto_share=0.4, contact_support=0.02, contact_color=90.0, contact_p90=90.0, fragment_contacts=2.0, fragment_color=90.0, fragment_size=40, surface_size=10)
+    return graph.superpoints(edges, nodes, limits)
+
+
 @query()
 def greedy_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, sizes = _scored(spark, sf_dir)
@@ -197,8 +216,8 @@ def long_association(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def image_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of the pieces that each label's points make in the first frames."""
-    pixels = points(spark, sf_dir).filter("frame < 10").select(F.col("point_id").alias("node"), "frame", "label", F.floor("x").alias("u"), F.floor("y").alias("v"), "z")
+    """Sizes of the pieces that each label's points make in each frame."""
+    pixels = points(spark, sf_dir).select(F.col("point_id").alias("node"), "frame", "label", F.floor("x").alias("u"), F.floor("y").alias("v"), "z")
     pieces = graph.image_components(pixels, ["frame", "label"], 2, 0.5, 3)
     return pieces.groupBy("piece").agg(F.count("*").alias("points"))
 

@@ -42,13 +42,13 @@ def geometry_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    with_(POINTS, PATCHES, "s AS (SELECT patch_id AS surface, x0, x1, y0, y1, z0, z1, z AS mz, r AS mr FROM patches WHERE n >= 3 AND patch_id % 4 = 0)", "p AS (SELECT point_id AS residual, x, y, z, r FROM points WHERE frame < 10)", "met AS (SELECT residual, surface, abs(p.z - mz) + abs(p.r - mr) / 255 AS cost FROM p JOIN s ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1 WHERE abs(p.r - mr) <= 60)")
+    with_(POINTS, PATCHES, "s AS (SELECT patch_id AS surface, x0, x1, y0, y1, z0, z1, z AS mz, r AS mr FROM patches WHERE n >= 3)", "p AS (SELECT point_id AS residual, x, y, z, r FROM points)", "met AS (SELECT residual, surface, abs(p.z - mz) + abs(p.r - mr) / 255 AS cost FROM p JOIN s ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1 WHERE abs(p.r - mr) <= 60)")
     + "SELECT residual, first(surface ORDER BY cost, surface) AS surface, round(min(cost), 6) AS cost FROM met WHERE cost <= 1 GROUP BY 1"
 )
 def residual_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = [F.col(f"{c}{k}").alias(f"s_{c}{k}") for c in "xyz" for k in (0, 1)]
-    surfaces = patch_table(spark, sf_dir).filter("n >= 3 AND patch_id % 4 = 0").select(F.col("patch_id").alias("surface"), *ends, F.col("z").alias("s_z"), F.col("r").alias("s_r"))
-    residuals = points(spark, sf_dir).filter("frame < 10").select(F.col("point_id").alias("residual"), "x", "y", "z", "r")
+    surfaces = patch_table(spark, sf_dir).filter("n >= 3").select(F.col("patch_id").alias("surface"), *ends, F.col("z").alias("s_z"), F.col("r").alias("s_r"))
+    residuals = points(spark, sf_dir).select(F.col("point_id").alias("residual"), "x", "y", "z", "r")
     inside = F.abs(F.col("r") - F.col("s_r")) <= 60
     for c in "xyz":
         inside = inside & (F.col(c) >= F.col(f"s_{c}0")) & (F.col(c) <= F.col(f"s_{c}1"))
@@ -86,12 +86,12 @@ def merged_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    with_(POINTS, PATCHES, "largest AS (SELECT * FROM patches ORDER BY n DESC, patch_id LIMIT 300)", "met AS (SELECT u.patch_id AS upper, l.patch_id AS lower, u.z - l.z AS rise FROM largest u JOIN largest l ON u.x0 < l.x1 AND l.x0 < u.x1 AND u.y0 < l.y1 AND l.y0 < u.y1 WHERE u.z - l.z >= 0.4 AND u.z - l.z <= 1.5)")
+    with_(POINTS, PATCHES, "met AS (SELECT u.patch_id AS upper, l.patch_id AS lower, u.z - l.z AS rise FROM patches u JOIN patches l ON u.x0 < l.x1 AND l.x0 < u.x1 AND u.y0 < l.y1 AND l.y0 < u.y1 WHERE u.z - l.z >= 0.4 AND u.z - l.z <= 1.5)")
     + "SELECT upper, first(lower ORDER BY rise, lower) AS lower FROM met GROUP BY 1"
 )
 def objects_below(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Among the 300 largest patches, what lies under each."""
-    rows = patch_table(spark, sf_dir).orderBy(F.desc("n"), "patch_id").limit(300).withColumnRenamed("patch_id", "object_id")
+    """What lies under each patch."""
+    rows = patch_table(spark, sf_dir).withColumnRenamed("patch_id", "object_id")
     return objects.below(rows, 5.0, 0.4, 1.5)
 
 

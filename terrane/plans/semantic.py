@@ -44,9 +44,9 @@ def patch_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.select("object_id", "n", "e1", "e2", "e3", "linearity", "planarity", "scattering"), 6, "e1", "e2", "e3", "linearity", "planarity", "scattering")
 
 
-@query(with_(POINTS) + "SELECT object_id, CASE WHEN max(w) >= 0.6 * sum(w) THEN list_extract(['unknown', 'horizontal', 'vertical', 'thin_linear', 'rough_mixed'], CAST(arg_max(k, w * 10 - k) AS INT) + 1) ELSE 'mixed' END AS geometry, round(max(w) / sum(w), 6) AS share FROM (SELECT object_id, frame % 5 AS k, count(*) AS w FROM points WHERE frame % 5 < 2 GROUP BY 1, 2) GROUP BY 1")
+@query(with_(POINTS) + "SELECT object_id, CASE WHEN max(w) >= 0.6 * sum(w) THEN list_extract(['unknown', 'horizontal', 'vertical', 'thin_linear', 'rough_mixed'], CAST(arg_max(k, w * 10 - k) AS INT) + 1) ELSE 'mixed' END AS geometry, round(max(w) / sum(w), 6) AS share FROM (SELECT object_id, CASE WHEN x < 10 + object_id % 41 THEN object_id % 5 ELSE frame % 5 END AS k, count(*) AS w FROM points GROUP BY 1, 2) GROUP BY 1")
 def dominant_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = points(spark, sf_dir).filter("frame % 5 < 2").groupBy("object_id", (F.col("frame") % 5).alias("bucket")).agg(F.count("*").alias("n"))
+    counts = points(spark, sf_dir).groupBy("object_id", F.when(F.col("x") < 10 + F.col("object_id") % 41, F.col("object_id") % 5).otherwise(F.col("frame") % 5).alias("bucket")).agg(F.count("*").alias("n"))
     return rounded(patches.dominant_geometry(counts, ["object_id"]), 6, "share")
 
 
@@ -65,15 +65,24 @@ def contact_edge_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    with_(POINTS, OWNED, CONTACTS)
-    + "SELECT a, b, round(0.28 * greatest(0, least(1, 1 - color_distance / 255)) + 0.16 * greatest(0, least(1, 1 - color_distance / 255)) + 0.18 * least(1, faces / least(s.n, t.n)) + 0.14 + 0.10 + 0.07 + 0.07, 6) AS score, round(exp(-(color_distance * color_distance) / (2 * 35.0 * 35.0)), 6) AS affinity, round(sqrt(least(1, faces / least(s.n, t.n))), 6) AS support FROM contacts JOIN sizes s ON s.owner = a JOIN sizes t ON t.owner = b"
+    with_(POINTS, OWNED, CONTACTS, "p90 AS (SELECT least(owner, o2) AS a, greatest(owner, o2) AS b, quantile_disc(sqrt((r - r2) ** 2 + (g - g2) ** 2 + (b - b2) ** 2), 0.9) AS q FROM faces WHERE owner <> o2 GROUP BY 1, 2)", "means AS (SELECT owner, avg(r) / 255 AS rough, avg(g) / 255 AS planar, avg(b) / 255 AS linear, avg(iz) / 2 AS up FROM owned GROUP BY 1)")
+    + "SELECT a, b, round(0.28 * greatest(0, 1 - color_distance / 120) + 0.16 * greatest(0, 1 - q / 120) + 0.18 * least(1, faces / least(s.n, t.n)) + 0.14 * greatest(0, 1 - abs(m.up - k.up)) + 0.10 * greatest(0, 1 - abs(m.rough - k.rough) / 0.35) + 0.07 * greatest(0, 1 - abs(m.planar - k.planar) / 0.35) + 0.07 * greatest(0, 1 - abs(m.linear - k.linear) / 0.35), 6) AS score, round(exp(-(color_distance * color_distance) / (2 * 35.0 * 35.0)), 6) AS affinity, round(sqrt(least(1, faces / least(s.n, t.n))), 6) AS support FROM contacts JOIN p90 USING (a, b) JOIN sizes s ON s.owner = a JOIN sizes t ON t.owner = b JOIN means m ON m.owner = a JOIN means k ON k.owner = b"
 )
 def edge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from terrane.operators.neighbours import contacts
+    """All seven terms; brightness and height stand for the shape statistics of the two sides."""
+    from terrane.operators.neighbours import contacts, offset_join, offsets, positive
 
-    edges = contacts(owned(spark, sf_dir), "owner")
-    one, zero = F.lit(1.0), F.lit(0.0)
-    score = scoring.edge_score(F.col("color_distance"), F.col("color_distance"), F.col("contact_ratio"), one, zero, zero, zero)
+    cells = owned(spark, sf_dir)
+    faces = offset_join(cells, cells, positive(offsets("faces"))).filter("owner <> n_owner")
+    color = F.sqrt(sum((F.pow(F.col(c) - F.col(f"n_{c}"), 2) for c in "rgb"), F.lit(0.0)))
+    single = faces.select(F.least("owner", "n_owner").alias("a"), F.greatest("owner", "n_owner").alias("b"), color.alias("color"))
+    p90 = single.groupBy("a", "b").agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY color)").alias("color_p90"))
+    shape = {"rough": F.avg("r") / 255, "planar": F.avg("g") / 255, "linear": F.avg("b") / 255, "up": F.avg("iz") / 2}
+    means = cells.groupBy("owner").agg(*[v.alias(k) for k, v in shape.items()])
+    side = lambda s: means.select(F.col("owner").alias(s), *[F.col(k).alias(f"{s}_{k}") for k in shape])
+    edges = contacts(cells, "owner").join(p90, ["a", "b"]).join(side("a"), "a").join(side("b"), "b")
+    apart = {k: F.abs(F.col(f"a_{k}") - F.col(f"b_{k}")) for k in shape}
+    score = scoring.edge_score(F.col("color_distance"), F.col("color_p90"), F.col("contact_ratio"), 1 - apart["up"], apart["rough"], apart["planar"], apart["linear"], 120.0)
     return edges.select("a", "b", F.round(score, 6).alias("score"), F.round(scoring.color_affinity(F.col("color_distance"), 35.0), 6).alias("affinity"), F.round(scoring.contact_support(F.col("contact_ratio")), 6).alias("support"))
 
 
@@ -140,12 +149,12 @@ def teacher_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    with_(VOTES, "seen AS (SELECT object_id, count(*) AS views, log(1 + sum(value) * sum(value) / sum(value * value)) AS _s, ln(1 + sum(value) * sum(value) / sum(value * value)) AS support FROM views WHERE value > 0 AND cam = 0 GROUP BY 1)", "reviews AS (SELECT doc_id AS object_id, quality AS confidence FROM labels WHERE quality = 1 AND doc_id < 400)")
+    with_(VOTES, "seen AS (SELECT object_id, count(*) AS views, log(1 + sum(value) * sum(value) / sum(value * value)) AS _s, ln(1 + sum(value) * sum(value) / sum(value * value)) AS support FROM views WHERE value > 0 GROUP BY 1)", "reviews AS (SELECT doc_id AS object_id, quality AS confidence FROM labels WHERE quality = 1)")
     + "SELECT coalesce(s.object_id, r.object_id) AS object_id, coalesce(views, 0) AS views, round(CASE WHEN confidence IS NOT NULL THEN greatest(coalesce(support, 0), 0.9) ELSE coalesce(support, 0) END, 6) AS support, CASE WHEN confidence IS NOT NULL THEN 'reviewed' WHEN views > 0 THEN 'observed_unlabeled' ELSE 'unobserved' END AS state FROM seen s FULL JOIN reviews r ON s.object_id = r.object_id"
 )
 def soft_unaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = views(spark, sf_dir).filter("value > 0 AND cam = 0").select("object_id", F.col("value").alias("weight"))
-    reviews = table(spark, sf_dir, "labels").filter("quality = 1 AND doc_id < 400").select(F.col("doc_id").alias("object_id"), F.col("quality").alias("confidence"))
+    seen = views(spark, sf_dir).filter("value > 0").select("object_id", F.col("value").alias("weight"))
+    reviews = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("object_id"), F.col("quality").alias("confidence"))
     return rounded(evidence.unaries(seen, reviews), 6, "support")
 
 
@@ -223,7 +232,7 @@ def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH timed AS (SELECT *, {SECONDS} AS t FROM events), met AS (SELECT a.event_id, a.user_id, b.event_id AS pose_id, abs(a.t - b.t) AS gap, b.t AS bt FROM timed a JOIN timed b ON a.user_id = b.user_id AND abs(a.t - b.t) <= 20000 WHERE a.event_type = 'purchase' AND b.event_type = 'view') SELECT event_id, user_id, first(pose_id ORDER BY gap, bt, pose_id) AS pose_id, round(min(gap), 4) AS gap FROM met GROUP BY 1, 2"
+    f"WITH timed AS (SELECT *, {SECONDS} AS t, row_number() OVER () AS k FROM events), met AS (SELECT a.k, a.event_id, a.user_id, b.event_id AS pose_id, abs(a.t - b.t) AS gap, b.t AS bt FROM timed a JOIN timed b ON a.user_id = b.user_id AND abs(a.t - b.t) <= 20000 WHERE a.event_type = 'purchase' AND b.event_type = 'view') SELECT event_id, user_id, first(pose_id ORDER BY gap, bt, pose_id) AS pose_id, round(min(gap), 4) AS gap FROM met GROUP BY k, event_id, user_id"
 )
 def nearest_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As-of join: each purchase with its user's nearest view in time."""

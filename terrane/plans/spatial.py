@@ -137,52 +137,61 @@ def first_hit_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.first_hit(asked, marks, "point_id").select("point_id", "n_mark", "rank")
 
 
+def celled(size: float) -> str:
+    return f"celled AS (SELECT *, CAST(floor(x / {size}) AS BIGINT) AS ix, CAST(floor(y / {size}) AS BIGINT) AS iy, CAST(floor(z / {size}) AS BIGINT) AS iz FROM points)"
+
+
 NEAR = "sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2)"
 
 
 @query(
-    with_(POINTS, "asked AS (SELECT * FROM points WHERE label = 'RF' AND frame < 20)", "known AS (SELECT * FROM points WHERE label = 'AF' AND frame >= 60)", f"met AS (SELECT p.point_id AS q_id, q.point_id AS k_id, {NEAR} AS d FROM asked p JOIN known q ON abs(p.x - q.x) < 0.8 AND abs(p.y - q.y) < 0.8 AND abs(p.z - q.z) < 0.8)")
+    with_(POINTS, STEPS, celled(0.8), "asked AS (SELECT * FROM celled WHERE label = 'RF')", "known AS (SELECT * FROM celled WHERE label = 'AF')", f"met AS (SELECT p.point_id AS q_id, q.point_id AS k_id, {NEAR} AS d FROM asked p, steps s JOIN known q ON q.ix = p.ix + s.dx AND q.iy = p.iy + s.dy AND q.iz = p.iz + s.dz)")
     + "SELECT q_id, first(k_id ORDER BY d, k_id) AS k_id, round(min(d), 6) AS distance FROM met WHERE d < 0.8 GROUP BY 1"
 )
 def nearest_within_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = points(spark, sf_dir)
-    asked = pts.filter("label = 'RF' AND frame < 20").withColumnRenamed("point_id", "q_id")
-    known = pts.filter("label = 'AF' AND frame >= 60").withColumnRenamed("point_id", "k_id")
+    asked = pts.filter("label = 'RF'").withColumnRenamed("point_id", "q_id")
+    known = pts.filter("label = 'AF'").withColumnRenamed("point_id", "k_id")
     return neighbours.nearest_within(asked, known, "q_id", "k_id", 0.8).withColumn("distance", F.round("distance", 6))
 
 
 @query(
-    with_(POINTS, "held AS (SELECT * FROM points WHERE frame = 1)", f"met AS (SELECT p.point_id AS a, q.point_id AS b, {NEAR} AS d FROM held p JOIN held q ON p.point_id <> q.point_id AND abs(p.x - q.x) < 2 AND abs(p.y - q.y) < 2)", "ranked AS (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS place FROM met WHERE d < 2)")
+    with_(POINTS, STEPS, celled(0.5), f"met AS (SELECT p.point_id AS a, q.point_id AS b, {NEAR} AS d FROM celled p, steps s JOIN celled q ON q.ix = p.ix + s.dx AND q.iy = p.iy + s.dy AND q.iz = p.iz + s.dz WHERE p.point_id <> q.point_id)", "ranked AS (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS place FROM met WHERE d < 0.5)")
     + "SELECT a, b, round(d, 6) AS distance, CAST(place AS INT) AS place FROM ranked WHERE place <= 4"
 )
 def nearest_few(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.nearest_few(points(spark, sf_dir).filter("frame = 1"), "point_id", 2.0, 4).withColumn("distance", F.round("distance", 6))
+    """Of all points of the scan; the radius is that of a dense scan."""
+    return neighbours.nearest_few(points(spark, sf_dir), "point_id", 0.5, 4).withColumn("distance", F.round("distance", 6))
 
 
 GAP = "sqrt(greatest(0, p.x0 - q.x1, q.x0 - p.x1) ** 2 + greatest(0, p.y0 - q.y1, q.y0 - p.y1) ** 2 + greatest(0, p.z0 - q.z1, q.z0 - p.z1) ** 2)"
 SHARED = "greatest(0, least(p.x1, q.x1) - greatest(p.x0, q.x0)) * greatest(0, least(p.y1, q.y1) - greatest(p.y0, q.y0)) * greatest(0, least(p.z1, q.z1) - greatest(p.z0, q.z0))"
 LARGEST = "largest AS (SELECT *, (x1 - x0) * (y1 - y0) * (z1 - z0) AS v FROM patches ORDER BY n DESC, patch_id LIMIT 300)"
-BOXED = f"boxed AS (SELECT p.patch_id AS a, q.patch_id AS b, {GAP} AS gap, {SHARED} AS shared, p.v AS pv, q.v AS qv, sqrt((p.r - q.r) ** 2 + (p.g - q.g) ** 2 + (p.b - q.b) ** 2) AS color FROM largest p JOIN largest q ON p.patch_id < q.patch_id)"
+ELIGIBLE = "eligible AS (SELECT *, (x1 - x0) * (y1 - y0) * (z1 - z0) AS v FROM patches WHERE n >= 2)"
+
+
+def boxed(rows: str) -> str:
+    return f"boxed AS (SELECT p.patch_id AS a, q.patch_id AS b, {GAP} AS gap, {SHARED} AS shared, p.v AS pv, q.v AS qv, sqrt((p.r - q.r) ** 2 + (p.g - q.g) ** 2 + (p.b - q.b) ** 2) AS color FROM {rows} p JOIN {rows} q ON p.patch_id < q.patch_id)"
 
 
 def _largest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature is a report on the 300 largest patches."""
+    """The overlap report is on the 300 largest patches."""
     return patches(spark, sf_dir).orderBy(F.desc("n"), "patch_id").limit(300)
 
 
-@query(with_(POINTS, PATCHES, LARGEST, BOXED) + "SELECT a, b, round(gap, 6) AS gap, round(shared, 6) AS shared, round(CASE WHEN pv + qv - shared > 0 THEN shared / (pv + qv - shared) ELSE 0 END, 6) AS iou FROM boxed WHERE gap <= 0.5")
+@query(with_(POINTS, PATCHES, LARGEST, boxed("largest")) + "SELECT a, b, round(gap, 6) AS gap, round(shared, 6) AS shared, round(CASE WHEN pv + qv - shared > 0 THEN shared / (pv + qv - shared) ELSE 0 END, 6) AS iou FROM boxed WHERE gap <= 0.5")
 def box_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = neighbours.box_pairs(_largest(spark, sf_dir), "patch_id", 0.5, 5.0)
     return met.select(F.col("a_patch_id").alias("a"), F.col("b_patch_id").alias("b"), *[F.round(c, 6).alias(c) for c in ("gap", "shared", "iou")])
 
 
 @query(
-    with_(POINTS, PATCHES, LARGEST, BOXED, "fresh AS (SELECT a, b, gap, row_number() OVER (PARTITION BY a ORDER BY b) AS place FROM boxed WHERE gap <= 2.0 AND color <= 60 AND a % 2 = b % 2 AND NOT (shared > 0 AND shared / (pv + qv - shared) > 0.3))")
+    with_(POINTS, PATCHES, ELIGIBLE, boxed("eligible"), "fresh AS (SELECT a, b, gap, row_number() OVER (PARTITION BY a ORDER BY b) AS place FROM boxed WHERE gap <= 2.0 AND color <= 60 AND a % 2 = b % 2 AND NOT (shared > 0 AND shared / (pv + qv - shared) > 0.3))")
     + "SELECT a, b, round(gap, 6) AS gap FROM fresh WHERE place <= 8"
 )
 def near_box_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes near each other and alike in color that don't overlap much already, at most 8 for each patch."""
-    met = neighbours.box_pairs(_largest(spark, sf_dir), "patch_id", 2.0, 5.0)
+    """Boxes of at least two points near each other and alike in color that don't overlap much already, at most 8 for each patch."""
+    met = neighbours.box_pairs(patches(spark, sf_dir).filter("n >= 2"), "patch_id", 2.0, 5.0)
     edges = met.filter("iou > 0.3").select(F.col("a_patch_id").alias("a"), F.col("b_patch_id").alias("b"))
     color = F.sqrt(sum((F.pow(F.col(f"a_{c}") - F.col(f"b_{c}"), 2) for c in "rgb"), F.lit(0.0)))
     gates = (color <= 60) & (F.col("a_patch_id") % 2 == F.col("b_patch_id") % 2)

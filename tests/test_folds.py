@@ -55,6 +55,71 @@ def test_greedy_union_is_the_same_component_by_component(spark):
     assert {r["node"]: r["cluster"] for r in got.collect()} == name
 
 
+FLAT, STEEP, ROUGH, MIXED = [0, 50, 0, 0, 0], [0, 0, 50, 0, 0], [0, 0, 0, 0, 50], [20, 20, 10, 0, 0]
+
+
+@pytest.mark.parametrize(
+    ("edge", "first", "second", "gates", "joins"),
+    [
+        ({"score": 0.7}, FLAT, FLAT, {}, True),
+        ({"score": 0.5}, FLAT, FLAT, {}, False),
+        ({"score": 0.5, "support": 0.3, "color": 60.0, "color_p90": 75.0}, FLAT, FLAT, {}, True),
+        ({"score": 0.5, "support": 0.2, "color": 60.0, "color_p90": 75.0}, FLAT, FLAT, {}, False),
+        ({"score": 0.5, "support": 0.3, "color": 60.0, "color_p90": 85.0}, FLAT, FLAT, {}, False),
+        ({"score": 0.5, "support": 0.3, "color": 60.0, "color_p90": 75.0}, FLAT, STEEP, {}, False),
+        ({"score": 0.5, "support": 0.3, "color": 60.0, "color_p90": 75.0}, MIXED, MIXED, {}, False),
+        ({"score": 0.5, "gap": 0.1, "color": 69.0, "normal": 0.7}, STEEP, STEEP, {}, True),
+        ({"score": 0.5, "gap": 0.2, "color": 69.0, "normal": 0.7}, STEEP, STEEP, {}, False),
+        ({"score": 0.5, "gap": 0.1, "color": 69.0, "normal": 0.6}, STEEP, STEEP, {}, False),
+        ({"score": 0.5, "gap": 0.1, "color": 50.0, "contacts": 9.0}, FLAT, ROUGH, {"fragment_contacts": 5.0, "surface_size": 50, "fragment_size": 60}, True),
+        ({"score": 0.5, "gap": 0.1, "color": 50.0, "contacts": 4.0}, FLAT, ROUGH, {"fragment_contacts": 5.0, "surface_size": 50, "fragment_size": 60}, False),
+        ({"score": 0.5, "gap": 0.1, "color": 50.0, "contacts": 9.0}, FLAT, ROUGH, {"fragment_contacts": 5.0, "surface_size": 51, "fragment_size": 60}, False),
+        ({"score": 0.9, "gap": 0.1, "color": 50.0, "contacts": 9.0}, FLAT, ROUGH, {"fragment_contacts": 5.0, "surface_size": 50, "fragment_size": 60, "least_size": 60}, True),
+        ({"score": 0.9}, FLAT, FLAT, {"least_size": 60}, False),
+        ({"score": 0.9}, FLAT, STEEP, {}, True),
+        ({"score": 0.9}, FLAT, STEEP, {"veto_share": 0.4}, False),
+        ({"score": 0.9}, FLAT, STEEP, {"veto_share": 0.4, "veto_size": 51}, True),
+        ({"score": 0.9}, FLAT, STEEP, {"most_entropy": 0.9}, False),
+        ({"score": 0.9}, FLAT, FLAT, {"k": 4.0}, False),
+        ({"score": 0.9}, FLAT, FLAT, {"k": 6.0}, True),
+    ],
+)
+def test_each_gate_of_superpoints(spark, edge, first, second, gates, joins):
+    names = ("score", "support", "color", "color_p90", "normal", "gap", "contacts")
+    edges = spark.createDataFrame([(1, 2, 3, *[edge.get(n) for n in names])], "a long, b long, shared long, " + ", ".join(f"{n} double" for n in names))
+    nodes = spark.createDataFrame([(1, 50, first), (2, 50, second), (3, 1, FLAT)], "node long, size long, counts array<long>")
+    got = {r["node"]: r["cluster"] for r in graph.superpoints(edges, nodes, graph.Gates(**gates)).collect()}
+    assert got == {1: 1, 2: 1 if joins else 2, 3: 3}
+
+
+def test_superpoints_judge_what_clusters_have_become(spark):
+    # 2 joins 1 first; the union is mixed, so that the bridge to 3 no longer holds
+    names = "a long, b long, score double, shared long, support double, color double, color_p90 double, normal double, gap double, contacts double"
+    edges = spark.createDataFrame([(1, 2, 0.9, 1, None, None, None, None, None, None), (1, 3, 0.5, 1, 0.9, 1.0, 1.0, None, None, None)], names)
+    nodes = spark.createDataFrame([(1, 50, FLAT), (2, 50, STEEP), (3, 50, FLAT)], "node long, size long, counts array<long>")
+    got = {r["node"]: r["cluster"] for r in graph.superpoints(edges, nodes, graph.Gates()).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+    alone = {r["node"]: r["cluster"] for r in graph.superpoints(edges.filter("b = 3"), nodes, graph.Gates()).collect()}
+    assert alone == {1: 1, 2: 2, 3: 1}
+
+
+def test_repeated_rows_stay_apart_in_time_joins(spark):
+    left = spark.createDataFrame([(1, 5.0), (1, 5.0), (1, 99.0)], "k long, t double")
+    right = spark.createDataFrame([(1, 4.0, 7), (1, 6.0, 8), (1, 7.0, 9)], "k long, t double, id long")
+    assert [tuple(r) for r in timing.nearest_in_time(left, right, ["k"], "t", 3.0, "id").collect()] == [(1, 5.0, 7, 1.0)] * 2
+
+
+def test_pareto_matches_plain_loops(spark):
+    from terrane.operators import decisions
+
+    rng = random.Random(5)
+    rows = [(k, float(rng.randrange(12)), float(rng.randrange(12)), float(rng.randrange(12))) for k in range(300)] + [(900, None, 0.0, 0.0), (901, float("nan"), 0.0, 0.0)]
+    got = {r["k"] for r in decisions.pareto(spark.createDataFrame(rows, "k long, x double, y double, z double").repartition(5), "k", ["x", "y", "z"]).collect()}
+    real = rows[:300]
+    beats = lambda p, q: all(a <= b for a, b in zip(p[1:], q[1:], strict=True)) and p[1:] != q[1:]
+    assert got == {q[0] for q in real if not any(beats(p, q) for p in real)}
+
+
 def test_propagation_stops_at_the_best_paths_hops(spark):
     edges = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.9), (3, 4, 0.9), (1, 3, 0.5), (9, 10, 1.0)], "a long, b long, weight double")
     anchors = spark.createDataFrame([(1, "wall", 1.0)], "node long, label string, score double")
