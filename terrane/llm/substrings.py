@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrane.llm.shared import Scratch, packed, raw_texts, text_slices, trimmed, whole_ids
+from terrane.llm.shared import SLICE_BYTES, Scratch, packed, raw_texts, text_slices, trimmed, whole_ids
 
 WINDOW = 20
 #: Rounds of long symbols: in every fourth runs are named before pairs. After those in LEVELS, symbols that are new since the level before are looked at.
@@ -227,6 +228,25 @@ def _sorted(batch: pa.RecordBatch, by: str) -> pa.RecordBatch:
     return batch.take(pa.array(np.argsort(batch.column(by).to_numpy(), kind="stable")))
 
 
+def squeezed(docs: DataFrame) -> DataFrame:
+    """(doc, packed) of (doc, text): each text compressed, as what is joined by doc is mostly texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            packs = [len(t).to_bytes(8, "little") + pa.compress(t, codec="zstd", asbytes=True) for t in raw_texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packs, pa.binary())], names=["doc", "packed"])
+
+    return docs.select("doc", "text").mapInArrow(trimmed(run), "doc long, packed binary")
+
+
+def unsqueezed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Batches in order of doc, cut where they are long, with their texts."""
+    for batch in text_slices(batches, "packed", SLICE_BYTES // 3):
+        batch = _sorted(batch, "doc")
+        packs = batch.column("packed").to_pylist()
+        yield batch, [pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True) for x in packs]
+
+
 def symbol_rows(docs: DataFrame) -> DataFrame:
     """The long symbols of the whole texts of (doc, text), their words' second hash as the name."""
 
@@ -261,12 +281,11 @@ def covered(gone: list[list[dict] | None], sizes: np.ndarray, reach: int) -> np.
 
 
 def family_rows(docs: DataFrame) -> DataFrame:
-    """Families of the whole texts of (doc, text, gone) but those all of whose windows are `gone`."""
+    """Families of the whole texts of (doc, packed, gone) but those all of whose windows are `gone`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
-            batch = _sorted(batch, "doc")
-            words, ends = word_names(raw_texts(batch))
+        for batch, texts in unsqueezed(batches):
+            words, ends = word_names(texts)
             if len(words) < WINDOW:
                 continue
             key, name, at, n = families(words, ends)
@@ -281,12 +300,11 @@ def family_rows(docs: DataFrame) -> DataFrame:
 
 
 def window_rows(docs: DataFrame) -> DataFrame:
-    """The single windows of the stretches (at, n) in `open` of (doc, text, open)."""
+    """The single windows of the stretches (at, n) in `open` of (doc, packed, open)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
-            batch = _sorted(batch, "doc")
-            words, ends = word_names(raw_texts(batch))
+        for batch, texts in unsqueezed(batches):
+            words, ends = word_names(texts)
             starts = np.concatenate(([0], ends + 1))
             at = [np.unique(np.concatenate([np.arange(r["at"], r["at"] + r["n"]) for r in value])) for value in batch.column("open").to_pylist()]
             sizes = list(map(len, at))
@@ -322,18 +340,19 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     whole_ids(docs, "substring dedup")
     scratch = Scratch(spark, "substrings")
     base = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    symbols, _ = scratch.keep(symbol_rows(base))
+    symbols, symbols_path = scratch.keep(symbol_rows(base))
     repeated, _ = scratch.keep(revealed(symbols))
+    scratch.drop(symbols_path)
     # where texts share an id, a place of one isn't one of the other: none of their windows is passed over
     several = base.groupBy("doc").count().filter("count > 1").select("doc")
     sure = stretches(repeated.join(several, "doc", "left_anti"), "gone")
-    parted, _ = scratch.keep(settled(family_rows(base.join(sure, "doc", "left"))))
+    parted, _ = scratch.keep(settled(family_rows(squeezed(base).join(sure, "doc", "left"))))
     opened = stretches(parted.filter("not gone"), "open")
-    windows = settled(window_rows(base.join(opened, "doc"))).filter("gone")
+    windows = settled(window_rows(squeezed(base).join(opened, "doc"))).filter("gone")
     gone = repeated.unionByName(parted.filter("gone").select("doc", "at", "n")).unionByName(windows.select("doc", "at", "n"))
     by_doc = stretches(gone, "gone")
-    rest = docs.select(F.col("doc_id").cast("long").alias("id"), "text", packed(docs, ("n_words", "n_removed", "kept")))
-    return _cut(rest.join(by_doc, F.col("id") == F.col("doc"), "left").select("row", "text", "gone")).select("row.*", "n_words", "n_removed", "kept")
+    rest = docs.select(F.col("doc_id").cast("long").alias("id"), packed(docs, ("n_words", "n_removed", "kept")))
+    return _cut(rest.join(by_doc, F.col("id") == F.col("doc"), "left").select("row", "gone")).select("row.*", "n_words", "n_removed", "kept")
 
 
 def stretches(places: DataFrame, name: str) -> DataFrame:
@@ -342,12 +361,13 @@ def stretches(places: DataFrame, name: str) -> DataFrame:
 
 
 def _cut(whole: DataFrame) -> DataFrame:
-    """(row, n_words, n_removed, kept) of (row, text, gone)."""
+    """(row, n_words, n_removed, kept) of (row, gone), the texts being in the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        whole_batches = (pa.RecordBatch.from_arrays([b.column(0), b.column(1), pc.struct_field(b.column(0), "text")], names=["row", "gone", "text"]) for b in batches)
+        for batch in text_slices(whole_batches):
             counts, removed, kept = [], [], []
-            for text, gone in zip(raw_texts(batch), batch.column(2).to_pylist(), strict=True):
+            for text, gone in zip(raw_texts(batch), batch.column(1).to_pylist(), strict=True):
                 words = text.split()
                 stays = ~covered([gone], np.array([len(words)]), WINDOW - 1)
                 counts.append(len(words))
