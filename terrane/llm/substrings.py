@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +38,8 @@ ROUNDS = (("run", 1), ("pair", 1), ("pair", 1), ("pair", 2))
 MARGIN, SPAN = 2 + 1 + 1 + 2, 4
 INNER = WINDOW - 2 * MARGIN
 assert INNER >= 2 * SPAN - 1
-ROW = "key long, name long, doc long, at int, n int, gone boolean"
+#: A place holds, from its high bits down, 31 of the first window's position, 32 of the number of windows and 1 that is set if they are gone.
+ROW = "key long, name long, doc long, place long"
 
 U = np.uint64
 FIRST, SECOND, THIRD = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -216,35 +216,47 @@ def rows(key: np.ndarray, name: np.ndarray, doc: np.ndarray, at: np.ndarray, n:
             joined(key[stay].view(np.int64), own.view(np.int64), np.int64),
             joined(name[stay].view(np.int64), own.view(np.int64), np.int64),
             joined(doc[stay], doc[off], np.int64),
-            joined(at[stay], at[off], np.int32),
-            joined(n[stay], length, np.int32),
-            joined(np.zeros(len(stay), bool), np.ones(len(off), bool), bool),
+            joined(at[stay] << 33 | n[stay] << 1, at[off] << 33 | length << 1 | 1, np.int64),
         ],
-        names=["key", "name", "doc", "at", "n", "gone"],
+        names=["key", "name", "doc", "place"],
     )
 
 
+def at_and_n(place: Column) -> list[Column]:
+    return [F.shiftright(place, 33).cast("int").alias("at"), F.shiftright(place, 1).bitwiseAND((1 << 32) - 1).cast("int").alias("n")]
+
+
+def marked_gone(place: Column) -> Column:
+    return place.bitwiseAND(1) == 1
+
+
 def _sorted(batch: pa.RecordBatch, by: str) -> pa.RecordBatch:
     return batch.take(pa.array(np.argsort(batch.column(by).to_numpy(), kind="stable")))
 
 
 def squeezed(docs: DataFrame) -> DataFrame:
-    """(doc, packed) of (doc, text): each text compressed, as what is joined by doc is mostly texts."""
+    """`docs` with `packed`, each text compressed, in place of its last column, text, as what is joined by doc is mostly texts."""
+    *others, last = docs.columns
+    assert last == "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            packs = [len(t).to_bytes(8, "little") + pa.compress(t, codec="zstd", asbytes=True) for t in raw_texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packs, pa.binary())], names=["doc", "packed"])
+            raw = batch.column(len(others)).cast(pa.binary()).to_pylist()
+            packs = [None if t is None else len(t).to_bytes(8, "little") + pa.compress(t, codec="zstd", asbytes=True) for t in raw]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(packs, pa.binary())], names=[*others, "packed"])
+
+    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields[: len(others)], T.StructField("packed", T.BinaryType())]))
+
 
-    return docs.select("doc", "text").mapInArrow(trimmed(run), "doc long, packed binary")
+def plain_text(pack: bytes | None) -> bytes | None:
+    return None if pack is None else pa.decompress(pack[8:], int.from_bytes(pack[:8], "little"), codec="zstd", asbytes=True)
 
 
 def unsqueezed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Batches in order of doc, cut where they are long, with their texts."""
     for batch in text_slices(batches, "packed", SLICE_BYTES // 3):
         batch = _sorted(batch, "doc")
-        packs = batch.column("packed").to_pylist()
-        yield batch, [pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True) for x in packs]
+        yield batch, [plain_text(x) or b"" for x in batch.column("packed").to_pylist()]
 
 
 def symbol_rows(docs: DataFrame) -> DataFrame:
@@ -264,10 +276,11 @@ def symbol_rows(docs: DataFrame) -> DataFrame:
 
 def revealed(found: DataFrame) -> DataFrame:
     """(doc, at, n) of the windows inside long symbols that occurred before; names that several slices have are found by aggregation and joined."""
-    stay = found.filter("not gone")
-    first = stay.groupBy("key", "name").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("slices")).filter("slices > 1")
-    later = stay.join(first, ["key", "name"]).filter(F.struct("doc", "at") > F.col("first"))
-    return found.filter("gone").select("doc", "at", "n").unionByName(later.select("doc", "at", "n"))
+    gone = marked_gone(F.col("place"))
+    stay = found.filter(~gone)
+    first = stay.groupBy("key", "name").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("slices")).filter("slices > 1")
+    later = stay.join(first, ["key", "name"]).filter(F.struct("doc", "place") > F.col("first"))
+    return found.filter(gone).select("doc", "place").unionByName(later.select("doc", "place")).select("doc", *at_and_n(F.col("place")))
 
 
 def covered(gone: list[list[dict] | None], sizes: np.ndarray, reach: int) -> np.ndarray:
@@ -319,11 +332,11 @@ def window_rows(docs: DataFrame) -> DataFrame:
 
 def settled(found: DataFrame) -> DataFrame:
     """(doc, at, n, gone) of the stretches that are gone or, sharing a key with another name, still open."""
-    by_name = Window.partitionBy("key", "name").orderBy("doc", "at")
+    by_name = Window.partitionBy("key", "name").orderBy("doc", "place")
     by_key = Window.partitionBy("key")
-    seen = found.select("*", F.rank().over(by_name).alias("place"), (F.min("name").over(by_key) != F.max("name").over(by_key)).alias("shared"))
-    gone: Column = F.col("gone") | (F.col("place") > 1)
-    return seen.filter(gone | F.col("shared")).select("doc", "at", "n", gone.alias("gone"))
+    seen = found.select("*", F.rank().over(by_name).alias("nth"), (F.min("name").over(by_key) != F.max("name").over(by_key)).alias("shared"))
+    gone = marked_gone(F.col("place")) | (F.col("nth") > 1)
+    return seen.filter(gone | F.col("shared")).select("doc", *at_and_n(F.col("place")), gone.alias("gone"))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -346,13 +359,15 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # where texts share an id, a place of one isn't one of the other: none of their windows is passed over
     several = base.groupBy("doc").count().filter("count > 1").select("doc")
     sure = stretches(repeated.join(several, "doc", "left_anti"), "gone")
-    parted, _ = scratch.keep(settled(family_rows(squeezed(base).join(sure, "doc", "left"))))
+    parted, _ = scratch.keep(settled(family_rows(squeezed(base.select("doc", "text")).join(sure, "doc", "left"))))
     opened = stretches(parted.filter("not gone"), "open")
-    windows = settled(window_rows(squeezed(base).join(opened, "doc"))).filter("gone")
+    windows = settled(window_rows(squeezed(base.select("doc", "text")).join(opened, "doc"))).filter("gone")
     gone = repeated.unionByName(parted.filter("gone").select("doc", "at", "n")).unionByName(windows.select("doc", "at", "n"))
     by_doc = stretches(gone, "gone")
-    rest = docs.select(F.col("doc_id").cast("long").alias("id"), packed(docs, ("n_words", "n_removed", "kept")))
-    return _cut(rest.join(by_doc, F.col("id") == F.col("doc"), "left").select("row", "gone")).select("row.*", "n_words", "n_removed", "kept")
+    results = ("n_words", "n_removed", "kept")
+    rest = squeezed(docs.select(F.col("doc_id").cast("long").alias("id"), packed(docs, (*results, "text")), "text"))
+    cut = _cut(rest.join(by_doc, F.col("id") == F.col("doc"), "left").select("row", "packed", "gone"))
+    return cut.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in results], *results)
 
 
 def stretches(places: DataFrame, name: str) -> DataFrame:
@@ -361,19 +376,20 @@ def stretches(places: DataFrame, name: str) -> DataFrame:
 
 
 def _cut(whole: DataFrame) -> DataFrame:
-    """(row, n_words, n_removed, kept) of (row, gone), the texts being in the rows."""
+    """(row, text, n_words, n_removed, kept) of (row, packed, gone)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole_batches = (pa.RecordBatch.from_arrays([b.column(0), b.column(1), pc.struct_field(b.column(0), "text")], names=["row", "gone", "text"]) for b in batches)
-        for batch in text_slices(whole_batches):
-            counts, removed, kept = [], [], []
-            for text, gone in zip(raw_texts(batch), batch.column(1).to_pylist(), strict=True):
-                words = text.split()
+        for batch in text_slices(batches, "packed", SLICE_BYTES // 3):
+            texts, counts, removed, kept = [], [], [], []
+            for pack, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                raw = plain_text(pack)
+                texts.append(None if raw is None else raw.decode())
+                words = (raw or b"").split()
                 stays = ~covered([gone], np.array([len(words)]), WINDOW - 1)
                 counts.append(len(words))
                 removed.append(len(words) - int(stays.sum()))
                 kept.append(b" ".join([words[k] for k in np.flatnonzero(stays).tolist()] if removed[-1] else words).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["row", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["row", "text", "n_words", "n_removed", "kept"])
 
-    fields = T.StructType([whole.schema["row"], *(T.StructField(n, T.LongType()) for n in ("n_words", "n_removed")), T.StructField("kept", T.StringType())])
+    fields = T.StructType([whole.schema["row"], T.StructField("text", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("n_words", "n_removed")), T.StructField("kept", T.StringType())])
     return whole.mapInArrow(trimmed(run), fields)
