@@ -27,6 +27,31 @@ def edge_score(contact_color: Column, p90_color: Column, support: Column, normal
     return own if outside is None else F.coalesce((1 - outside_weight) * own + outside_weight * unit(outside), own)
 
 
+#: Likeness of two geometry buckets that differ.
+UNKNOWN_LIKENESS, LOOSE_LIKENESS, ROUGH_LIKENESS, OTHER_LIKENESS = 0.62, 0.78, 0.56, 0.09
+LOOSE = ("rough_mixed", "thin_linear", "mixed")
+
+
+def bucket_likeness(a: Column, b: Column) -> Column:
+    """How well two geometry buckets go together: 1 if equal, else by the first case that holds; null counts as unknown."""
+    a, b = F.coalesce(a, F.lit("unknown")), F.coalesce(b, F.lit("unknown"))
+    surface = lambda x, y: x.isin("horizontal", "vertical") & (y == "rough_mixed")
+    return (
+        F.when(a == b, 1.0)
+        .when((a == "unknown") | (b == "unknown"), UNKNOWN_LIKENESS)
+        .when(a.isin(*LOOSE) & b.isin(*LOOSE), LOOSE_LIKENESS)
+        .when(surface(a, b) | surface(b, a), ROUGH_LIKENESS)
+        .otherwise(OTHER_LIKENESS)
+    )
+
+
+def structural_veto(a: Column, b: Column, a_size: Column, b_size: Column, least_share: float, least_size: int) -> Column:
+    """Whether two patches of `least_size` or more are a horizontal and a vertical surface, by shares of cells in buckets (arrays in the buckets' order)."""
+    share = lambda counts, k: F.element_at(counts, k) / F.greatest(F.aggregate(counts, F.lit(0).cast("long"), lambda x, y: x + y), F.lit(1))
+    crossed = lambda x, y: (share(x, 2) >= least_share) & (share(y, 3) >= least_share)
+    return (F.least(a_size, b_size) >= least_size) & (crossed(a, b) | crossed(b, a))
+
+
 def color_affinity(distance: Column, sigma: float) -> Column:
     return F.exp(-(distance * distance) / (2.0 * sigma * sigma))
 

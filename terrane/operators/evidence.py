@@ -29,7 +29,7 @@ def fused(sources: list[tuple[DataFrame, float]], allowed: DataFrame, kinds: Dat
         part = table.select("object_id", "label", (F.col("weight") * weight).alias("w"), F.lit(k).alias("source"))
         votes = part if votes is None else votes.unionByName(part)
     backing = backing % len(sources)
-    marked = votes.join(kinds, "object_id").join(F.broadcast(allowed.withColumn("ok", F.lit(True))), ["kind", "label"], "left")
+    marked = votes.join(kinds, "object_id").join(allowed.withColumn("ok", F.lit(True)), ["kind", "label"], "left")
     by_label = marked.groupBy("object_id", "label").agg(F.sum("w").alias("w"), F.first("ok").isNotNull().alias("ok"), F.max((F.col("source") == backing) & (F.col("w") > 0)).alias("backed"))
     by_name = by_label.withColumn("__n", F.row_number().over(Window.partitionBy("object_id").orderBy("label")))
     order = F.when(F.col("ok"), F.struct(F.col("w"), -F.col("__n")))
@@ -117,3 +117,9 @@ def pooled(features: DataFrame, key: str, vector: str) -> DataFrame:
 
 def cosine(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
+def vote_maps(weights: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, votes): the weights (keys, label, weight) of each key as one map by label; null labels and weights count as none, repeated labels add up."""
+    summed = weights.filter("label is not null and weight is not null").groupBy(*keys, "label").agg(F.sum("weight").alias("weight"))
+    return summed.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "weight")))).alias("votes"))

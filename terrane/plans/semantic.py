@@ -361,3 +361,47 @@ def edge_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = contacts(owned(spark, sf_dir), "owner")
     truth = edges.select("a", "b", ((F.col("a") - F.col("b")) % 3 == 0).alias("same"))
     return rounded(decisions.holdout(edges, truth, "contact_ratio", 0.1), 6, "precision", "recall")
+
+
+BUCKET = "list_extract(['unknown', 'horizontal', 'vertical', 'thin_linear', 'rough_mixed', 'mixed'], CAST({} % 6 AS INT) + 1)"
+
+
+@query(
+    with_(POINTS, OWNED, CONTACTS, f"k AS (SELECT a, b, {BUCKET.format('a')} AS p, {BUCKET.format('b')} AS q FROM contacts)", "s AS (SELECT a, b, CASE WHEN p = q THEN 1 WHEN p = 'unknown' OR q = 'unknown' THEN 0.62 WHEN p IN ('rough_mixed', 'thin_linear', 'mixed') AND q IN ('rough_mixed', 'thin_linear', 'mixed') THEN 0.78 WHEN (p IN ('horizontal', 'vertical') AND q = 'rough_mixed') OR (q IN ('horizontal', 'vertical') AND p = 'rough_mixed') THEN 0.56 ELSE 0.09 END AS likeness FROM k)")
+    + "SELECT a, b, CAST(likeness AS DOUBLE) AS likeness FROM s"
+)
+def bucket_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the buckets of owners in contact go together."""
+    from terrane.operators.neighbours import contacts
+
+    names = F.array(*map(F.lit, (*patches.BUCKETS, "mixed")))
+    named = lambda c: F.element_at(names, (F.col(c) % 6 + 1).cast("int"))
+    return contacts(owned(spark, sf_dir), "owner").select("a", "b", scoring.bucket_likeness(named("a"), named("b")).alias("likeness"))
+
+
+@query(
+    with_(POINTS, OWNED, CONTACTS, "held AS (SELECT owner, count(*) AS n, count(*) FILTER (ix % 3 = 0 AND owner % 2 = 0 OR iy % 3 = 0 AND owner % 5 = 0) AS flat, count(*) FILTER (ix % 3 = 1 AND owner % 2 = 1) AS steep FROM owned GROUP BY 1)")
+    + "SELECT a, b, least(p.n, q.n) >= 8 AND ((p.flat / p.n >= 0.3 AND q.steep / q.n >= 0.3) OR (p.steep / p.n >= 0.3 AND q.flat / q.n >= 0.3)) AS vetoed FROM contacts JOIN held p ON p.owner = a JOIN held q ON q.owner = b"
+)
+def structural_vetoes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners in contact that are kept apart as a horizontal and a vertical surface, by shares of their cells."""
+    from terrane.operators.neighbours import contacts
+
+    cells = owned(spark, sf_dir)
+    flat = ((F.col("ix") % 3 == 0) & (F.col("owner") % 2 == 0)) | ((F.col("iy") % 3 == 0) & (F.col("owner") % 5 == 0))
+    steep = (F.col("ix") % 3 == 1) & (F.col("owner") % 2 == 1)
+    counts = F.array(F.count("*") - F.count_if(flat) - F.count_if(steep), F.count_if(flat), F.count_if(steep))
+    held = cells.groupBy("owner").agg(F.count("*").alias("n"), counts.alias("counts"))
+    side = lambda s: held.select(F.col("owner").alias(s), F.col("n").alias(f"{s}_n"), F.col("counts").alias(f"{s}_counts"))
+    both = contacts(cells, "owner").join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", scoring.structural_veto(F.col("a_counts"), F.col("b_counts"), F.col("a_n"), F.col("b_n"), 0.3, 8).alias("vetoed"))
+
+
+@query(with_(VOTES) + "SELECT object_id, label, round(w, 6) AS weight, round(w / sum(w) OVER (PARTITION BY object_id), 6) AS share FROM (SELECT object_id, label, sum(value) AS w FROM views GROUP BY 1, 2)")
+def vote_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes of each object as a map, taken apart again into rows with their shares."""
+    weights = views(spark, sf_dir).groupBy("object_id", "label").agg(F.sum("value").alias("weight"))
+    maps = evidence.vote_maps(weights, ["object_id"])
+    total = F.aggregate(F.map_values("votes"), F.lit(0.0), lambda x, y: x + y)
+    each = maps.select("object_id", total.alias("total"), F.explode("votes").alias("label", "weight"))
+    return each.select("object_id", "label", F.round("weight", 6).alias("weight"), F.round(F.col("weight") / F.col("total"), 6).alias("share"))
