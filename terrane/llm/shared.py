@@ -20,16 +20,21 @@ SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that setting is absent."""
+    """The shared folder of spark.checkpoint.dir, or else the one set for checkpoints; a temporary one only where neither is set and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named)
+        named = current.get() if current.isDefined() else own_folder(spark)
     return named
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A temporary folder of this machine, where no shared one is named."""
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 class Scratch:
     """Tables in the shared folder that cut lineage; drop() deletes one that is no longer read."""
 
