@@ -348,7 +348,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     one document: none is earlier than the other, and what is removed from one is removed from all at the same
     places. Rows without doc_id take no part and are kept whole. An empty table gives an empty one. Other
     columns are kept whatever their names; a doc_id that is no whole number is refused by a TypeError. A text
-    is worked on whole: a task takes about 250 bytes for each word of its longest one.
+    is worked on whole: a task takes about 100 bytes for each word of its longest one.
     """
     whole_ids(docs, "substring dedup")
     scratch = Scratch(spark, "substrings")
