@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -86,6 +87,24 @@ def by_component(edges: DataFrame, fold: Callable[[pd.DataFrame], pd.DataFrame],
     return rows.groupBy("component").applyInPandas(fold, schema)
 
 
+def near_groups(rows: DataFrame, keys: Sequence[str], sizes: Mapping[str, float]) -> DataFrame:
+    """`rows` with `near`: equal for all rows of equal keys that chains of steps of at most `sizes` in every column link.
+
+    Rows are linked by the occupied cells, never in pairs, so a crowded place costs one cell. Cells are named by
+    hashes; two that share a name only put more rows together. It's the exact key of folds whose rows can only join
+    others within the sizes.
+    """
+    named = rows.withColumns({f"__c{k}": F.floor(F.col(c) / size) for k, (c, size) in enumerate(sizes.items())})
+    places = [f"__c{k}" for k in range(len(sizes))]
+    cells = named.select(*keys, *places).distinct().withColumn("node", F.xxhash64(*keys, *places))
+    half = [s for s in product((-1, 0, 1), repeat=len(places)) if s > (0,) * len(places)]
+    steps = F.array(*[F.array(*map(F.lit, s)) for s in half])
+    moved = cells.withColumn("__s", F.explode(steps)).select("node", F.xxhash64(*keys, *[F.col(p) + F.col("__s")[k] for k, p in enumerate(places)]).alias("b"))
+    edges = moved.join(cells.select(F.col("node").alias("b")).distinct(), "b").select(F.col("node").alias("a"), "b")
+    labels = components(edges, cells.select("node").distinct()).withColumnRenamed("component", "near")
+    return named.withColumn("node", F.xxhash64(*keys, *places)).drop(*places).join(labels, "node").drop("node")
+
+
 class Sets:
     """Disjoint sets with what a fold keeps about each."""
 

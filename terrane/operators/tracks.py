@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators.graph import near_groups
 
 def tracklets(targets: DataFrame, most_gap: int, most_distance: float, most_color: float) -> DataFrame:
     """(target_id, tracklet): targets of one label joined along frames.
@@ -34,7 +35,9 @@ def tracklets(targets: DataFrame, most_gap: int, most_distance: float, most_colo
             out.append((row.target_id, best["name"]))
         return pd.DataFrame(out, columns=["target_id", "tracklet"])
 
-    return targets.groupBy("label").applyInPandas(fold, "target_id long, tracklet long")
+    # a target joins a tracklet by the last target of it alone, so chains of near places are folded apart
+    near = near_groups(targets, ["label"], {"x": most_distance, "y": most_distance, "z": most_distance})
+    return near.groupBy("label", "near").applyInPandas(fold, "target_id long, tracklet long")
 
 
 def fused_objects(targets: DataFrame, zone: int, window: int, most_distance: float, most_color: float) -> DataFrame:
@@ -43,7 +46,9 @@ def fused_objects(targets: DataFrame, zone: int, window: int, most_distance: flo
     Targets (target_id, family, label, frame, x, y, z, color, points) come in order of frame and id. An object
     within `window` zones of frames whose running centre and color are within the limits takes the target,
     the nearest of several, of equals the one that was first; running means weigh by points. Only targets of
-    one family can ever join, so families are folded apart. An object is named by its first target.
+    one family can ever join, so families are folded apart. An object is named by its first target. A running centre
+    lies between the last target and the centre before, which were within the distance; so a target that joins is
+    within twice the distance of the last one, and chains of such steps are folded apart too.
     """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
@@ -71,7 +76,9 @@ def fused_objects(targets: DataFrame, zone: int, window: int, most_distance: flo
             out.append((row.target_id, o["name"]))
         return pd.DataFrame(out, columns=["target_id", "object_id"])
 
-    return targets.groupBy("family").applyInPandas(fold, "target_id long, object_id long")
+    step = 2 * most_distance
+    near = near_groups(targets, ["family"], {"x": step, "y": step, "z": step})
+    return near.groupBy("family", "near").applyInPandas(fold, "target_id long, object_id long")
 
 
 def finished(fused: DataFrame, targets: DataFrame, stable: float = 0.8) -> DataFrame:
@@ -206,4 +213,6 @@ def associated(tracks_: DataFrame, least_gap: int, most_gap: int, tiers: list[tu
             out.append((row.tracklet, best["name"], why))
         return pd.DataFrame(out, columns=["tracklet", "long_object", "reason"])
 
-    return tracks_.groupBy("label").applyInPandas(fold, "tracklet long, long_object long, reason string")
+    reach = max(t[1] for t in tiers)
+    near = near_groups(tracks_, ["label"], {"x": reach, "y": reach, "z": reach})
+    return near.groupBy("label", "near").applyInPandas(fold, "tracklet long, long_object long, reason string")

@@ -219,3 +219,88 @@ def test_last_frame_uses_the_interval_before(spark):
     rows = spark.createDataFrame([(1, 1, 0.0), (1, 2, 2.0), (1, 3, 5.0), (2, 1, 7.0)], "k long, f long, t double")
     got = {(r["k"], r["f"]): r["shifted"] for r in timing.shifted(rows, ["k"], "f", "t", 0.5).collect()}
     assert got == {(1, 1): 1.0, (1, 2): 3.5, (1, 3): 6.5, (2, 1): 7.0}
+
+
+def test_near_groups_hold_every_chain_of_steps(spark):
+    rng = random.Random(5)
+    rows = [(k, k % 2, round(rng.uniform(-20, 20), 2), rng.randint(-40, 40)) for k in range(150)] + [(200, None, 0.5, 0), (201, 1, None, 0)]
+    whole = [r for r in rows if None not in r]
+    chains = roots([r[0] for r in whole], [(a[0], b[0]) for a in whole for b in whole if a[0] < b[0] and a[1] == b[1] and abs(a[2] - b[2]) <= 1.0 and abs(a[3] - b[3]) <= 2])
+    found = graph.near_groups(spark.createDataFrame(rows, "id long, k long, x double, frame long"), ["k"], {"x": 1.0, "frame": 2})
+    assert found.columns == ["id", "k", "x", "frame", "near"]
+    near = {r["id"]: r["near"] for r in found.collect()}
+    assert len(near) == len(rows)
+    assert all(near[n] == near[c] for n, c in chains.items())
+    assert len({near[n] for n in chains}) > 10
+    assert graph.near_groups(spark.createDataFrame([], "k long, x double"), ["k"], {"x": 1.0}).count() == 0
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_split_folds_match_one_fold_over_all(spark, seed):
+    rng = random.Random(seed)
+    rows = [(k, "ab"[k % 2], "one", rng.randint(0, 60), rng.uniform(0, 6), rng.uniform(0, 6), 0.0, rng.uniform(0, 90), rng.randint(0, 4)) for k in range(160)]
+    targets = spark.createDataFrame(rows, "target_id long, label string, family string, frame long, x double, y double, z double, color double, points long")
+
+    def away(o, r):
+        return ((r[4] - o["at"][0]) ** 2 + (r[5] - o["at"][1]) ** 2 + (r[6] - o["at"][2]) ** 2) ** 0.5
+
+    tracklet, known = {}, []
+    for r in sorted(rows, key=lambda r: (r[3], r[0])):
+        fit = [(away(o, r) + abs(r[7] - o["color"]) / 255, k) for k, o in enumerate(known) if o["label"] == r[1] and r[3] - o["frame"] <= 5 and away(o, r) <= 0.8 and abs(r[7] - o["color"]) <= 45]
+        if not fit:
+            known.append({"name": r[0], "label": r[1]})
+        o = known[min(fit)[1] if fit else -1]
+        o.update(at=r[4:7], color=r[7], frame=r[3])
+        tracklet[r[0]] = o["name"]
+    assert {r["target_id"]: r["tracklet"] for r in tracks.tracklets(targets, 5, 0.8, 45.0).collect()} == tracklet
+
+    fused, known = {}, []
+    for r in sorted(rows, key=lambda r: (r[3], r[0])):
+        fit = [(away(o, r), k) for k, o in enumerate(known) if abs(r[3] // 10 - o["zone"]) <= 1 and away(o, r) <= 0.5 and abs(r[7] - o["color"]) <= 70]
+        if not fit:
+            known.append({"name": r[0], "zone": r[3] // 10, "n": 0, "at": (0.0, 0.0, 0.0), "color": 0.0})
+        o, w = known[min(fit)[1] if fit else -1], max(r[8], 1)
+        o["at"] = tuple((c * o["n"] + v * w) / (o["n"] + w) for c, v in zip(o["at"], r[4:7], strict=True))
+        o["color"] = (o["color"] * o["n"] + r[7] * w) / (o["n"] + w)
+        o["n"] += w
+        fused[r[0]] = o["name"]
+    assert {r["target_id"]: r["object_id"] for r in tracks.fused_objects(targets, 10, 1, 0.5, 70.0).collect()} == fused
+
+
+def test_long_association_matches_one_fold_over_all(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(120):
+        first = rng.randint(0, 200)
+        rows.append((k, "ab"[k % 2], first, first + rng.randint(0, 8), rng.uniform(0, 5), rng.uniform(0, 5), 0.0, rng.uniform(0, 60)))
+    tiers = [("near", 0.4, 20.0, -2.0), ("far", 0.9, 40.0, 0.0)]
+    known, want = [], {}
+    for r in sorted(rows, key=lambda r: (r[2], r[0])):
+        best = None
+        for o in known:
+            if o["label"] != r[1] or not 1 <= r[2] - o["last"] <= 60:
+                continue
+            away = sum((a - b) ** 2 for a, b in zip(r[4:7], o["at"], strict=True)) ** 0.5
+            tier = next((t for t in tiers if away <= t[1] and abs(r[7] - o["color"]) <= t[2]), None)
+            if tier and (best is None or away + tier[3] < best[0]):
+                best = (away + tier[3], o, tier[0])
+        if best is None:
+            best = (0, {"name": r[0], "label": r[1], "last": r[3]}, "new")
+            known.append(best[1])
+        o = best[1]
+        o.update(last=max(r[3], o["last"]), at=r[4:7], color=r[7])
+        want[r[0]] = (o["name"], best[2])
+    frame = spark.createDataFrame(rows, "tracklet long, label string, first long, last long, x double, y double, z double, color double")
+    assert {r["tracklet"]: (r["long_object"], r["reason"]) for r in tracks.associated(frame, 1, 60, tiers).collect()} == want
+
+
+def test_residual_points_take_the_label_of_their_plane(spark):
+    from terrane.operators import objects
+
+    rng = random.Random(4)
+    floor = [(k, rng.uniform(0, 4), rng.uniform(0, 4), 0.0, 100, 100, 100, "floor") for k in range(400)]
+    near = [(1000, 2.0, 2.0, 0.05, 100, 110, 100, "car"), (1001, 2.0, 2.0, 0.3, 100, 100, 100, "car"), (1002, 1.0, 1.0, 0.02, 250, 0, 100, None), (1003, 9.0, 9.0, 0.0, 100, 100, 100, "car"), (1004, 3.0, 1.0, -0.05, 100, 100, 100, None)]
+    schema = "point_id long, x double, y double, z double, r long, g long, b long, label string"
+    found = objects.resurfaced(spark.createDataFrame(floor + near, schema), ["floor"], 0.5, 50, 5, 0.6, 8, 0.1, 0.05, 60.0).collect()
+    assert sorted((r["point_id"], r["label"], round(r["away"], 6)) for r in found) == [(1000, "floor", 0.05), (1004, "floor", 0.05)]
+    assert objects.resurfaced(spark.createDataFrame([], schema), ["floor"], 0.5, 50, 5, 0.6, 8, 0.1, 0.05, 60.0).count() == 0
