@@ -8,7 +8,7 @@ from terrane.llm import queries
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
 def test_query_matches_its_sql(spark, name, sf):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     found = con.execute(queries.ORACLE_SQL[name])
     columns = [c[0] for c in found.description]
