@@ -1,16 +1,11 @@
-"""Point files with a text header and fixed-width or text records, read in byte or line ranges and written a file for each partition."""
+"""Headers of point files: text lines that name the type of each property of a point."""
 
 from __future__ import annotations
 
-import io
-import uuid
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Property types of the format, as little-endian NumPy types; unsigned ones widen in Spark.
@@ -23,6 +18,7 @@ class Header:
     text: bool
     count: int
     size: int
+    lines: int
     names: tuple[str, ...]
     kinds: tuple[str, ...]
 
@@ -55,70 +51,25 @@ def parse_header(raw: bytes) -> Header:
                 raise ValueError("list properties of vertices are not read")
             names.append(word[2])
             kinds.append(TYPES[word[1]])
-    return Header(text, count, end + len(b"end_header\n"), tuple(names), tuple(kinds))
+    return Header(text, count, end + len(b"end_header\n"), raw[:end].count(b"\n") + 1, tuple(names), tuple(kinds))
 
 
-def _columns(header: Header, records: np.ndarray, begin: int) -> pa.RecordBatch:
-    schema = header.schema
-    arrays = [pa.array(np.arange(begin, begin + len(records)))]
-    for field in schema.fields[1:]:
-        kind = {T.ByteType(): "i1", T.ShortType(): "i2", T.IntegerType(): "i4", T.LongType(): "i8", T.FloatType(): "f4", T.DoubleType(): "f8"}[field.dataType]
-        arrays.append(pa.array(np.ascontiguousarray(records[field.name].astype(kind))))
-    return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+def header_text(kinds: dict[str, str], count: int, text: bool) -> bytes:
+    """The header of a file of `count` points with properties of `kinds`."""
+    lines = "".join(f"property {k} {c}\n" for c, k in kinds.items())
+    return f"ply\nformat {'ascii' if text else 'binary_little_endian'} 1.0\nelement vertex {count}\n{lines}end_header\n".encode()
 
 
-def read(spark: SparkSession, path: str, header: Header, stride: int = 1) -> DataFrame:
-    """Points of the files at `path`, all with this header, with their row in the file; every `stride`th row of each.
-
-    Files are opened by Spark, so any store that it reads will do. Each file is one task's work; write scans
-    as several files, or keep them as Parquet, for more.
-    """
-    files = spark.read.format("binaryFile").load(path).select("content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for value in batch.column(0):
-                raw = value.as_buffer()
-                own = parse_header(bytes(raw[: min(raw.size, 1 << 16)]))
-                if (own.names, own.kinds, own.text) != (header.names, header.kinds, header.text):
-                    raise ValueError("files with different headers")
-                if own.text:
-                    rows = np.loadtxt(io.BytesIO(bytes(raw[own.size :])), dtype=own.record, ndmin=1, max_rows=own.count)
-                else:
-                    rows = np.frombuffer(raw, own.record, own.count, own.size)
-                for begin in range(0, own.count, 1 << 18):
-                    part = _columns(own, rows[begin : begin + (1 << 18)], begin)
-                    yield part if stride == 1 else part.filter(pa.array(np.arange(begin, begin + part.num_rows) % stride == 0))
-
-    return files.mapInArrow(run, header.schema)
+def header_of(spark: SparkSession, path: str) -> Header:
+    """The header of the first of the files at `path`."""
+    from terrane.sources import scans
 
+    return parse_header(scans.head_of(scans.files_of(path)[0]))
 
-def header_of(spark: SparkSession, path: str) -> Header:
-    """The header of one of the files at `path`."""
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 16).alias("raw")).first()
-    return parse_header(bytes(row["raw"]))
-
-
-def encoded(points: DataFrame, columns: dict[str, str], order: str) -> DataFrame:
-    """(part, content): binary files of the points, one for each range of `order`, in which they are sorted.
-
-    `columns` names the property type of each column.
-    """
-    kinds = {c: TYPES[k] for c, k in columns.items()}
-    dtype = np.dtype(list(kinds.items()))
-    lines = "".join(f"property {k} {c}\n" for c, k in columns.items())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for batch in batches:
-            rows = np.empty(batch.num_rows, dtype)
-            for k, c in enumerate(kinds):
-                rows[c] = batch.column(k).to_numpy(zero_copy_only=False)
-            parts.append(rows)
-        if parts:
-            rows = np.concatenate(parts)
-            head = f"ply\nformat binary_little_endian 1.0\nelement vertex {len(rows)}\n{lines}end_header\n".encode()
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([head + rows.tobytes()], pa.binary())], names=["part", "content"])
-
-    ranged = points.repartitionByRange(order).sortWithinPartitions(order)
-    return ranged.select(*kinds).mapInArrow(run, "part string, content binary")
+
+def read(spark: SparkSession, path: str, header: Header, stride: int = 1) -> DataFrame:
+    """Points of the files at `path`, all with this header, with their row in the file; every `stride`th row of each."""
+    from terrane.sources import scans
+
+    found = scans.text_points(spark, path, stride) if header.text else scans.read(spark, path, stride=stride)
+    return found.drop("file").select(*header.schema.names)

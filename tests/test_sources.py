@@ -3,7 +3,7 @@ import struct
 import numpy as np
 import pytest
 
-from terrane.sources import frames, ply
+from terrane.sources import frames, ply, scans
 
 
 def test_binary_and_text_points(spark, tmp_path):
@@ -21,13 +21,152 @@ def test_binary_and_text_points(spark, tmp_path):
         ply.parse_header(b"plain text")
 
 
-def test_points_written_and_read_again(spark, tmp_path):
+@pytest.mark.parametrize("text", [False, True])
+def test_points_written_and_read_again(spark, tmp_path, text):
     points = spark.createDataFrame([(k, float(k), k * 0.5, 1.0, k % 256) for k in range(500)], "row_id long, x double, y double, z double, red int")
-    files = ply.encoded(points, {"x": "float", "y": "float", "z": "float", "red": "uchar"}, "row_id").collect()
-    for f in files:
-        (tmp_path / f"{f['part']}.ply").write_bytes(bytes(f["content"]))
-    back = ply.read(spark, str(tmp_path), ply.header_of(spark, str(tmp_path)))
+    path = str(tmp_path / "out")
+    dealt = points.repartitionByRange(3, "row_id").sortWithinPartitions("row_id")
+    scans.write_points(dealt, path, {"x": "float", "y": "float", "z": "float", "red": "uchar"}, text=text)
+    assert len(list((tmp_path / "out").iterdir())) == 3
+    back = ply.read(spark, path, ply.header_of(spark, path))
     assert sorted((r["x"], r["y"], r["red"]) for r in back.collect()) == [(float(k), k * 0.5, k % 256) for k in range(500)]
+    scans.write_points(points.filter("row_id < 5"), path, {"x": "float", "red": "uchar"}, text=text, overwrite=True)
+    assert ply.read(spark, path, ply.header_of(spark, path)).count() == 5
+
+
+def point_file(path, count):
+    rows = np.empty(count, [("x", "<f4"), ("n", "<i4"), ("w", "<f8")])
+    rows["x"], rows["n"], rows["w"] = np.arange(count) * 0.25, np.arange(count), np.arange(count) ** 2
+    path.write_bytes(f"ply\nformat binary_little_endian 1.0\nelement vertex {count}\nproperty float x\nproperty int n\nproperty double w\nend_header\n".encode() + rows.tobytes())
+
+
+def test_ranges_of_a_file_give_what_the_whole_gives(spark, tmp_path):
+    point_file(tmp_path / "a.ply", 1000)
+    point_file(tmp_path / "b.ply", 7)
+    point_file(tmp_path / "_other.ply", 3)
+    one = scans.read(spark, str(tmp_path))
+    cut = scans.read(spark, str(tmp_path), partition_bytes=16 * 30)
+    assert one.rdd.getNumPartitions() == 2 and cut.rdd.getNumPartitions() == 35
+    rows = sorted(map(tuple, one.collect()))
+    assert rows == sorted(map(tuple, cut.collect())) and len(rows) == 1007
+    assert all(r["n"] == r["row"] and r["w"] == r["row"] ** 2 and r["x"] == r["row"] * 0.25 for r in cut.collect())
+    for stride in (1, 3, 10, 300):
+        for most in (0, 1, 40):
+            got = scans.read(spark, str(tmp_path), stride=stride, max_points=most, partition_bytes=16 * 30).collect()
+            want = [(n, k) for n, count in (("a", 1000), ("b", 7)) for k in list(range(0, count, stride))[: most or None]]
+            assert sorted((r["file"][-5], r["row"]) for r in got) == want and all(r["n"] == r["row"] for r in got)
+
+
+def test_far_rows_are_read_one_by_one(spark, tmp_path, monkeypatch):
+    point_file(tmp_path / "a.ply", 100)
+    with open(tmp_path / "a.ply", "rb") as file:
+        layout = scans.point_layout(file.read())
+        near = scans.read_rows(file, layout, 3, 10, 9)
+        monkeypatch.setattr(scans, "GAP", 16)
+        far = scans.read_rows(file, layout, 3, 10, 9)
+    assert near["n"].tolist() == far["n"].tolist() == list(range(3, 93, 9))
+
+
+def test_rows_are_fetched_by_number(spark, tmp_path):
+    point_file(tmp_path / "a.ply", 100_000)
+    point_file(tmp_path / "b.ply", 10)
+    got = scans.read(spark, str(tmp_path / "a.ply"), rows="5,6,7,99999,200000,-1,5")
+    assert got.rdd.getNumPartitions() == 2
+    assert sorted((r["row"], r["n"]) for r in got.collect()) == [(5, 5), (6, 6), (7, 7), (99999, 99999)]
+    a, b = (str(tmp_path / f"{c}.ply") for c in "ab")
+    asked = spark.createDataFrame([(a, 70_000), (a, 3), (b, 9), (a, 3), (b, 10), (a, -5), (None, 1), (a, None), (b, 0)], "file string, row long")
+    assert sorted((r["file"], r["row"], r["n"]) for r in scans.fetch(asked, str(tmp_path)).collect()) == [(a, 3, 3), (a, 3, 3), (a, 70_000, 70_000), (b, 0, 0), (b, 9, 9)]
+    assert scans.fetch(asked.limit(0), str(tmp_path)).count() == 0
+
+
+def test_files_that_are_cut_off_or_differ(spark, tmp_path):
+    point_file(tmp_path / "a.ply", 10)
+    whole = (tmp_path / "a.ply").read_bytes()
+    (tmp_path / "a.ply").write_bytes(whole[:-20])
+    with pytest.raises(Exception, match="ends within row"):
+        scans.read(spark, str(tmp_path)).collect()
+    (tmp_path / "b.ply").write_bytes(b"ply\nformat binary_little_endian 1.0\nelement vertex 0\nproperty float x\nend_header\n")
+    with pytest.raises(Exception, match="different records"):
+        scans.read(spark, str(tmp_path)).collect()
+    assert scans.read(spark, str(tmp_path / "b.ply")).count() == 0
+    with pytest.raises(Exception, match="nothing.ply"):
+        scans.read(spark, str(tmp_path / "nothing.ply")).collect()
+
+
+def test_text_points_are_numbered_across_blocks(spark, tmp_path):
+    lines = [f"{k * 0.5} {k}" if k % 50 else "broken" for k in range(3000)]
+    (tmp_path / "a.txt").write_text("ply\nformat ascii 1.0\nelement vertex 3000\nproperty float x\nproperty int n\nend_header\n" + "\n".join(lines) + "\nafter all")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = scans.text_points(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() > 3
+        got = sorted((r["row"], r["n"], r["x"]) for r in found.collect())
+        assert got == [(k, k, k * 0.5) for k in range(3000) if k % 50]
+        assert sorted(r["row"] for r in scans.text_points(spark, str(tmp_path), stride=7).collect()) == [k for k in range(0, 3000, 7) if k % 50]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def las_file(path, kind, points, extra=0, minor=2):
+    record = np.dtype(scans.LAS_FORMATS[kind])
+    rows = np.zeros(len(points), np.dtype({"names": list(record.names), "formats": [record.fields[n][0] for n in record.names], "offsets": [record.fields[n][1] for n in record.names], "itemsize": record.itemsize + extra}))
+    for k, n in enumerate(("X", "Y", "Z", *(("red", "green", "blue") if "red" in record.names else ()))):
+        rows[n] = [p[k] for p in points]
+    head = bytearray(375 if minor >= 4 else 227)
+    head[:4], head[24:26] = b"LASF", bytes((1, minor))
+    struct.pack_into("<HIIBHI", head, 94, len(head), len(head) + 54, 1, kind, rows.itemsize, 0 if minor >= 4 else len(rows))
+    struct.pack_into("<12d", head, 131, 0.01, 0.01, 0.02, 10.0, 0.0, -5.0, *[0.0] * 6)
+    if minor >= 4:
+        struct.pack_into("<Q", head, 247, len(rows))
+    path.write_bytes(bytes(head) + bytes(54) + rows.tobytes())
+
+
+@pytest.mark.parametrize(("kind", "extra", "minor"), [(2, 0, 2), (3, 5, 2), (7, 0, 4), (8, 3, 4), (5, 0, 3)])
+def test_las_points_of_every_format_with_colors(spark, tmp_path, kind, extra, minor):
+    points = [(100 * k, -k, 7, 256 * k, k, 0) for k in range(50)]
+    las_file(tmp_path / "a.las", kind, points, extra, minor)
+    got = sorted((r["row"], round(r["x"], 6), round(r["y"], 6), round(r["z"], 6), r["red"], r["green"]) for r in scans.read(spark, str(tmp_path / "a.las"), "las", partition_bytes=300).collect())
+    assert got == [(k, round(k + 10.0, 6), round(-0.01 * k, 6), -4.86, 256 * k, k) for k in range(50)]
+
+
+def test_las_cells_are_the_means_of_their_points(spark, tmp_path):
+    las_file(tmp_path / "a.las", 3, [(1, 1, 0, 2560, 0, 255), (2, 2, 0, 5120, 200, 256), (101, 101, 0, 7680, 10, 0), (102, 102, 0, 10240, 31, 0)])
+    las_file(tmp_path / "b.las", 3, [(1, 1, 0, 128, 255, 384)])
+    got = {(r["ix"], r["iy"], r["iz"]): tuple(round(r[c], 6) for c in ("n", "x", "y", "red", "green", "blue")) for r in scans.las_voxels(spark, str(tmp_path), 1.0, partition_bytes=60).collect()}
+    # red and blue of the first file are of 16 bits, as is blue of the second: 255 / 256 and 384 / 256 are rounded half to even
+    assert got == {(10, 0, -5): (3, round((30.03 + 0.01) / 3, 6), round(0.04 / 3, 6), round((10 + 20 + 128) / 3, 6), round((0 + 200 + 255) / 3, 6), round((1 + 1 + 2) / 3, 6)), (11, 1, -5): (2, 11.015, 1.015, 35.0, 20.5, 0.0)}
+    (tmp_path / "d").mkdir()
+    las_file(tmp_path / "d" / "c.las", 0, [(1, 1, 1)])
+    with pytest.raises(ValueError, match="without colors"):
+        scans.las_voxels(spark, str(tmp_path / "d"), 1.0)
+    with pytest.raises(ValueError, match="point format"):
+        scans.las_layout((tmp_path / "a.las").read_bytes()[:104] + bytes((99,)) + bytes(300))
+    with pytest.raises(ValueError, match="compressed"):
+        scans.las_layout((tmp_path / "a.las").read_bytes()[:104] + bytes((131,)) + bytes(300))
+
+
+def test_las_written_and_read_again(spark, tmp_path):
+    points = spark.createDataFrame([(k * 0.125, -k * 1.0, 3.0, k % 256, 7, 1000 * (k % 3)) for k in range(400)], "x double, y double, z double, red int, green int, blue int")
+    scans.write_las(points.repartition(3), str(tmp_path / "out"), scale=0.125)
+    back = scans.read(spark, str(tmp_path / "out"), "las")
+    assert sorted((r["x"], r["y"], r["red"], r["blue"]) for r in back.collect()) == sorted((r["x"], r["y"], r["red"], r["blue"]) for r in points.collect())
+    facts = [scans.las_layout(scans.head_of(f)).facts for f in scans.files_of(str(tmp_path / "out"))]
+    assert max(f["x_max"] for f in facts) == 399 * 0.125 and min(f["y_min"] for f in facts) == -399.0
+
+
+def test_region_inputs_and_labels_by_array(spark, tmp_path):
+    n, m = 300, 50
+    rng = np.random.default_rng(1)
+    arrays = {name: (rng.integers(-5, 30, n).astype(kind) if kind == "<i2" else rng.random((n, width)).astype(kind)) for name, kind, width in scans.REGION_ARRAYS}
+    src, dst = (rng.integers(0, n, m).astype("<i4") for _ in range(2))
+    (tmp_path / "r.bin").write_bytes(scans.REGION_MARK + struct.pack("<qq", n, m) + b"".join(a.tobytes() for a in arrays.values()) + src.tobytes() + dst.tobytes())
+    rows = sorted(scans.read(spark, str(tmp_path / "r.bin"), "region", partition_bytes=1000).collect(), key=lambda r: r["row"])
+    assert [r["ny"] for r in rows] == arrays["normal"][:, 1].tolist() and [r["buckets"] for r in rows] == arrays["buckets"].tolist() and [r["height_range"] for r in rows] == arrays["height_range"][:, 0].tolist()
+    edges = scans.read(spark, str(tmp_path / "r.bin"), "region_edges", partition_bytes=64)
+    assert sorted((r["row"], r["src"], r["dst"]) for r in edges.collect()) == list(zip(range(m), src.tolist(), dst.tolist(), strict=True))
+    (tmp_path / "l.bin").write_bytes(scans.LABEL_MARK + struct.pack("<q", n) + np.arange(n, dtype="<i4").tobytes())
+    assert sorted((r["row"], r["label"]) for r in scans.read(spark, str(tmp_path / "l.bin"), "labels", partition_bytes=400).collect()) == [(k, k) for k in range(n)]
 
 
 def test_sections(spark, tmp_path):
