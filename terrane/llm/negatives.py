@@ -193,7 +193,8 @@ def paired(all_tiles: DataFrame, packs: DataFrame, groups: int) -> DataFrame:
     """Each tile with each pack of anchors of its length: tiles are dealt to groups, and packs go to all groups."""
     dealt = all_tiles.withColumn("group", F.pmod(F.xxhash64(F.element_at("uid", 1)), F.lit(groups)).cast("int"))
     spread = packs.select("size", *(F.col(c).alias(f"a_{c}") for c in packs.columns if c != "size"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    return dealt.join(spread, ["size", "group"])
+    # merged, as the packs of all groups are larger than the table that they come from
+    return dealt.join(spread.hint("merge"), ["size", "group"])
 
 
 def best_positives(pairs: DataFrame, k: int) -> DataFrame:

@@ -222,6 +222,7 @@ def search(spark: SparkSession, docs: DataFrame, items: DataFrame, k: int = 50)
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(count / GROUP_TILES))
     spread = item_blocks.withColumnRenamed("terms", "item_terms").select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
     dealt = tiles.drop("n_docs", "n_terms").withColumn("group", F.pmod(F.xxhash64("ids", "counts"), F.lit(groups)).cast("int"))
-    first = met(dealt.join(spread, "group"), n_docs, n_terms, k, items.schema["item_id"].dataType.simpleString())
+    # merged, as the blocks of all groups are larger than the table that they come from
+    first = met(dealt.join(spread.hint("merge"), "group"), n_docs, n_terms, k, items.schema["item_id"].dataType.simpleString())
     nth = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last()))
     return first.withColumn("rank", nth).filter(F.col("rank") <= k).select("item_id", "rank", F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "score")
