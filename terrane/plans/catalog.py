@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrane.plans import folds, inventory, judging, reviews, semantic, spatial
+from terrane.plans import folds, inventory, judging, reviews, semantic, sightings, spatial
 from terrane.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "folds", "inventory", "judging", "reviews", "semantic", "spatial"]
+__all__ = ["ORACLE_SQL", "QUERIES", "folds", "inventory", "judging", "reviews", "semantic", "sightings", "spatial"]
