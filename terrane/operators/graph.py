@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
@@ -259,35 +258,39 @@ def superpoints(edges: DataFrame, nodes: DataFrame, gates: Gates) -> DataFrame:
     return joined.unionByName(alone)
 
 
-def propagated(edges: DataFrame, anchors: DataFrame, most_hops: int, least: float) -> DataFrame:
-    """(node, label, score, hops): the best product of edge weights from an anchor, settled best first.
+def propagated(edges: DataFrame, anchors: DataFrame, most_hops: int, least: float, most_rounds: int = 200) -> DataFrame:
+    """(node, label, score, hops): the best product of edge weights from an anchor, as best first settles it.
 
-    Edges are (a, b, weight), anchors (node, label, score). A node settled at `most_hops` goes no further,
-    even if a weaker path to it is shorter; of equal scores the least node and label settle first.
+    Edges are (a, b, weight) with weights of at most 1, anchors (node, label, score). A node settled at `most_hops` goes no
+    further, even if a weaker path to it is shorter; of equal scores the least label settles, then the fewest hops. Products
+    below `least` are not passed on.
+
+    Each round gives every node the best of its own anchor and what its neighbours' values of the round before pass on, until
+    nothing changes. A node's settled value rests on nodes of higher ones alone, so those are right one after
+    another, from the best on, and the values that don't change are the settled ones. A round is a join by node, which
+    adaptive execution may split, and an aggregation with map-side combining; no task holds a component.
     """
+    scratch = Scratch(edges.sparkSession, "propagated")
+    both, _ = scratch.keep(edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).filter("a <> b"))
+    own, _ = scratch.keep(_best(anchors.select("node", "label", F.col("score").cast("double").alias("score"), F.lit(0).alias("hops"))))
+    state, path, was = own, None, None
+    for _ in range(most_rounds):
+        offers = state.filter(F.col("hops") < most_hops).join(both, state["node"] == both["a"]).select(F.col("b").alias("node"), "label", (F.col("score") * F.col("weight")).alias("score"), (F.col("hops") + 1).alias("hops"))
+        after, after_path = scratch.keep(_best(own.unionByName(offers.filter(F.col("score") >= least))))
+        if path:
+            scratch.drop(path)
+        state, path = after, after_path
+        now = tuple(state.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "label", "score", "hops")), F.sum(F.xxhash64("node", "hops", "score", "label").cast("decimal(20,0)"))).first())
+        if now == was:
+            return state
+        was = now
+    raise RuntimeError(f"propagation did not settle in {most_rounds} rounds")
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows["a"] == rows["b"]
-        near: dict[int, list[tuple[int, float]]] = {}
-        for row in rows[~own].itertuples():
-            near.setdefault(row.a, []).append((row.b, row.weight))
-            near.setdefault(row.b, []).append((row.a, row.weight))
-        heap = [(-row.score, row.a, row.label, 0) for row in rows[own].itertuples()]
-        heapq.heapify(heap)
-        settled: dict[int, tuple[str, float, int]] = {}
-        while heap:
-            score, node, label, hops = heapq.heappop(heap)
-            if node in settled:
-                continue
-            settled[node] = (label, -score, hops)
-            if hops < most_hops:
-                for other, weight in near.get(node, ()):
-                    if other not in settled and -score * weight >= least:
-                        heapq.heappush(heap, (score * weight, other, label, hops + 1))
-        return pd.DataFrame([(n, *v) for n, v in settled.items()], columns=["node", "label", "score", "hops"])
-
-    kind = edges.schema["a"].dataType.simpleString()
-    return by_component(edges.select("a", "b", "weight"), fold, f"node {kind}, label string, score double, hops int", anchors)
+
+def _best(offers: DataFrame) -> DataFrame:
+    """The best offer of each node: highest score, of equals the least label, then the fewest hops."""
+    best = offers.groupBy("node").agg(F.min(F.struct((-F.col("score")).alias("loss"), "label", "hops")).alias("best"))
+    return best.select("node", "best.label", (-F.col("best.loss")).alias("score"), "best.hops")
 
 
 def grown(edges: DataFrame, cells: DataFrame, most_step: float) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RECORD = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("marker", "<u4")])
 
@@ -23,6 +24,9 @@ def sections(spark: SparkSession, path: str, header_bytes: int) -> DataFrame:
                 raw, at, frame = value.as_buffer(), header_bytes, 0
                 while at + 4 <= raw.size:
                     (count,) = struct.unpack("<I", raw[at : at + 4])
+                    if at + 4 + count * RECORD.itemsize > raw.size:
+                        # a section that is cut off is left out, as are those after it
+                        break
                     rows = np.frombuffer(raw, RECORD, count, at + 4)
                     fields = [pa.array(np.ascontiguousarray(rows[c])) for c in "xyz"]
                     yield pa.RecordBatch.from_arrays([pa.array([name] * count, pa.string()), pa.array(np.full(count, frame, np.int32)), pa.array(np.arange(count)), *fields, pa.array(rows["marker"].astype(np.int64))], names=["path", "frame_id", "idx", "x", "y", "z", "marker"])
@@ -80,6 +84,96 @@ def counts_of(pixels: DataFrame, height: int, size: int) -> DataFrame:
     return pairs.select("mask_id", F.when(rest > 0, F.concat(flat, F.array(rest))).otherwise(flat).alias("counts"))
 
 
+def plain_counts(texts: list[str | None]) -> list[np.ndarray | None]:
+    """Run lengths of compressed counts, all texts at a time.
+
+    A character holds, less 48, five bits of a number from its low end on and, at 32, whether more follow; of the last
+    one 16 is the sign. From the fourth number on a number is what it exceeds the one two before by.
+    """
+    raw = np.frombuffer("".join(t or "" for t in texts).encode("ascii"), np.uint8).astype(np.int64) - 48
+    if len(raw) and (raw.min() < 0 or raw.max() > 63):
+        raise ValueError("no compressed counts")
+    sizes = np.fromiter((len(t or "") for t in texts), np.int64, len(texts))
+    ends = np.flatnonzero(raw & 0x20 == 0)
+    if len(raw) and not np.isin(sizes[sizes > 0].cumsum() - 1, ends).all():
+        raise ValueError("compressed counts are cut off")
+    begins = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
+    nth = np.arange(len(raw)) - np.repeat(begins, ends - begins + 1)
+    value = np.add.reduceat((raw & 0x1F) << 5 * nth, begins) if len(ends) else ends
+    value -= np.where(raw[ends] & 0x10, 1 << 5 * (ends - begins + 1), 0)
+    text = np.repeat(np.arange(len(texts)), sizes)[begins] if len(ends) else ends
+    first = np.searchsorted(text, np.arange(len(texts)))
+    place = np.arange(len(value)) - first[text]
+    for parity in (0, 1):
+        # the second of odd places is the fourth number; of even ones the chain begins at the third, which stands by itself
+        at = np.flatnonzero((place % 2 == parity) & (place > 0))
+        if len(at):
+            sums = value[at].cumsum()
+            start = np.flatnonzero(np.concatenate(([True], text[at][1:] != text[at][:-1])))
+            before = np.concatenate(([0], sums))[start]
+            value[at] = sums - np.repeat(before, np.diff(np.append(start, len(at))))
+    last = np.append(first, len(value))[1:]
+    return [None if t is None else value[a:b] for t, a, b in zip(texts, first.tolist(), last.tolist(), strict=True)]
+
+
+def packed_counts(counts: list[np.ndarray | None]) -> list[str | None]:
+    """Compressed counts of run lengths, the inverse of plain_counts."""
+    out: list[str | None] = []
+    for own in counts:
+        if own is None:
+            out.append(None)
+            continue
+        x = np.asarray(own, np.int64).copy()
+        x[3:] -= np.asarray(own, np.int64)[1:-2]
+        characters = np.zeros((14, len(x)), np.uint8)
+        going, used = np.ones(len(x), bool), np.zeros(len(x), np.int64)
+        for k in range(14):
+            low = x & 0x1F
+            x = x >> 5
+            more = np.where(low & 0x10, x != -1, x != 0)
+            characters[k] = np.where(going, low + np.where(more, 0x20, 0) + 48, 0)
+            used += going
+            going &= more
+            if not going.any():
+                break
+        flat = characters.T.ravel()
+        out.append(flat[flat > 0].tobytes().decode("ascii"))
+    return out
+
+
+def decoded_masks(masks: DataFrame, counts: str = "counts") -> DataFrame:
+    """`masks` with run lengths as an array in place of compressed ones in the column `counts`; null stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(counts)
+            found = pa.array([None if x is None else x.tolist() for x in plain_counts(batch.column(at).to_pylist())], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([found if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    kinds = [T.StructField(f.name, T.ArrayType(T.LongType())) if f.name == counts else f for f in masks.schema.fields]
+    return masks.mapInArrow(run, T.StructType(kinds))
+
+
+def encoded_masks(masks: DataFrame, counts: str = "counts") -> DataFrame:
+    """`masks` with compressed run lengths in place of an array of them in the column `counts`; null stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(counts)
+            found = pa.array(packed_counts([None if x is None else np.array(x, np.int64) for x in batch.column(at).to_pylist()]), pa.string())
+            yield pa.RecordBatch.from_arrays([found if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    kinds = [T.StructField(f.name, T.StringType()) if f.name == counts else f for f in masks.schema.fields]
+    return masks.mapInArrow(run, T.StructType(kinds))
+
+
+def dense_counts(rows: list[list[bool]]) -> list[int]:
+    """Run lengths down the columns of a mask given as rows of pixels."""
+    flat = np.asarray(rows, bool).T.ravel()
+    change = np.flatnonzero(np.diff(flat, prepend=False))
+    return np.diff(np.concatenate(([0], change, [len(flat)]))).tolist()
+
+
 def overlaps(runs: DataFrame, other: DataFrame) -> DataFrame:
     """(left, right, shared) pixels of pairs of masks, by their runs; runs meet in the blocks of pixels that they touch."""
     block = 1 << 12

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 #: Property types of the format, as little-endian NumPy types; unsigned ones widen in Spark.
 TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "<i2", "int16": "<i2", "ushort": "<u2", "uint16": "<u2", "int": "<i4", "int32": "<i4", "uint": "<u4", "uint32": "<u4", "float": "<f4", "float32": "<f4", "double": "<f8", "float64": "<f8"}
-SPARK = {"i1": T.ByteType(), "u1": T.ShortType(), "<i2": T.ShortType(), "<u2": T.IntegerType(), "<i4": T.IntegerType(), "<u4": T.LongType(), "<f4": T.FloatType(), "<f8": T.DoubleType()}
+SPARK = {"i1": T.ByteType(), "u1": T.ShortType(), "<i2": T.ShortType(), "<u2": T.IntegerType(), "<i4": T.IntegerType(), "<u4": T.LongType(), "<i8": T.LongType(), "<f4": T.FloatType(), "<f8": T.DoubleType()}
 
 
 @dataclass(frozen=True)

@@ -8,11 +8,14 @@ are planned, from headers alone, so a sampled or fetched scan never reads the ro
 
 from __future__ import annotations
 
+import io
 import itertools
 import struct
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -159,6 +162,41 @@ def label_layout(raw: bytes) -> Layout:
     return Layout(n, (Section(len(LABEL_MARK) + 8, np.dtype([("label", "<i4")])),))
 
 
+def field_layout(path: str) -> Layout:
+    """The arrays of one length of an uncompressed archive of arrays, each from where its member's data begins; shorter ones are facts.
+
+    Members' places come from the directory at the archive's end, the types from the arrays' own headers.
+    """
+    store, own = opened(path)
+    sections, count, facts = [], 0, {}
+    with store.open_input_file(own) as file, zipfile.ZipFile(file) as archive:
+        arrays = {}
+        for info in archive.infolist():
+            if info.compress_type != zipfile.ZIP_STORED:
+                raise ValueError("compressed arrays cannot be read in ranges: store them plain")
+            file.seek(info.header_offset)
+            names = struct.unpack("<26x2H", file.read(30))
+            begin = info.header_offset + 30 + sum(names)
+            file.seek(begin)
+            raw = io.BytesIO(file.read(min(info.file_size, 4096)))
+            version = np.lib.format.read_magic(raw)
+            shape, _, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(raw)
+            arrays[info.filename.removesuffix(".npy")] = (begin + raw.tell(), shape[0] if shape else 1, kind)
+        count = max((n for _, n, _ in arrays.values()), default=0)
+        for name, (begin, n, kind) in arrays.items():
+            if n == count:
+                sections.append(Section(begin, np.dtype([(name, kind)])))
+            else:
+                file.seek(begin)
+                facts |= {f"{name}_{k}": float(v) for k, v in enumerate(np.frombuffer(file.read(n * kind.itemsize), kind))}
+    return Layout(count, tuple(sections), facts)
+
+
+def layout_of(path: str, kind: str) -> Layout:
+    """The layout of one file, from its header or, of an archive, its directory."""
+    return field_layout(path) if kind == "field" else LAYOUTS[kind](head_of(path))
+
+
 LAYOUTS = {"points": point_layout, "las": las_layout, "region": region_layout, "region_edges": region_edge_layout, "labels": label_layout}
 
 
@@ -185,7 +223,7 @@ def read_rows(file, layout: Layout, first: int, count: int, stride: int = 1) ->
 
 def placed(layout: Layout, fields: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """The fields, with x, y, z in their unit in place of whole numbers where the header has a scale."""
-    if not layout.facts:
+    if "x_scale" not in layout.facts:
         return fields
     return {n.lower() if n in "XYZ" else n: v * layout.facts[f"{n.lower()}_scale"] + layout.facts[f"{n.lower()}_offset"] if n in "XYZ" else v for n, v in fields.items()}
 
@@ -225,8 +263,8 @@ class Records(DataSource):
         return "terrane_records"
 
     def layouts(self) -> list[tuple[str, Layout]]:
-        parse = LAYOUTS[self.options.get("kind", "points")]
-        return [(path, parse(head_of(path))) for path in files_of(self.options["path"])]
+        kind = self.options.get("kind", "points")
+        return [(path, layout_of(path, kind)) for path in files_of(self.options["path"])]
 
     def schema(self) -> T.StructType:
         found = self.layouts()
@@ -293,25 +331,27 @@ class PointWriter(DataSourceArrowWriter):
 
     def __init__(self, options: dict[str, str], schema: T.StructType, overwrite: bool):
         self.folder, self.overwrite = options["path"].rstrip("/"), overwrite
-        self.form = LasForm(options, schema.names) if options.get("kind") == "las" else PointForm(options, schema.names)
+        self.form = FORMS[options.get("kind", "points")](options, schema.names)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         count, form = 0, self.form
-        # the header comes first and names the number of rows, which is known at the end
-        with tempfile.TemporaryFile() as held:
+        # the header comes first and names the number of rows, which is known at the end; arrays are held apart
+        with ExitStack() as stack:
+            held = [stack.enter_context(tempfile.TemporaryFile()) for _ in range(form.arrays)]
             for batch in iterator:
-                held.write(form.records({n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(batch.schema.names)}, batch.num_rows))
+                parts = form.records({n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(batch.schema.names)}, batch.num_rows)
+                for file, part in zip(held, parts, strict=True):
+                    file.write(part)
                 count += batch.num_rows
             if not count:
                 return Written(None, 0)
             store, own = opened(self.folder)
             store.create_dir(own, recursive=True)
             path = f"{own}/_{uuid.uuid4().hex}"
-            held.seek(0)
+            for file in held:
+                file.seek(0)
             with store.open_output_stream(path) as out:
-                out.write(form.header(count))
-                while part := held.read(1 << 22):
-                    out.write(part)
+                form.finish(out, held, count)
         return Written(path, count)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -330,7 +370,26 @@ class PointWriter(DataSourceArrowWriter):
                 store.delete_file(message.path)
 
 
-class PointForm:
+def copied(file, out) -> None:
+    while part := file.read(1 << 22):
+        out.write(part)
+
+
+class Form:
+    """How rows become a file: a header, then `arrays` arrays one after another."""
+
+    ending, arrays = "", 1
+
+    def header(self, count: int) -> bytes:
+        raise NotImplementedError
+
+    def finish(self, out, held: list, count: int) -> None:
+        out.write(self.header(count))
+        for file in held:
+            copied(file, out)
+
+
+class PointForm(Form):
     """Records and header of point files."""
 
     ending = ".ply"
@@ -340,21 +399,21 @@ class PointForm:
         self.kinds = {n: types[n] for n in names}
         self.text, self.digits = options.get("text", "false").lower() == "true", int(options.get("digits", 6))
 
-    def records(self, columns: dict[str, np.ndarray], count: int) -> bytes:
+    def records(self, columns: dict[str, np.ndarray], count: int) -> list[bytes]:
         if self.text:
             real = {n for n, k in self.kinds.items() if k in ("float", "float32", "double", "float64")}
             shown = [[f"{v:.{self.digits}f}" for v in columns[n].tolist()] if n in real else [str(int(v)) for v in columns[n].tolist()] for n in self.kinds]
-            return "".join(" ".join(row) + "\n" for row in zip(*shown, strict=True)).encode()
+            return ["".join(" ".join(row) + "\n" for row in zip(*shown, strict=True)).encode()]
         rows = np.empty(count, np.dtype([(n, ply.TYPES[k]) for n, k in self.kinds.items()]))
         for n in self.kinds:
             rows[n] = columns[n]
-        return rows.tobytes()
+        return [rows.tobytes()]
 
     def header(self, count: int) -> bytes:
         return ply.header_text(self.kinds, count, self.text)
 
 
-class LasForm:
+class LasForm(Form):
     """Records and header of LAS 1.2 files of point format 2: places in whole steps of option scale, colors of 16 bits."""
 
     ending = ".las"
@@ -363,7 +422,7 @@ class LasForm:
         self.scale, self.record = float(options.get("scale", 0.001)), np.dtype(LAS_FORMATS[2])
         self.least, self.most = np.full(3, np.inf), np.full(3, -np.inf)
 
-    def records(self, columns: dict[str, np.ndarray], count: int) -> bytes:
+    def records(self, columns: dict[str, np.ndarray], count: int) -> list[bytes]:
         rows = np.zeros(count, self.record)
         for k, c in enumerate("xyz"):
             rows[c.upper()] = steps = np.rint(columns[c] / self.scale).astype(np.int64)
@@ -371,7 +430,7 @@ class LasForm:
                 self.least[k], self.most[k] = min(self.least[k], steps.min() * self.scale), max(self.most[k], steps.max() * self.scale)
         for c in ("red", "green", "blue"):
             rows[c] = columns[c]
-        return rows.tobytes()
+        return [rows.tobytes()]
 
     def header(self, count: int) -> bytes:
         raw = bytearray(227)
@@ -382,6 +441,60 @@ class LasForm:
         return bytes(raw)
 
 
+class RegionForm(Form):
+    """The arrays of a region input's cells, without edges."""
+
+    ending, arrays = ".region", len(REGION_ARRAYS)
+
+    def __init__(self, options: dict[str, str], names: list[str]):
+        pass
+
+    def records(self, columns: dict[str, np.ndarray], count: int) -> list[bytes]:
+        return [np.stack([columns[c].astype(kind) for c in REGION_PARTS.get(name, (name,))], axis=1).tobytes() for name, kind, _ in REGION_ARRAYS]
+
+    def header(self, count: int) -> bytes:
+        return REGION_MARK + struct.pack("<qq", count, 0)
+
+
+class LabelForm(Form):
+    """A label for each cell."""
+
+    ending = ".labels"
+
+    def __init__(self, options: dict[str, str], names: list[str]):
+        pass
+
+    def records(self, columns: dict[str, np.ndarray], count: int) -> list[bytes]:
+        return [columns["label"].astype("<i4").tobytes()]
+
+    def header(self, count: int) -> bytes:
+        return LABEL_MARK + struct.pack("<q", count)
+
+
+class FieldForm(Form):
+    """An uncompressed archive with an array for each column: its type is that of option types."""
+
+    ending = ".npz"
+
+    def __init__(self, options: dict[str, str], names: list[str]):
+        types = dict(pair.split(":") for pair in options["types"].split(","))
+        self.kinds = {n: np.dtype(types[n]) for n in names}
+        self.arrays = len(names)
+
+    def records(self, columns: dict[str, np.ndarray], count: int) -> list[bytes]:
+        return [columns[n].astype(kind).tobytes() for n, kind in self.kinds.items()]
+
+    def finish(self, out, held: list, count: int) -> None:
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
+            for (name, kind), file in zip(self.kinds.items(), held, strict=True):
+                with archive.open(f"{name}.npy", "w", force_zip64=True) as member:
+                    np.lib.format.write_array_header_1_0(member, {"descr": np.lib.format.dtype_to_descr(kind), "fortran_order": False, "shape": (count,)})
+                    copied(file, member)
+
+
+FORMS = {"points": PointForm, "las": LasForm, "region": RegionForm, "labels": LabelForm, "field": FieldForm}
+
+
 def read(spark: SparkSession, path: str, kind: str = "points", **options: object) -> DataFrame:
     """(file, row, fields...) of a file, or of all files of a folder, read in byte ranges; for options see Records.
 
@@ -399,7 +512,6 @@ def fetch(rows: DataFrame, path: str, kind: str = "points") -> DataFrame:
     """
     spark = rows.sparkSession
     schema = read(spark, path, kind).schema
-    parse = LAYOUTS[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, layout, file = None, None, None
@@ -409,7 +521,7 @@ def fetch(rows: DataFrame, path: str, kind: str = "points") -> DataFrame:
                 if own != name:
                     if file is not None:
                         file.close()
-                    name, layout = own, parse(head_of(own))
+                    name, layout = own, layout_of(own, kind)
                     store, at = opened(own)
                     file = store.open_input_file(at)
                 wanted = np.array([r for _, r in group], np.int64)
@@ -437,6 +549,21 @@ def write_las(points: DataFrame, path: str, scale: float = 0.001, overwrite: boo
     _written(points.select("x", "y", "z", "red", "green", "blue"), path, overwrite, kind="las", scale=scale)
 
 
+def write_region(cells: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Region inputs of cells (the columns of REGION_ARRAYS) in the folder `path`, one for each partition."""
+    _written(cells.select(*[c for name, _, _ in REGION_ARRAYS for c in REGION_PARTS.get(name, (name,))]), path, overwrite, kind="region")
+
+
+def write_labels(cells: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Label vectors of cells (label) in the folder `path`, one for each partition."""
+    _written(cells.select("label"), path, overwrite, kind="labels")
+
+
+def write_field(cells: DataFrame, path: str, types: dict[str, str], overwrite: bool = False) -> None:
+    """Archives of arrays in the folder `path`, one for each partition; `types` names each column's NumPy type."""
+    _written(cells.select(*types), path, overwrite, kind="field", types=",".join(f"{c}:{k}" for c, k in types.items()))
+
+
 def _written(points: DataFrame, path: str, overwrite: bool, **options: object) -> None:
     points.sparkSession.dataSource.register(Records)
     points.write.format(Records.name()).mode("overwrite" if overwrite else "append").options(**{k: str(v) for k, v in options.items()}).save(path)

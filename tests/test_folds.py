@@ -304,3 +304,32 @@ def test_residual_points_take_the_label_of_their_plane(spark):
     found = objects.resurfaced(spark.createDataFrame(floor + near, schema), ["floor"], 0.5, 50, 5, 0.6, 8, 0.1, 0.05, 60.0).collect()
     assert sorted((r["point_id"], r["label"], round(r["away"], 6)) for r in found) == [(1000, "floor", 0.05), (1004, "floor", 0.05)]
     assert objects.resurfaced(spark.createDataFrame([], schema), ["floor"], 0.5, 50, 5, 0.6, 8, 0.1, 0.05, 60.0).count() == 0
+
+
+def settled_best_first(edges, anchors, most_hops, least):
+    import heapq
+
+    near = {}
+    for a, b, w in edges:
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+    heap = [(-s, n, label, 0) for n, label, s in anchors]
+    heapq.heapify(heap)
+    found = {}
+    while heap:
+        score, node, label, hops = heapq.heappop(heap)
+        if node not in found:
+            found[node] = (label, -score, hops)
+            for other, w in near.get(node, []) if hops < most_hops else []:
+                if -score * w >= least:
+                    heapq.heappush(heap, (score * w, other, label, hops + 1))
+    return found
+
+
+@pytest.mark.parametrize(("seed", "hops"), [(1, 1), (2, 3), (3, 8)])
+def test_propagation_by_rounds_settles_as_best_first(spark, seed, hops):
+    rng = random.Random(seed)
+    edges = [(*sorted(rng.sample(range(60), 2)), rng.uniform(0.3, 0.999)) for _ in range(140)]
+    anchors = [(n, f"k{n % 4}", rng.uniform(0.2, 1.0)) for n in rng.sample(range(60), 9)] + [(500, "alone", 0.01)]
+    got = graph.propagated(spark.createDataFrame(edges, "a long, b long, weight double"), spark.createDataFrame(anchors, "node long, label string, score double"), hops, 0.05)
+    assert {r["node"]: (r["label"], r["score"], r["hops"]) for r in got.collect()} == settled_best_first(edges, anchors, hops, 0.05)

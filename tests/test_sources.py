@@ -201,3 +201,60 @@ def test_masks_to_runs_and_back(spark):
     assert back == {1: [2, 3, 1, 2, 4], 2: [0, 5, 7], 3: [6, 4, 2]}
     both = {(r["left"], r["right"]): r["shared"] for r in frames.overlaps(runs, runs).collect()}
     assert both[1, 2] == 3 and both[1, 3] == 2 and both[1, 1] == 5 and (2, 3) not in both
+
+
+def plain_decoded(text):
+    out, at = [], 0
+    while at < len(text):
+        number = shift = 0
+        more = True
+        while more:
+            c = ord(text[at]) - 48
+            at += 1
+            number |= (c & 31) << shift
+            shift += 5
+            more = bool(c & 32)
+            if not more and c & 16:
+                number |= -1 << shift
+        out.append(number + out[-2] if len(out) > 2 else number)
+    return out
+
+
+def test_compressed_counts_both_ways(spark):
+    rng = np.random.default_rng(8)
+    counts = [[int(v) for v in rng.integers(0, 10 ** rng.integers(1, 7), n)] for n in [0, 1, 2, 3, 4, 5, 17, 400, *rng.integers(0, 60, 40)]] + [[0, 3_000_000_000, 5, 1, 9, 2_999_999_999, 31, 32, 15, 16]]
+    packed = frames.packed_counts([np.array(c, np.int64) for c in counts])
+    assert [plain_decoded(t) for t in packed] == counts
+    assert [c.tolist() for c in frames.plain_counts(packed)] == counts
+    assert frames.plain_counts([None, "", packed[7]])[0] is None and frames.plain_counts([]) == []
+    with pytest.raises(ValueError, match="cut off"):
+        frames.plain_counts(["o"])
+    with pytest.raises(ValueError, match="no compressed"):
+        frames.plain_counts(["!"])
+    table = spark.createDataFrame([(k, c) for k, c in enumerate(counts)] + [(999, None)], "mask_id long, counts array<long>").repartition(3)
+    back = {r["mask_id"]: r["counts"] for r in frames.decoded_masks(frames.encoded_masks(table)).collect()}
+    assert back == {**dict(enumerate(counts)), 999: None}
+    assert frames.dense_counts([[True, False], [True, False], [False, True]]) == [0, 2, 3, 1]
+
+
+def test_fields_are_read_by_the_place_of_their_arrays(spark, tmp_path):
+    keys, labels, confidence = np.arange(0, 5000, 3), (np.arange(1667) % 200).astype(np.uint8), np.linspace(0, 1, 1667).astype(np.float32)
+    np.savez(tmp_path / "f.npz", keys=keys, labels=labels, confidence=confidence, spec=np.array([1, 2, 3]), voxel_size=np.array([0.25]))
+    found = scans.read(spark, str(tmp_path / "f.npz"), "field", partition_bytes=2000)
+    assert found.rdd.getNumPartitions() > 5
+    assert sorted((r["row"], r["keys"], r["labels"], r["confidence"]) for r in found.collect()) == list(zip(range(1667), keys.tolist(), labels.tolist(), confidence.tolist(), strict=True))
+    assert scans.layout_of(str(tmp_path / "f.npz"), "field").facts == {"spec_0": 1.0, "spec_1": 2.0, "spec_2": 3.0, "voxel_size_0": 0.25}
+    np.savez_compressed(tmp_path / "g.npz", keys=keys)
+    with pytest.raises(ValueError, match="compressed arrays"):
+        scans.layout_of(str(tmp_path / "g.npz"), "field")
+    scans.write_field(found.repartitionByRange(2, "keys").sortWithinPartitions("keys"), str(tmp_path / "out"), {"keys": "<i8", "labels": "u1"})
+    parts = [dict(np.load(f)) for f in scans.files_of(str(tmp_path / "out"))]
+    assert sorted(np.concatenate([p["keys"] for p in parts]).tolist()) == keys.tolist() and all((np.diff(p["keys"]) > 0).all() for p in parts)
+
+
+def test_labels_written_and_a_section_that_is_cut_off(spark, tmp_path):
+    scans.write_labels(spark.createDataFrame([(k,) for k in range(90)], "label int").repartitionByRange(2, "label").sortWithinPartitions("label"), str(tmp_path / "l"))
+    assert sorted(r["label"] for r in scans.read(spark, str(tmp_path / "l"), "labels").collect()) == list(range(90))
+    raw = b"HEAD" + struct.pack("<IfffI", 1, 1.0, 2.0, 3.0, 9) + struct.pack("<IfffI", 2, 1.0, 2.0, 3.0, 9)
+    (tmp_path / "a.lx").write_bytes(raw)
+    assert [tuple(r) for r in frames.sections(spark, str(tmp_path / "a.lx"), 4).drop("path").collect()] == [(0, 0, 1.0, 2.0, 3.0, 9)]
