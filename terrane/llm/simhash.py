@@ -20,6 +20,8 @@ SEED = 42
 LONGS, SEGMENTS, SEGMENT_BITS = 4, 10, 16
 #: Standard deviations of a distance beyond that of the similarity that candidates may have, and by which those are nearer that need no comparison of sets.
 SLACK, SURE = 3.0, 2.75
+#: Bits of a sketch's distance that count as one in the order of a forest, and further passes over what failed, each by another sketch.
+COARSE, PASSES = 8, 2
 LONG_NAMES = tuple(f"f{k}" for k in range(LONGS))
 
 
@@ -101,7 +103,11 @@ def _bucket_edges(paired: DataFrame, classes: DataFrame, most: int, nearest: boo
 
 
 def _forest(table: pa.Table, most: int, nearest: bool = False) -> tuple[list[int], list[int]]:
-    """Positions of a spanning forest of the links at `most` bits or fewer in each group; of the least distances if `nearest`."""
+    """Positions of a spanning forest of the links at `most` bits or fewer in each group.
+
+    If `nearest`, of the least distances in steps of COARSE bits, among those to the least representatives, so that the
+    forests of many buckets have edges in common. Rows of one `part`, where there is such a column, are one from the start.
+    """
     n = table.num_rows
     fp, side = table.column("fp").to_numpy().view(np.uint64), table.column("side").to_numpy()
     alike = table.column("i").to_numpy() == table.column("j").to_numpy()
@@ -110,6 +116,8 @@ def _forest(table: pa.Table, most: int, nearest: bool = False) -> tuple[list[int
     at = np.arange(n)
     forest, first, second = Forest(n), [], []
     held: list[np.ndarray] = []
+    rank = np.argsort(np.argsort(table.column("rep").to_numpy(), kind="stable"), kind="stable") if nearest else at
+    part = table.column("part").to_numpy() if "part" in table.column_names else None
 
     def join(a: np.ndarray, b: np.ndarray) -> None:
         for x, y in zip(a.tolist(), b.tolist(), strict=True):
@@ -122,18 +130,31 @@ def _forest(table: pa.Table, most: int, nearest: bool = False) -> tuple[list[int
         other = at + step
         apart = np.bitwise_count(fp[at] ^ fp[other])
         near = (apart <= most) & (alike[at] | (side[at] != side[other]))
+        if part is not None:
+            near &= part[at] != part[other]
         if nearest:
-            held.append(np.stack([apart[near], at[near], other[near]]))
+            held.append(np.stack([apart[near] // COARSE, at[near], other[near]]))
         else:
             join(at[near], other[near])
         step += 1
     if held:
         apart, a, b = np.concatenate(held, axis=1)
-        order = np.argsort(apart, kind="stable")
+        order = np.lexsort((np.maximum(rank[a], rank[b]), np.minimum(rank[a], rank[b]), apart))
+        if part is not None:
+            joined_parts(forest, part, starts, n)
         join(a[order], b[order])
     return first, second
 
 
+def joined_parts(forest: Forest, part: np.ndarray, starts: np.ndarray, n: int) -> None:
+    """Joins the rows of each group that are of one part."""
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    order = np.lexsort((part, group))
+    same = (part[order[1:]] == part[order[:-1]]) & (group[order[1:]] == group[order[:-1]])
+    for k in np.flatnonzero(same).tolist():
+        forest.join(int(order[k]), int(order[k + 1]))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 4, most: int = 4, block: int = BLOCK) -> DataFrame:
     """(doc_id, fp, component_id) of each row; component_id is the smallest doc_id reachable by links.
 
@@ -197,11 +218,11 @@ def far_bits(similarity: float, bits: int, slack: float = 0.0) -> float:
     return mean + slack * math.sqrt(mean * (1 - mean / bits))
 
 
-def wide_variants(classes: DataFrame, *extra: str) -> DataFrame:
-    """(bucket, fp, rep): the sketch of each class under each one-wildcard variant of each of its segments."""
+def wide_variants(classes: DataFrame, sketch: str, *extra: str) -> DataFrame:
+    """(bucket, fp, rep): the sketch, one of the longs, of each class under each one-wildcard variant of each of its segments."""
     wild = F.col("wild")
     dealt = classes.select(*LONG_NAMES, "rep", *extra).repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    spread = dealt.select("f0", "f1", "f3", F.col("f2").alias("fp"), "rep", *extra, F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * SEGMENT_BITS - 1))).alias("wild"))
+    spread = dealt.select("f0", "f1", "f3", F.col(sketch).alias("fp"), "rep", *extra, F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * SEGMENT_BITS - 1))).alias("wild"))
     long, bit = F.when(wild < 64, F.col("f0")).when(wild < 128, F.col("f1")).otherwise(F.col("f3")), F.pmod(wild, F.lit(64))
     spread = spread.select("fp", "rep", *extra, "wild", long.alias("own"), (F.floor(bit / SEGMENT_BITS) * SEGMENT_BITS).cast("int").alias("off"), bit.cast("int").alias("bit"))
     kept = f"shiftrightunsigned(own & ~shiftleft(1L, bit), off) & {(1 << SEGMENT_BITS) - 1}L"
@@ -221,36 +242,12 @@ def apart(edges: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     return near.select("src", "dst", bits.cast("int").alias("apart")).filter(F.col("apart") <= round(far_bits(similarity, 64 * LONGS, SLACK)))
 
 
-def first_edges(classes: DataFrame, scratch: Scratch, similarity: float, block: int = BLOCK) -> DataFrame:
-    """(src, dst, apart): candidates that agree in a segment but for one bit, of each bucket a forest of least sketch distances."""
-    rows = wide_variants(classes)
-    return apart(_bucket_edges(block_pairs(rows, "bucket", F.xxhash64("fp"), scratch, block), classes, sketch_limit(similarity), True), classes, similarity)
-
-
-def crossing_edges(classes: DataFrame, scratch: Scratch, similarity: float, block: int = BLOCK) -> DataFrame:
-    """(src, dst, apart): all candidates of each bucket whose classes are in different `part`s."""
-    most = sketch_limit(similarity)
-    ordered = block_pairs(wide_variants(classes, "part"), "bucket", F.xxhash64("fp"), scratch, block).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = ["bucket", "i", "j"]
-        for table in whole_groups(batches, keys):
-            n = table.num_rows
-            fp, part, side = table.column("fp").to_numpy().view(np.uint64), table.column("part").to_numpy(), table.column("side").to_numpy()
-            alike = table.column("i").to_numpy() == table.column("j").to_numpy()
-            starts = group_starts(table, keys)
-            ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
-            reps, at, step = table.column("rep").combine_chunks(), np.arange(n), 1
-            while len(at := at[at + step < ends[at]]):
-                other = at + step
-                met = (part[at] != part[other]) & (np.bitwise_count(fp[at] ^ fp[other]) <= most) & (alike[at] | (side[at] != side[other]))
-                if met.any():
-                    yield pa.RecordBatch.from_arrays([reps.take(pa.array(at[met])), reps.take(pa.array(other[met]))], names=["src", "dst"])
-                step += 1
-
-    kind = classes.schema["rep"].dataType.simpleString()
-    met = ordered.mapInArrow(trimmed(run), f"src {kind}, dst {kind}")
-    return apart(met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), classes, similarity)
+def candidate_edges(classes: DataFrame, scratch: Scratch, similarity: float, sketch: str, block: int = BLOCK) -> DataFrame:
+    """(src, dst, apart): candidates that agree in a segment but for one bit, of each bucket a forest by sketch distances; between `part`s, where classes have such a column."""
+    extra = ["part"] if "part" in classes.columns else []
+    rows = wide_variants(classes, sketch, *extra)
+    edges = _bucket_edges(block_pairs(rows, "bucket", F.xxhash64("fp"), scratch, block), classes, sketch_limit(similarity), True)
+    return apart(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), classes, similarity)
 
 
 def alike(edges: DataFrame, classes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -295,8 +292,8 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, similari
     Equal fingerprints are one class. Of each bucket a forest of candidates is taken, so hot groups never make pairs.
     Those SURE standard deviations nearer than sets at `similarity` are links by their fingerprints; of the others, the
     ones between parts that those leave apart are compared by their sets of shingles. Where such a candidate fails, a
-    forest may have passed over a link beside it: parts that touch one that failed are open, and all candidates
-    between open parts are compared by their sets too. So no link among the candidates is lost.
+    forest may have passed over a link beside it: parts that touch one that failed are looked at again, between parts
+    and by another sketch, at most PASSES times. A link is lost if no segment agrees or if all sketches mislead.
     """
     scratch = Scratch(spark, "similar")
     docs = docs.filter("doc_id is not null")
@@ -304,21 +301,20 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, similari
     classes = found.groupBy(*LONG_NAMES).agg(F.min(F.struct("doc_id", "uid", "hash")).alias("first"))
     classes, _ = scratch.keep(classes.select(*LONG_NAMES, F.col("first.uid").alias("rep"), "first.doc_id", "first.hash"))
     reps = classes.select("rep")
-    edges, _ = scratch.keep(first_edges(classes, scratch, similarity, block))
     sure = F.col("apart") <= round(far_bits(similarity, 64 * LONGS, -SURE))
-    links = edges.filter(sure).select("src", "dst")
-    parts, _ = scratch.keep(parted(spark, links, reps))
-    tried, _ = scratch.keep(alike(across(edges.filter(~sure), parts), classes, docs, size, similarity))
-    links = links.unionByName(tried.filter("alike").select("src", "dst"))
-    parts, _ = scratch.keep(parted(spark, links, reps))
-    failed = across(tried.filter("not alike"), parts)
-    open_, _ = scratch.keep(failed.select(F.col("src_part").alias("part")).unionByName(failed.select(F.col("dst_part").alias("part"))).distinct())
-    if not open_.isEmpty():
+    links, parts, left = None, reps.withColumn("part", F.col("rep")), classes
+    for sketch in ("f2", "f3", "f0")[: 1 + PASSES]:
+        edges, _ = scratch.keep(candidate_edges(left, scratch, similarity, sketch, block))
+        links = edges.filter(sure).select("src", "dst") if links is None else links.unionByName(edges.filter(sure).select("src", "dst"))
+        parts, _ = scratch.keep(parted(spark, links, reps))
+        tried, _ = scratch.keep(alike(across(edges.filter(~sure), parts), classes, docs, size, similarity))
+        links = links.unionByName(tried.filter("alike").select("src", "dst"))
+        parts, _ = scratch.keep(parted(spark, links, reps))
+        failed = across(tried.filter("not alike"), parts)
+        open_, _ = scratch.keep(failed.select(F.col("src_part").alias("part")).unionByName(failed.select(F.col("dst_part").alias("part"))).distinct())
+        if open_.isEmpty():
+            break
         left = classes.join(parts.join(open_, "part", "left_semi"), "rep")
-        more = crossing_edges(left, scratch, similarity, block).join(tried.select("src", "dst").unionByName(tried.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), ["src", "dst"], "left_anti")
-        again, _ = scratch.keep(alike(more, classes, docs, size, similarity).filter("alike").select("src", "dst"))
-        if not again.isEmpty():
-            parts, _ = scratch.keep(parted(spark, links.unionByName(again), reps))
     named = classes.join(parts, "rep").select(*LONG_NAMES, "part")
     rows, _ = scratch.keep(found.join(named, list(LONG_NAMES)).select("uid", "doc_id", "hash", "part"))
     first = rows.groupBy("part").agg(F.min(F.struct("doc_id", "uid", "hash")).alias("first"))
