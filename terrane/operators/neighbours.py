@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.geometry import box_gap, box_overlap, box_volume
+from terrane.operators.lineage import Scratch
 from terrane.operators.voxels import KEY
 
 
@@ -84,14 +85,26 @@ def nearest_within(queries: DataFrame, points: DataFrame, query_id: str, point_i
     return near.groupBy(F.col("q").alias(query_id)).agg(F.min_by("n_p", F.struct("d", "n_p")).alias(point_id), F.min("d").alias("distance"))
 
 
-def nearest_few(points: DataFrame, point_id: str, radius: float, k: int) -> DataFrame:
-    """Pairs (a, b) of each point with its k nearest others within the radius, nearest first, then by id."""
-    held = points.select(F.col(point_id).alias("p"), "x", "y", "z").withColumns({f"i{c}": F.floor(F.col(c) / radius) for c in "xyz"})
-    found = offset_join(held, held, [(0, 0, 0), *offsets("cube")]).filter("p <> n_p")
+def nearest_few(points: DataFrame, point_id: str, radius: float, k: int, inner: int = 4) -> DataFrame:
+    """Pairs (a, b) of each point with its k nearest others within the radius, nearest first, then by id.
+
+    Points that have k others within an `inner`th of the radius are done there; only the rest look as far as the radius,
+    so where a scan is dense most pairs are never met.
+    """
+    held = points.select(F.col(point_id).alias("p"), "x", "y", "z")
+    found, _ = Scratch(points.sparkSession, "nearest").keep(_few(held, held, radius / inner, k))
+    full = found.groupBy("p").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("p")
+    near = found.join(full, "p", "left_semi").unionByName(_few(held.join(full, "p", "left_anti"), held, radius, k))
+    return near.select(F.col("p").alias("a"), F.col("n_p").alias("b"), "distance", "place")
+
+
+def _few(asked: DataFrame, others: DataFrame, radius: float, k: int) -> DataFrame:
+    asked, others = (df.withColumns({f"i{c}": F.floor(F.col(c) / radius) for c in "xyz"}) for df in (asked, others))
+    found = offset_join(asked, others, [(0, 0, 0), *offsets("cube")]).filter("p <> n_p")
     gap = F.sqrt(sum((F.pow(F.col(c) - F.col(f"n_{c}"), 2) for c in "xyz"), F.lit(0.0)))
     near = found.withColumn("distance", gap).filter(F.col("distance") < radius)
     order = Window.partitionBy("p").orderBy("distance", "n_p")
-    return near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select(F.col("p").alias("a"), F.col("n_p").alias("b"), "distance", "place")
+    return near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("p", "n_p", "distance", "place")
 
 
 def box_pairs(boxes: DataFrame, box_id: str, gap: float, cell: float) -> DataFrame:

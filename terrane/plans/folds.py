@@ -40,7 +40,7 @@ def voxel_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def patch_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects whose voxels fall apart, neighbours being cells of one bucket and of near color that touch in any of 26 ways."""
+    """Objects whose voxels fall apart, neighbours being cells of near color that touch in any of 26 ways."""
     cells = owned(spark, sf_dir).withColumn("node", voxels.packed_key(1000, 1000))
     both = neighbours.offset_join(cells, cells, neighbours.positive(neighbours.offsets("cube"))).filter("owner = n_owner")
     color = F.sqrt(sum((F.pow(F.col(c) - F.col(f"n_{c}"), 2) for c in "rgb"), F.lit(0.0)))

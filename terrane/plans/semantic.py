@@ -142,9 +142,9 @@ def evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(evidence.fused([(by_value, 0.02), (by_count, 1.5)], allowed, kinds), 4, "total", "vetoed"), 6, "ratio")
 
 
-@query(with_(VOTES, "w AS (SELECT object_id, label, CAST(count(*) AS DOUBLE) AS weight FROM views WHERE day(view_day) <= 12 GROUP BY 1, 2)") + "SELECT object_id, first(label ORDER BY weight DESC, label) AS label, sum(weight) AS votes, round(max(weight) / greatest(sum(weight), 1), 6) AS ratio, CASE WHEN sum(weight) < 5 THEN 'keep' WHEN max(weight) / greatest(sum(weight), 1) >= 0.4 THEN 'transfer' WHEN max(weight) / greatest(sum(weight), 1) >= 0.3 THEN 'review' ELSE 'keep' END AS decision FROM w GROUP BY 1")
+@query(with_(VOTES, "w AS (SELECT object_id, label, CAST(count(*) AS DOUBLE) AS weight FROM views GROUP BY 1, 2)") + "SELECT object_id, first(label ORDER BY weight DESC, label) AS label, sum(weight) AS votes, round(max(weight) / greatest(sum(weight), 1), 6) AS ratio, CASE WHEN sum(weight) < 5 THEN 'keep' WHEN max(weight) / greatest(sum(weight), 1) >= 0.4 THEN 'transfer' WHEN max(weight) / greatest(sum(weight), 1) >= 0.3 THEN 'review' ELSE 'keep' END AS decision FROM w GROUP BY 1")
 def teacher_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    votes = voxels.votes(views(spark, sf_dir).filter(F.dayofmonth("view_day") <= 12), ["object_id"])
+    votes = voxels.votes(views(spark, sf_dir), ["object_id"])
     return rounded(evidence.transferred(votes, 5.0, 0.4, 0.3), 6, "ratio")
 
 

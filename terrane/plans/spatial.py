@@ -156,12 +156,11 @@ def nearest_within_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    with_(POINTS, STEPS, celled(0.5), f"met AS (SELECT p.point_id AS a, q.point_id AS b, {NEAR} AS d FROM celled p, steps s JOIN celled q ON q.ix = p.ix + s.dx AND q.iy = p.iy + s.dy AND q.iz = p.iz + s.dz WHERE p.point_id <> q.point_id)", "ranked AS (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS place FROM met WHERE d < 0.5)")
+    with_(POINTS, STEPS, celled(2.0), f"met AS (SELECT p.point_id AS a, q.point_id AS b, {NEAR} AS d FROM celled p, steps s JOIN celled q ON q.ix = p.ix + s.dx AND q.iy = p.iy + s.dy AND q.iz = p.iz + s.dz WHERE p.point_id <> q.point_id)", "ranked AS (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS place FROM met WHERE d < 2.0)")
     + "SELECT a, b, round(d, 6) AS distance, CAST(place AS INT) AS place FROM ranked WHERE place <= 4"
 )
 def nearest_few(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all points of the scan; the radius is that of a dense scan."""
-    return neighbours.nearest_few(points(spark, sf_dir), "point_id", 0.5, 4).withColumn("distance", F.round("distance", 6))
+    return neighbours.nearest_few(points(spark, sf_dir), "point_id", 2.0, 4).withColumn("distance", F.round("distance", 6))
 
 
 GAP = "sqrt(greatest(0, p.x0 - q.x1, q.x0 - p.x1) ** 2 + greatest(0, p.y0 - q.y1, q.y0 - p.y1) ** 2 + greatest(0, p.z0 - q.z1, q.z0 - p.z1) ** 2)"
