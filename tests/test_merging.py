@@ -129,7 +129,7 @@ def plain_merges(rows, cells, candidates, rules):
 @pytest.mark.parametrize("parts", [1, 7])
 def test_overlap_merges_by_mergeable_samples(spark, parts):
     rng = np.random.default_rng(3)
-    rules = merging.Overlap(cells=10, share=0.3, iou=0.02, sample=12, near=0.4, median=0.6)
+    rules = merging.Overlap(cells=10, share=0.3, iou=0.02, sample=12, near=0.4, median=0.6, gain=-0.05)
     rows, cells = [], []
     for k in range(40):
         n, at = int(rng.integers(8, 60)), rng.uniform(0, 8, 3) * [1, 0.3, 0.1]
