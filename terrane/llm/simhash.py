@@ -22,6 +22,8 @@ LONGS, SEGMENTS, SEGMENT_BITS = 4, 10, 16
 SLACK, SURE = 3.0, 2.75
 #: Bits of a sketch's distance that count as one in the order of a forest, and further passes over what failed, each by another sketch.
 COARSE, PASSES = 8, 2
+#: Pairs of a bucket that are joined before those that are joined by then are left out of the next.
+CHUNK = 1 << 14
 LONG_NAMES = tuple(f"f{k}" for k in range(LONGS))
 
 
@@ -113,36 +115,60 @@ def _forest(table: pa.Table, most: int, nearest: bool = False) -> tuple[list[int
     alike = table.column("i").to_numpy() == table.column("j").to_numpy()
     starts = group_starts(table, ["bucket", "i", "j"])
     ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+    if nearest:
+        return _nearest_forest(table, fp, side, alike, starts, ends, most)
     at = np.arange(n)
     forest, first, second = Forest(n), [], []
-    held: list[np.ndarray] = []
-    rank = np.argsort(np.argsort(table.column("rep").to_numpy(), kind="stable"), kind="stable") if nearest else at
-    part = table.column("part").to_numpy() if "part" in table.column_names else None
+    step = 1
+    while len(at := at[at + step < ends[at]]):
+        other = at + step
+        near = (np.bitwise_count(fp[at] ^ fp[other]) <= most) & (alike[at] | (side[at] != side[other]))
+        for a, b in zip(at[near].tolist(), other[near].tolist(), strict=True):
+            if forest.join(a, b):
+                first.append(a)
+                second.append(b)
+        step += 1
+    return first, second
 
-    def join(a: np.ndarray, b: np.ndarray) -> None:
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            if forest.join(x, y):
-                first.append(x)
-                second.append(y)
 
-    step = 1
+def _nearest_forest(table: pa.Table, fp: np.ndarray, side: np.ndarray, alike: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int) -> tuple[list[int], list[int]]:
+    n = table.num_rows
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    # in order of representatives, a pair's places are its rank
+    order = np.lexsort((table.column("rep").to_numpy(), group))
+    fp, side = fp[order], side[order]
+    part = table.column("part").to_numpy()[order] if "part" in table.column_names else None
+    width, at, step, held = n.bit_length(), np.arange(n), 1, []
     while len(at := at[at + step < ends[at]]):
         other = at + step
         apart = np.bitwise_count(fp[at] ^ fp[other])
         near = (apart <= most) & (alike[at] | (side[at] != side[other]))
         if part is not None:
             near &= part[at] != part[other]
-        if nearest:
-            held.append(np.stack([apart[near] // COARSE, at[near], other[near]]))
-        else:
-            join(at[near], other[near])
+        if near.any():
+            # one long a pair: distance, then the lesser place, then the other
+            held.append((apart[near].astype(np.int64) // COARSE << 2 * width) | (at[near] << width) | other[near])
         step += 1
-    if held:
-        apart, a, b = np.concatenate(held, axis=1)
-        order = np.lexsort((np.maximum(rank[a], rank[b]), np.minimum(rank[a], rank[b]), apart))
-        if part is not None:
-            joined_parts(forest, part, starts, n)
-        join(a[order], b[order])
+    forest, first, second = Forest(n), [], []
+    if not held:
+        return first, second
+    pairs = np.concatenate(held)
+    held.clear()
+    pairs.sort()
+    if part is not None:
+        joined_parts(forest, part, starts, n)
+    low = (1 << width) - 1
+    for begin in range(0, len(pairs), CHUNK):
+        chunk = pairs[begin : begin + CHUNK]
+        a, b = chunk >> width & low, chunk & low
+        up = np.array(forest.up)
+        while not np.array_equal(higher := up[up], up):
+            up = higher
+        apart_yet = up[a] != up[b]
+        for x, y in zip(a[apart_yet].tolist(), b[apart_yet].tolist(), strict=True):
+            if forest.join(x, y):
+                first.append(int(order[x]))
+                second.append(int(order[y]))
     return first, second
 
 
