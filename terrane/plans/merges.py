@@ -93,3 +93,25 @@ def chosen_time_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The time model of each camera that passes the gates with the least median distance."""
     found = timing.chosen_models(judged(spark, sf_dir), 4.0, 0.05)
     return found.withColumns({c: F.round(c, 6) for c in ("median", "exact")})
+
+
+def shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels with the shape of their points, in the patches of celled()."""
+    from terrane.plans.domain import points
+
+    looks = voxels.keyed(points(spark, sf_dir), 1.0).groupBy("ix", "iy", "iz").agg(F.count("*").alias("n"), F.stddev_pop("r").alias("deviation"), (F.max("z") - F.min("z")).alias("rise"))
+    shape = {"roughness": (F.col("n") % 10) / 25, "planarity": (F.col("ix") % 7) / 6, "linearity": (F.col("iy") % 5) / 8, "nx": (F.col("iy") % 3 - 1) * 0.4, "ny": F.lit(0.0), "nz": F.when(F.col("bucket") == 2, 0.1).otherwise(1.0)}
+    return celled(spark, sf_dir).join(looks, ["ix", "iy", "iz"]).withColumns({k: v.cast("double") for k, v in shape.items()})
+
+
+@query()
+def patch_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells judged by the models of the patches that they touch by a face, met from the cell there."""
+    from terrane.operators import membership
+
+    cells = shaped(spark, sf_dir).select("ix", "iy", "iz", "node", "patch", *membership.CELL)
+    met = neighbours.offset_join(cells, cells, neighbours.offsets("faces")).filter("patch <> n_patch")
+    named = met.select(F.col("node"), F.col("n_node").alias("source"), F.col("n_patch").alias("to"), *[F.col(c).alias(f"c_{c}") for c in membership.CELL], *[F.col(f"n_{c}").alias(f"s_{c}") for c in membership.CELL])
+    pairs = named.join(membership.models(cells).withColumnRenamed("patch", "to"), "to")
+    found = membership.judged(pairs, membership.Limits(height=1.0, plane=1.0), source=True)
+    return found.select("node", "source", "to", "ok", F.round("score", 6).alias("score"), "reason")
