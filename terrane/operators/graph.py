@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from itertools import product
 
@@ -15,18 +15,26 @@ from terrane.operators.lineage import Scratch
 from terrane.operators.patches import BUCKETS
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int = 60) -> DataFrame:
+#: Edges, of a few megabytes, up to which components are found in one task, without rounds.
+FEW_EDGES = 200_000
+
+
+def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
     """(node, component) with the least node of each connected component; edges are (a, b).
 
     Large-star and small-star steps alternate until the links no longer change, in a number of rounds that
-    grows with the logarithm of a component's size. Each step is an aggregation with map-side combining and a
-    join that adaptive execution may split. Nodes of `nodes` (node) without edges are their own component.
+    grows with the logarithm of a component's size; more than `most_rounds` raise an error. Each step is an aggregation
+    with map-side combining and a join that adaptive execution may split. Up to `few` edges, which are counted
+    first, are one task's work instead, with the same result. Nodes of `nodes` (node) without edges are their own component.
     """
     scratch = Scratch(edges.sparkSession, "graph")
     stars, path = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
     was = None
     for _ in range(most_rounds):
         now = tuple(stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
+        if was is None and now[0] <= few:
+            stars = _settled(stars)
+            break
         if now == was:
             break
         after, after_path = scratch.keep(_small_star(_large_star(stars)))
@@ -48,6 +56,21 @@ def _large_star(stars: DataFrame) -> DataFrame:
     return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
 
 
+def _settled(stars: DataFrame) -> DataFrame:
+    """Few edges as stars of their components: (u, v) from each node to the least of its component."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets = Sets()
+        for rows in batches:
+            for u, v in zip(rows["u"].tolist(), rows["v"].tolist(), strict=True):
+                u, v = sets.root(u), sets.root(v)
+                sets.up[max(u, v)] = min(u, v)
+        ends = [(x, sets.root(x)) for x in list(sets.up)]
+        yield pd.DataFrame([e for e in ends if e[0] != e[1]], columns=["u", "v"])
+
+    return stars.coalesce(1).mapInPandas(run, stars.schema)
+
+
 def _small_star(stars: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours hang on the least of them."""
     least = stars.groupBy("u").agg(F.min("v").alias("m"))

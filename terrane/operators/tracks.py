@@ -35,9 +35,18 @@ def tracklets(targets: DataFrame, most_gap: int, most_distance: float, most_colo
             out.append((row.target_id, best["name"]))
         return pd.DataFrame(out, columns=["target_id", "tracklet"])
 
-    # a target joins a tracklet by the last target of it alone, so chains of near places are folded apart
+    # a target joins a tracklet by the last target of it alone, so chains of near places are folded apart, and what a silence parts
     near = near_groups(targets, ["label"], {"x": most_distance, "y": most_distance, "z": most_distance})
-    return near.groupBy("label", "near").applyInPandas(fold, "target_id long, tracklet long")
+    return after_silences(near, ["label", "near"], "frame", most_gap).groupBy("label", "near", "spell").applyInPandas(fold, "target_id long, tracklet long")
+
+
+def after_silences(rows: DataFrame, keys: list[str], frame: str, most_gap: float) -> DataFrame:
+    """`rows` with `spell`: how often before a row's frame its group was silent for more than `most_gap` frames; at such a silence everything open ends."""
+    order = Window.partitionBy(*keys).orderBy(frame)
+    frames = rows.select(*keys, frame).distinct()
+    new = F.coalesce((F.col(frame) - F.lag(frame).over(order) > most_gap).cast("int"), F.lit(0))
+    spells = frames.withColumn("new", new).withColumn("spell", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    return rows.join(spells, [*keys, frame])
 
 
 def fused_objects(targets: DataFrame, zone: int, window: int, most_distance: float, most_color: float) -> DataFrame:

@@ -333,3 +333,21 @@ def test_propagation_by_rounds_settles_as_best_first(spark, seed, hops):
     anchors = [(n, f"k{n % 4}", rng.uniform(0.2, 1.0)) for n in rng.sample(range(60), 9)] + [(500, "alone", 0.01)]
     got = graph.propagated(spark.createDataFrame(edges, "a long, b long, weight double"), spark.createDataFrame(anchors, "node long, label string, score double"), hops, 0.05)
     assert {r["node"]: (r["label"], r["score"], r["hops"]) for r in got.collect()} == settled_best_first(edges, anchors, hops, 0.05)
+
+
+def test_components_by_rounds_and_in_one_task_agree(spark):
+    rng = random.Random(4)
+    edges = spark.createDataFrame([(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1060)], "a long, b long")
+    nodes = spark.createDataFrame([(k,) for k in range(400)], "node long")
+    for own, count in ((nodes, 400), (None, None)):
+        rounds, once = (sorted(map(tuple, graph.components(edges, own, few=few).collect())) for few in (0, 1000))
+        assert rounds == once and (count is None or len(once) == count)
+    assert {c for n, c in once if n >= 1000} == {1000}
+    words = spark.createDataFrame([("b", "a"), ("c", "b"), ("y", "x")], "a string, b string")
+    assert sorted(map(tuple, graph.components(words).collect())) == [("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")]
+
+
+def test_silences_cut_groups(spark):
+    rows = spark.createDataFrame([(1, f) for f in (1, 2, 2, 5, 20, 21)] + [(2, f) for f in (1, 100)], "k long, frame int")
+    got = sorted(map(tuple, tracks.after_silences(rows, ["k"], "frame", 5).select("k", "frame", "spell").collect()))
+    assert got == [(1, 1, 0), (1, 2, 0), (1, 2, 0), (1, 5, 0), (1, 20, 1), (1, 21, 1), (2, 1, 0), (2, 100, 1)]
