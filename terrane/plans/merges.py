@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrane.operators import merging, neighbours, timing, voxels
 from terrane.operators.patches import BUCKETS
-from terrane.plans.domain import table, with_
+from terrane.plans.domain import POINTS, table, with_
 from terrane.plans.registry import query
 from terrane.plans.spatial import owned
 
@@ -115,3 +115,26 @@ def patch_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = named.join(membership.models(cells).withColumnRenamed("patch", "to"), "to")
     found = membership.judged(pairs, membership.Limits(height=1.0, plane=1.0), source=True)
     return found.select("node", "source", "to", "ok", F.round("score", 6).alias("score"), "reason")
+
+
+CELLED = """counted AS (SELECT CAST(floor(x) AS BIGINT) AS ix, CAST(floor(y) AS BIGINT) AS iy, CAST(floor(z) AS BIGINT) AS iz, object_id, count(*) AS w FROM points GROUP BY 1, 2, 3, 4),
+owned AS (SELECT ix, iy, iz, first(object_id ORDER BY w DESC, object_id) AS owner FROM counted GROUP BY 1, 2, 3),
+vox AS (SELECT ix // 2 AS cx, iy // 2 AS cy, iz // 2 AS cz, ((owner % 12) * 1000 + ix // 5) * 1000 + iy // 5 AS patch FROM owned),
+sizes AS (SELECT patch, count(*) AS n FROM vox GROUP BY 1), cells AS (SELECT cx, cy, cz, patch, count(*) AS voxels FROM vox GROUP BY 1, 2, 3, 4)"""
+
+
+@query(
+    with_(POINTS, CELLED, "stable AS (SELECT * FROM sizes WHERE patch % 3 = 0 AND n >= 6)", "touched AS (SELECT p.patch AS a, q.patch AS b, CAST(sum(q.voxels) AS BIGINT) AS contact FROM cells p JOIN stable USING (patch), range(-1, 2) x(a), range(-1, 2) y(b), range(-1, 2) z(c) JOIN cells q ON q.cx = p.cx + x.a AND q.cy = p.cy + y.b AND q.cz = p.cz + z.c WHERE p.patch <> q.patch GROUP BY 1, 2)")
+    + """, fresh AS (SELECT t.*, s.n AS na, u.n AS nb, row_number() OVER (PARTITION BY a ORDER BY contact DESC, b) AS nth FROM touched t JOIN sizes s ON s.patch = a JOIN sizes u ON u.patch = b LEFT JOIN stable v ON v.patch = b
+WHERE a <> b + 1 AND b <> a + 1 AND u.n <= 40 AND (v.patch IS NULL OR s.n > u.n OR (s.n = u.n AND a < b))) SELECT a, b, contact, round(least(1.0, contact / greatest(least(na, nb), 1)), 6) AS support FROM fresh WHERE nth <= 4"""
+)
+def fragment_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments around stable patches that no edge joins to them yet, at most four for each."""
+    from terrane.operators import matching
+
+    cells = celled(spark, sf_dir).select("patch", *[F.floor(F.col(k) / 2).alias(k) for k in ("ix", "iy", "iz")])
+    sizes = cells.groupBy("patch").agg(F.count("*").alias("n"))
+    # squares beside each other stand for those that an edge joins already
+    known = sizes.select(F.col("patch").alias("a"), (F.col("patch") + 1).alias("b"))
+    found = matching.fragment_candidates(cells, sizes, known, F.col("patch") % 3 == 0, F.col("b_n") <= 40, 6, 4)
+    return found.withColumn("support", F.round("support", 6))

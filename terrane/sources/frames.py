@@ -47,6 +47,27 @@ def poses(spark: SparkSession, path: str, first: int | None = None, last: int |
     return rows.filter(whole & (F.lit(True) if first is None else F.col("frame_id") >= first) & (F.lit(True) if last is None else F.col("frame_id") <= last))
 
 
+def calibration(spark: SparkSession, path: str) -> DataFrame:
+    """(cam_id, fx, skew, fy, cx, cy, distortion, width, height, to_camera, to_lidar) of each camera of a calibration file that has both its parts.
+
+    A camera is a mapping cam_N of numbers that may be missing (0) and a matrix Tcl_N; Til holds for all. Matrices are 16
+    numbers, row by row. The file, a few hundred lines, is parsed at the driver.
+    """
+    import yaml
+
+    raw = spark.read.text(path, wholetext=True).first()
+    found = yaml.safe_load(raw["value"] if raw else "") or {}
+    matrix = lambda values: [float(v) for v in np.asarray(values, np.float64).reshape(16)] if values is not None else None
+    rows = []
+    for name in sorted(n for n in found if n.startswith("cam_") and n[4:].isdigit()):
+        cam, place = found[name], found.get(f"Tcl_{name[4:]}")
+        if place is not None:
+            number = lambda k, cam=cam: float(cam.get(k, 0.0))
+            sizes = [int(cam[k]) if k in cam else None for k in ("image_width", "image_height")]
+            rows.append((int(name[4:]), float(cam["A11"]), number("A12"), float(cam["A22"]), float(cam["u0"]), float(cam["v0"]), [number(f"k{k}") for k in range(2, 8)], *sizes, matrix(place), matrix(found.get("Til"))))
+    return spark.createDataFrame(rows, "cam_id int, fx double, skew double, fy double, cx double, cy double, distortion array<double>, width int, height int, to_camera array<double>, to_lidar array<double>")
+
+
 def edge_evidence(rows: DataFrame) -> DataFrame:
     """(a, b, similarity) of an evidence table whose columns have one of several names; a distance d is 1 - d."""
     have = lambda *names: F.coalesce(*[F.col(n).cast("string") for n in names if n in rows.columns], F.lit(None).cast("string"))

@@ -258,3 +258,13 @@ def test_labels_written_and_a_section_that_is_cut_off(spark, tmp_path):
     raw = b"HEAD" + struct.pack("<IfffI", 1, 1.0, 2.0, 3.0, 9) + struct.pack("<IfffI", 2, 1.0, 2.0, 3.0, 9)
     (tmp_path / "a.lx").write_bytes(raw)
     assert [tuple(r) for r in frames.sections(spark, str(tmp_path / "a.lx"), 4).drop("path").collect()] == [(0, 0, 1.0, 2.0, 3.0, 9)]
+
+
+def test_calibration_of_cameras_that_are_whole(spark, tmp_path):
+    pytest.importorskip("yaml")
+    eye = ", ".join(str(float(k % 5 == 0)) for k in range(16))
+    (tmp_path / "c.yaml").write_text(f"device: x\ncam_0: {{A11: 700.5, A22: 701, u0: 320, v0: 240.5, k2: 0.1, k7: -0.2, image_width: 640, image_height: 480}}\ncam_1: {{A11: 1, A22: 1, u0: 0, v0: 0}}\nTcl_0: [{eye}]\nTcl_2: [{eye}]\nTil: [{eye}]\n")
+    got = frames.calibration(spark, str(tmp_path / "c.yaml")).collect()
+    assert [(r["cam_id"], r["fx"], r["skew"], r["fy"], r["cx"], r["cy"], r["distortion"], r["width"], r["to_camera"][5], r["to_lidar"][1]) for r in got] == [(0, 700.5, 0.0, 701.0, 320.0, 240.5, [0.1, 0.0, 0.0, 0.0, 0.0, -0.2], 640, 1.0, 0.0)]
+    (tmp_path / "d.yaml").write_text("")
+    assert frames.calibration(spark, str(tmp_path / "d.yaml")).count() == 0
