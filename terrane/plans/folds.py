@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from terrane.functions import scoring
 from terrane.operators import graph, neighbours, text, tracks, voxels
-from terrane.plans.domain import VOTES, points, table, views, with_
+from terrane.plans.domain import POINTS, VOTES, points, table, views, with_
 from terrane.plans.registry import query
-from terrane.plans.spatial import KEYS, owned
+from terrane.plans.spatial import CONTACTS, KEYS, OWNED, owned
 from terrane.streaming import votes
 
 
@@ -38,7 +38,12 @@ def voxel_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.sized(graph.components(edges, marks.select("node")), 5).groupBy("piece").agg(F.count("*").alias("cells"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE " + ", ".join((POINTS, OWNED))
+    + ", named AS (SELECT *, (iz * 1000 + iy) * 1000 + ix AS node FROM owned), half AS (SELECT p.node AS a, q.node AS b FROM named p, range(-1, 2) x(a), range(-1, 2) y(b), range(-1, 2) z(c) JOIN named q ON q.ix = p.ix + x.a AND q.iy = p.iy + y.b AND q.iz = p.iz + z.c AND q.owner = p.owner WHERE p.node <> q.node AND sqrt((p.r - q.r) ** 2 + (p.g - q.g) ** 2 + (p.b - q.b) ** 2) <= 120)"
+    + ", r(a, b) AS (SELECT node, node FROM named UNION SELECT r.a, h.b FROM r JOIN half h ON h.a = r.b), c AS (SELECT a AS node, min(b) AS component FROM r GROUP BY 1), sizes AS (SELECT owner AS patch, component, count(*) AS cells FROM named JOIN c USING (node) GROUP BY 1, 2)"
+    + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY patch ORDER BY cells DESC, component) AS place FROM sizes) SELECT patch, CAST(CASE WHEN place > 1 AND cells >= 2 THEN place - 1 ELSE 0 END AS INT) AS part, CAST(sum(cells) AS BIGINT) AS cells FROM ranked GROUP BY 1, 2"
+)
 def patch_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects whose voxels fall apart, neighbours being cells of near color that touch in any of 26 ways."""
     cells = owned(spark, sf_dir).withColumn("node", voxels.packed_key(1000, 1000))
@@ -91,7 +96,11 @@ def region_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.grown(edges, cells.select("node", (-F.col("n")).alias("rank"), F.round("z", 6).alias("value")), 0.4)
 
 
-@query()
+@query(
+    with_(POINTS, OWNED, CONTACTS)
+    + ", e AS (SELECT a, b FROM contacts UNION SELECT b, a FROM contacts), free AS (SELECT owner AS node, CAST(n AS DOUBLE) AS weight, owner % 4 AS region FROM sizes WHERE owner % 5 <> 0), one AS (SELECT e.a AS node, sum(weight) AS one FROM e JOIN free ON free.node = e.b GROUP BY 1), two AS (SELECT e.a AS node, sum(one) AS two FROM e JOIN one ON one.node = e.b GROUP BY 1)"
+    + ", gained AS (SELECT region, node, weight + coalesce(one, 0) + 0.5::DOUBLE * coalesce(two, 0) AS gain FROM free LEFT JOIN one USING (node) LEFT JOIN two USING (node)) SELECT region, node, gain, CAST(row_number() OVER (PARTITION BY region ORDER BY gain DESC, node) AS INT) AS place FROM gained QUALIFY place <= 3"
+)
 def uncovered_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, sizes = _scored(spark, sf_dir)
     nodes = sizes.select("node", F.col("size").cast("double").alias("weight"), (F.col("node") % 4).alias("region"))

@@ -10,7 +10,7 @@ from terrane.operators import neighbours, objects, patches, voxels
 from terrane.plans.domain import PATCHES, POINTS, points, table, with_
 from terrane.plans.domain import patches as patch_table
 from terrane.plans.registry import query
-from terrane.plans.spatial import CELL, KEYS, STEPS, owned
+from terrane.plans.spatial import CELL, CONTACTS, KEYS, OWNED, STEPS, owned
 
 CELLS = f"cells AS (SELECT {CELL}, avg(x) AS x, avg(y) AS y, avg(z) AS z, avg(r + g + b) AS brightness FROM points GROUP BY 1, 2, 3)"
 
@@ -135,7 +135,11 @@ def view_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).groupBy("object_id", "frame").agg(F.round(objects.view_score(F.count("*"), area, F.avg("z")), 6).alias("score"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE " + ", ".join((POINTS, OWNED, CONTACTS))
+    + ", tiny AS (SELECT owner FROM sizes WHERE n < 12), half AS (SELECT a, b FROM contacts JOIN sizes s ON s.owner = a JOIN sizes t ON t.owner = b WHERE faces / least(s.n, t.n) >= 0.2::DOUBLE AND s.n < 12 AND t.n < 12), e AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half)"
+    + ", r(a, b) AS (SELECT owner, owner FROM tiny UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), c AS (SELECT a, min(b) AS least FROM r GROUP BY 1) SELECT owner AS node, coalesce(c.least, owner) AS \"to\" FROM sizes LEFT JOIN c ON c.a = owner"
+)
 def tiny_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = owned(spark, sf_dir)
     sizes = cells.groupBy(F.col("owner").alias("node")).agg(F.count("*").alias("size"))
