@@ -134,7 +134,8 @@ def scores(spark: SparkSession, docs: DataFrame, target: DataFrame, prior: float
     Losses are means in nats over a text's words and its end; score is target_loss - background_loss, lower
     for texts more like the target. Without documents of one kind that model has smoothing alone. A null text
     counts as empty and has the loss of an end alone. Repeated rows are kept and counted; a null doc_id is no
-    target; an empty table gives an empty one; other columns are left out.
+    target; an empty table gives an empty one; other columns are left out. Texts of equal losses have equal scores; none
+    are ranked. A text is worked on whole: a task takes about 10 bytes for each byte of its longest one.
     """
     scratch = Scratch(spark, "entropy")
     marks = target.select(F.col("doc_id").alias("__target")).filter("__target is not null").distinct()

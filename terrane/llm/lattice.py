@@ -83,7 +83,8 @@ def token_counts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     Distinct pre-tokens of a slice of documents are counted once. A null text counts as empty, with no
     tokens; what the pattern leaves out has none. Repeated rows are kept; an empty table gives an empty one;
-    other columns are left out. Every executor has the file `ranks_path`.
+    other columns are left out. Every executor has the file `ranks_path`. A text is worked on whole: a task takes about 10
+    bytes for each byte of its longest one.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 

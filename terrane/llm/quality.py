@@ -129,8 +129,9 @@ def scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Colum
 
     Every labelled row counts in the moments; labels other than 0 and 1 and rows without doc_id are passed
     over, repeated labels count as often as they stand. With one class learnt, all score as that class; with
-    none, 0.5. Null and empty texts score as empty ones. Repeated rows are kept; an empty table gives an
-    empty one; other columns are left out.
+    none, 0.5. Null and empty texts score as empty ones, equal texts alike; a score of just 0.5 counts as class 1.
+    Repeated rows are kept; an empty table gives an empty one; other columns are left out. A text is worked on whole: a
+    task takes about 10 bytes for each byte of its longest one.
     """
     rows, _ = Scratch(spark, "quality").keep(with_statistics(docs, ["doc_id"]))
     known = labels.filter("quality in (0, 1)").filter(learn).select("doc_id", F.col("quality").cast("int").alias("y"))

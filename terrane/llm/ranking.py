@@ -209,7 +209,7 @@ def search(spark: SparkSession, docs: DataFrame, items: DataFrame, k: int = 50)
     Null and empty texts, and texts without terms, are no documents and match nothing; an item without terms has
     no rows. Rows that repeat an item or a doc_id are kept as rows of their own. Empty tables give an empty
     result; other columns are left out. A doc_id that is no whole number is refused by a TypeError. A text is
-    worked on whole: a task takes about 60 bytes for each byte of its longest one.
+    worked on whole: a task takes about 20 bytes for each byte of its longest one.
     """
     whole_ids(docs, "ranked search")
     scratch = Scratch(spark, "ranking")

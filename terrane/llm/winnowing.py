@@ -162,7 +162,7 @@ def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, size: int = WIN
     Null and empty texts have no words and no windows. Items without item_id hit words but are not listed; items
     that share one are one. Repeated rows and ids of documents are kept, each judged alone; empty tables
     give empty results or no hits; other columns are left out. A text is worked on whole: a task takes about
-    60 bytes for each byte of its longest one.
+    20 bytes for each byte of its longest one.
     """
     scratch = Scratch(spark, "winnowing")
     windows, _ = scratch.keep(item_windows(items, size, gram))
