@@ -138,3 +138,15 @@ def fragment_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = sizes.select(F.col("patch").alias("a"), (F.col("patch") + 1).alias("b"))
     found = matching.fragment_candidates(cells, sizes, known, F.col("patch") % 3 == 0, F.col("b_n") <= 40, 6, 4)
     return found.withColumn("support", F.round("support", 6))
+
+
+@query()
+def surface_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of each label's points by planes and connectivity, with their labels."""
+    from terrane.operators import planes
+    from terrane.plans.domain import points
+
+    rules = planes.Rules(planes=3, distance=0.06, least=60, rest=20, cell=3.0, piece=10)
+    rows = points(spark, sf_dir).withColumn("kind", F.concat_ws("-", "label", F.col("cam")))
+    parts = planes.split(rows, "kind", rules)
+    return planes.surface_labels(rows.select("kind", "label", "point_id", "x", "y", "z"), parts, "kind", "label", rules)
