@@ -600,16 +600,21 @@ def text_points(spark: SparkSession, path: str, stride: int = 1) -> DataFrame:
     scan counts one number each.
     """
     header = ply.parse_header(head_of(files_of(path)[0]))
-    before = header.lines
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
-    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    # files share properties, not counts or comments: each file's own header says where its points start and how many there are
+    named = F.regexp_extract("value", r"^element\s+vertex\s+(\d+)", 1).try_cast("long")
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.min(F.when(F.trim("value") == "end_header", F.col("at"))).alias("ended"), F.max(named).alias("points"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    row = F.col("base") + F.col("at") - F.col("first") - before
+    blocks = blocks.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    file = Window.partitionBy("file")
+    before = F.min(F.col("base") + F.col("ended") - F.col("first") + 1).over(file)
+    blocks = blocks.select("file", "block", "first", "base", before.alias("before"), F.max("points").over(file).alias("points"))
+    row = F.col("base") + F.col("at") - F.col("first") - F.col("before")
+    # a row for each block that Spark reads, so far fewer than files have megabytes
     words = F.split(F.trim("value"), r"\s+")
     fields = [F.try_element_at(words, F.lit(k + 1)).try_cast(f.dataType).alias(f.name) for k, f in enumerate(header.schema.fields[1:])]
-    rows = lines.join(blocks, ["file", "block"]).select("file", row.alias("row"), *fields)
+    rows = lines.join(F.broadcast(blocks), ["file", "block"]).select("file", row.alias("row"), F.col("points").alias("__points"), *fields)
     whole = F.lit(True)
     for name in header.names:
         whole &= F.col(name).isNotNull()
-    return rows.filter((F.col("row") >= 0) & (F.col("row") < header.count) & (F.col("row") % stride == 0) & whole)
+    return rows.filter((F.col("row") >= 0) & (F.col("row") < F.col("__points")) & (F.col("row") % stride == 0) & whole).drop("__points")

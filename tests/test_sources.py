@@ -268,3 +268,12 @@ def test_calibration_of_cameras_that_are_whole(spark, tmp_path):
     assert [(r["cam_id"], r["fx"], r["skew"], r["fy"], r["cx"], r["cy"], r["distortion"], r["width"], r["to_camera"][5], r["to_lidar"][1]) for r in got] == [(0, 700.5, 0.0, 701.0, 320.0, 240.5, [0.1, 0.0, 0.0, 0.0, 0.0, -0.2], 640, 1.0, 0.0)]
     (tmp_path / "d.yaml").write_text("")
     assert frames.calibration(spark, str(tmp_path / "d.yaml")).count() == 0
+
+
+def test_text_files_with_their_own_counts_and_comments(spark, tmp_path):
+    """The first file is the shortest and has the shortest header."""
+    for k, count in enumerate((2, 5, 3)):
+        body = "".join(f"{k * 10 + n}\n" for n in range(count))
+        (tmp_path / f"{k}.ply").write_text("ply\nformat ascii 1.0\n" + "comment x\n" * k + f"element vertex {count}\nproperty int n\nend_header\n{body}")
+    back = ply.read(spark, str(tmp_path), ply.header_of(spark, str(tmp_path)))
+    assert sorted((r["row"], r["n"]) for r in back.collect()) == sorted((n, k * 10 + n) for k, count in enumerate((2, 5, 3)) for n in range(count))
