@@ -365,17 +365,39 @@ def seeds_by_uncovered(edges: DataFrame, nodes: DataFrame, covered: DataFrame, g
 
 
 
+def chained(rows: DataFrame, keys: list[str], value: str, gap: float) -> DataFrame:
+    """(keys, value, node, low, high) of rows (keys, value, node): each key's values in chains of steps of at most `gap`, with the chain's ends and its least node.
+
+    A row for each distinct value. Rows of a chain are one component, and two chains have values within the gap of each
+    other exactly where their ends do.
+    """
+    spots = rows.groupBy(*keys, value).agg(F.min("node").alias("node"))
+    along = Window.partitionBy(*keys).orderBy(value)
+    new = F.coalesce((F.col(value) - F.lag(value).over(along) > gap).cast("int"), F.lit(1))
+    named = spots.withColumn("__new", new).withColumn("__chain", F.sum("__new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    chains = named.groupBy(*keys, "__chain").agg(F.min("node").alias("node"), F.min(value).alias("low"), F.max(value).alias("high"))
+    return named.drop("node", "__new").join(chains, [*keys, "__chain"]).drop("__chain")
+
+
 def image_components(points: DataFrame, keys: list[str], radius: int, gap: float, least: int) -> DataFrame:
     """(node, piece): points of a mask that hang together in the image: pixels (u, v) within `radius`, depths z within `gap`.
 
-    `points` has (node, keys, u, v, z). Points meet by pixel cells of the radius; pieces of fewer than `least`
+    `points` has (node, keys, u, v, z). A pixel's depths fall
+    into chains of steps within the gap, and chains, not points, meet by pixel cells of the radius; pieces of fewer than `least`
     points share the null piece.
     """
-    cell = points.withColumns({"cu": F.floor(F.col("u") / radius), "cv": F.floor(F.col("v") / radius)})
+    scratch = Scratch(points.sparkSession, "image")
+    place = [*keys, "u", "v"]
+    known = points.dropna(subset=[*place, "z"]).filter(~F.isnan("z"))
+    spots, _ = scratch.keep(chained(known, place, "z", gap))
+    chains, _ = scratch.keep(spots.select(*place, "node", "low", "high").distinct())
+    cell = chains.withColumns({"cu": F.floor(F.col("u") / radius), "cv": F.floor(F.col("v") / radius)})
     near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     moved = cell.withColumn("s", F.explode(near)).withColumns({"cu": F.col("cu") + F.col("s.a"), "cv": F.col("cv") + F.col("s.b")})
-    other = cell.select(*keys, "cu", "cv", F.col("node").alias("n_node"), F.col("u").alias("n_u"), F.col("v").alias("n_v"), F.col("z").alias("n_z"))
+    other = cell.select(*keys, "cu", "cv", *[F.col(c).alias(f"n_{c}") for c in ("node", "u", "v", "low", "high")])
     met = moved.join(other, [*keys, "cu", "cv"])
-    close = (F.abs(F.col("u") - F.col("n_u")) <= radius) & (F.abs(F.col("v") - F.col("n_v")) <= radius) & (F.abs(F.col("z") - F.col("n_z")) <= gap)
+    close = (F.abs(F.col("u") - F.col("n_u")) <= radius) & (F.abs(F.col("v") - F.col("n_v")) <= radius) & (F.col("n_low") - F.col("high") <= gap) & (F.col("low") - F.col("n_high") <= gap)
     edges = met.filter((F.col("node") < F.col("n_node")) & close).select(F.col("node").alias("a"), F.col("n_node").alias("b"))
-    return sized(components(edges, points.select("node")), least).select("node", "piece")
+    named = spots.join(components(edges, chains.select("node")), "node").select(*place, "z", "component")
+    found = points.join(named, [*place, "z"], "left").select("node", F.coalesce("component", "node").alias("component"))
+    return sized(found, least).select("node", "piece")
