@@ -2,13 +2,78 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+from itertools import product
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.operators.graph import near_groups
 
+
+class Near:
+    """What is open in a fold, a dict a thing, by the cell of its x, y and z: all within `size` of a place lie in the 27 cells around it."""
+
+    def __init__(self, size: float):
+        self.size = size
+        self.cells: dict[tuple, dict[int, dict]] = {}
+        self.around: dict[tuple, list[dict[int, dict]]] = {}
+        self.count = 0
+
+    def about(self, x: float, y: float, z: float) -> list[dict[int, dict]]:
+        """The cells, as things by their numbers, that may hold what is within `size`."""
+        return self.around.get((x // self.size, y // self.size, z // self.size), [])
+
+    def put(self, thing: dict) -> None:
+        """Opens a thing, whose `number` follows those before, or moves it to where it is now."""
+        at = (thing["x"] // self.size, thing["y"] // self.size, thing["z"] // self.size)
+        if "number" not in thing:
+            thing["number"] = self.count
+            self.count += 1
+        elif thing["cell"] == at:
+            return
+        else:
+            del self.cells[thing["cell"]][thing["number"]]
+        thing["cell"] = at
+        held = self.cells.get(at)
+        if held is None:
+            held = self.cells[at] = {}
+            for dx, dy, dz in product((-1, 0, 1), repeat=3):
+                self.around.setdefault((at[0] + dx, at[1] + dy, at[2] + dz), []).append(held)
+        held[thing["number"]] = thing
+
+
+def in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], begin: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
+    """What a fold gives for each row, group by group of `keys` and by `order` within one: `begin` gives a group's step, which takes the `columns` of a row.
+
+    A task reads its groups as a stream, so it holds what the fold keeps open and not the group.
+    """
+    dealt = rows.select(*keys, *[c for c in dict.fromkeys((*order, *columns)) if c not in keys]).repartition(*keys).sortWithinPartitions(*keys, *[F.col(c).asc_nulls_last() for c in order])
+    plain = lambda c: c.to_pylist() if pa.types.is_string(c.type) else c.to_numpy(zero_copy_only=False).tolist()
+    names = [f.strip().split()[0] for f in schema.split(",")]
+    kinds = rows.sparkSession.createDataFrame([], schema).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        types = to_arrow_schema(kinds).types
+        held, step = None, None
+        for batch in batches:
+            named = {n: plain(batch.column(k)) for k, n in enumerate(batch.schema.names)}
+            out = []
+            for key, values in zip(zip(*[named[k] for k in keys], strict=True), zip(*[named[c] for c in columns], strict=True), strict=True):
+                if step is None or key != held:
+                    held, step = key, begin()
+                out.append(step(*values))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    return dealt.mapInArrow(run, schema)
+
+
 def tracklets(targets: DataFrame, most_gap: int, most_distance: float, most_color: float) -> DataFrame:
     """(target_id, tracklet): targets of one label joined along frames.
 
@@ -17,27 +82,36 @@ def tracklets(targets: DataFrame, most_gap: int, most_distance: float, most_colo
     last seen at most `most_gap` frames ago and within both limits; else it opens one, named by its id.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        open_: list[dict] = []
-        out = []
-        for row in rows.sort_values(["frame", "target_id"]).itertuples():
-            open_ = [t for t in open_ if row.frame - t["frame"] <= most_gap]
-            best, least = None, np.inf
-            for t in open_:
-                away = ((row.x - t["x"]) ** 2 + (row.y - t["y"]) ** 2 + (row.z - t["z"]) ** 2) ** 0.5
-                shade = abs(row.color - t["color"])
-                if away <= most_distance and shade <= most_color and away + shade / 255 < least:
-                    best, least = t, away + shade / 255
+    def begin() -> Callable[..., tuple]:
+        open_ = Near(most_distance)
+
+        def step(target_id, frame, x, y, z, color) -> tuple:
+            best, least, gone = None, np.inf, []
+            for held in open_.about(x, y, z):
+                for t in held.values():
+                    if frame - t["frame"] > most_gap:
+                        gone.append((held, t["number"]))
+                        continue
+                    shade = abs(color - t["color"])
+                    if shade <= most_color:
+                        away = ((x - t["x"]) ** 2 + (y - t["y"]) ** 2 + (z - t["z"]) ** 2) ** 0.5
+                        cost = away + shade / 255
+                        if away <= most_distance and (cost < least or cost == least and t["number"] < best["number"]):
+                            best, least = t, cost
+            for held, number in gone:
+                del held[number]
             if best is None:
-                best = {"name": row.target_id}
-                open_.append(best)
-            best |= {"frame": row.frame, "x": row.x, "y": row.y, "z": row.z, "color": row.color}
-            out.append((row.target_id, best["name"]))
-        return pd.DataFrame(out, columns=["target_id", "tracklet"])
+                best = {"name": target_id}
+            best |= {"frame": frame, "x": x, "y": y, "z": z, "color": color}
+            open_.put(best)
+            return target_id, best["name"]
+
+        return step
 
     # a target joins a tracklet by the last target of it alone, so chains of near places are folded apart, and what a silence parts
     near = near_groups(targets, ["label"], {"x": most_distance, "y": most_distance, "z": most_distance})
-    return after_silences(near, ["label", "near"], "frame", most_gap).groupBy("label", "near", "spell").applyInPandas(fold, "target_id long, tracklet long")
+    spells = after_silences(near, ["label", "near"], "frame", most_gap)
+    return in_order(spells, ["label", "near", "spell"], ["frame", "target_id"], ["target_id", "frame", "x", "y", "z", "color"], begin, "target_id long, tracklet long")
 
 
 def after_silences(rows: DataFrame, keys: list[str], frame: str, most_gap: float) -> DataFrame:
@@ -60,34 +134,35 @@ def fused_objects(targets: DataFrame, zone: int, window: int, most_distance: flo
     within twice the distance of the last one, and chains of such steps are folded apart too.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        objects: list[dict] = []
-        cells: dict[tuple, list[int]] = {}
-        out = []
-        for row in rows.sort_values(["frame", "target_id"]).itertuples():
-            at = tuple(int(c // most_distance) for c in (row.x, row.y, row.z))
-            near = {k for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) for k in cells.get((at[0] + dx, at[1] + dy, at[2] + dz), ())}
-            best, least = None, np.inf
-            for k in sorted(near):
-                o = objects[k]
-                away = ((row.x - o["x"]) ** 2 + (row.y - o["y"]) ** 2 + (row.z - o["z"]) ** 2) ** 0.5
-                if abs(row.frame // zone - o["zone"]) <= window and away <= most_distance and abs(row.color - o["color"]) <= most_color and away < least:
-                    best, least = k, away
-            weight = max(row.points, 1)
+    def begin() -> Callable[..., tuple]:
+        objects = Near(most_distance)
+
+        def step(target_id, frame, x, y, z, color, points) -> tuple:
+            own, weight = frame // zone, max(points, 1)
+            best, least, gone = None, np.inf, []
+            for held in objects.about(x, y, z):
+                for o in held.values():
+                    if own - o["zone"] > window:
+                        gone.append((held, o["number"]))
+                    elif abs(color - o["color"]) <= most_color:
+                        away = ((x - o["x"]) ** 2 + (y - o["y"]) ** 2 + (z - o["z"]) ** 2) ** 0.5
+                        if away <= most_distance and (away < least or away == least and o["number"] < best["number"]):
+                            best, least = o, away
+            for held, number in gone:
+                del held[number]
             if best is None:
-                best = len(objects)
-                objects.append({"name": row.target_id, "zone": row.frame // zone, "n": 0, "x": 0.0, "y": 0.0, "z": 0.0, "color": 0.0})
-            o = objects[best]
-            for c in ("x", "y", "z", "color"):
-                o[c] = (o[c] * o["n"] + getattr(row, c) * weight) / (o["n"] + weight)
-            o["n"] += weight
-            cells.setdefault(tuple(int(o[c] // most_distance) for c in ("x", "y", "z")), []).append(best)
-            out.append((row.target_id, o["name"]))
-        return pd.DataFrame(out, columns=["target_id", "object_id"])
+                best = {"name": target_id, "zone": own, "n": 0, "x": 0.0, "y": 0.0, "z": 0.0, "color": 0.0}
+            for c, value in (("x", x), ("y", y), ("z", z), ("color", color)):
+                best[c] = (best[c] * best["n"] + value * weight) / (best["n"] + weight)
+            best["n"] += weight
+            objects.put(best)
+            return target_id, best["name"]
 
-    step = 2 * most_distance
-    near = near_groups(targets, ["family"], {"x": step, "y": step, "z": step})
-    return near.groupBy("family", "near").applyInPandas(fold, "target_id long, object_id long")
+        return step
+
+    reach = 2 * most_distance
+    near = near_groups(targets, ["family"], {"x": reach, "y": reach, "z": reach})
+    return in_order(near, ["family", "near"], ["frame", "target_id"], ["target_id", "frame", "x", "y", "z", "color", "points"], begin, "target_id long, object_id long")
 
 
 def finished(fused: DataFrame, targets: DataFrame, stable: float = 0.8) -> DataFrame:
@@ -203,25 +278,32 @@ def associated(tracks_: DataFrame, least_gap: int, most_gap: int, tiers: list[tu
     `least_gap` and `most_gap` frames before. Objects are named by their first tracklet.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        known: list[dict] = []
-        out = []
-        for row in rows.sort_values(["first", "tracklet"]).itertuples():
-            best, least, why = None, np.inf, "new"
-            for o in known:
-                if not least_gap <= row.first - o["last"] <= most_gap:
-                    continue
-                away = ((row.x - o["x"]) ** 2 + (row.y - o["y"]) ** 2 + (row.z - o["z"]) ** 2) ** 0.5
-                tier = next((t for t in tiers if away <= t[1] and abs(row.color - o["color"]) <= t[2]), None)
-                if tier and away + tier[3] < least:
-                    best, least, why = o, away + tier[3], tier[0]
+    reach = max(t[1] for t in tiers)
+
+    def begin() -> Callable[..., tuple]:
+        known = Near(reach)
+
+        def step(tracklet, first, last, x, y, z, color) -> tuple:
+            best, least, why, gone = None, np.inf, "new", []
+            for held in known.about(x, y, z):
+                for o in held.values():
+                    gap = first - o["last"]
+                    if gap > most_gap:
+                        gone.append((held, o["number"]))
+                    elif gap >= least_gap:
+                        away = ((x - o["x"]) ** 2 + (y - o["y"]) ** 2 + (z - o["z"]) ** 2) ** 0.5
+                        tier = next((t for t in tiers if away <= t[1] and abs(color - o["color"]) <= t[2]), None)
+                        if tier and (away + tier[3] < least or away + tier[3] == least and o["number"] < best["number"]):
+                            best, least, why = o, away + tier[3], tier[0]
+            for held, number in gone:
+                del held[number]
             if best is None:
-                best = {"name": row.tracklet, "last": row.last}
-                known.append(best)
-            best |= {"last": max(row.last, best["last"]), "x": row.x, "y": row.y, "z": row.z, "color": row.color}
-            out.append((row.tracklet, best["name"], why))
-        return pd.DataFrame(out, columns=["tracklet", "long_object", "reason"])
+                best = {"name": tracklet, "last": last}
+            best |= {"last": max(last, best["last"]), "x": x, "y": y, "z": z, "color": color}
+            known.put(best)
+            return tracklet, best["name"], why
+
+        return step
 
-    reach = max(t[1] for t in tiers)
     near = near_groups(tracks_, ["label"], {"x": reach, "y": reach, "z": reach})
-    return near.groupBy("label", "near").applyInPandas(fold, "tracklet long, long_object long, reason string")
+    return in_order(near, ["label", "near"], ["first", "tracklet"], ["tracklet", "first", "last", "x", "y", "z", "color"], begin, "tracklet long, long_object long, reason string")
