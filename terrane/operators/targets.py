@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.geometry import eigenvalues
-from terrane.operators import matching, neighbours
+from terrane.operators import neighbours
 from terrane.operators.graph import components
 from terrane.operators.patches import sums
 from terrane.operators.voxels import KEY
@@ -17,6 +17,8 @@ from terrane.operators.voxels import KEY
 #: Pixels of a block in which runs and points meet.
 BLOCK = 1 << 12
 IMAGE = ("frame", "cam")
+#: Pixels and runs follow each other so evenly that their shuffled bytes tell little of their rows; joins with them are never broadcasts.
+SORTED = "merge"
 
 
 @dataclass(frozen=True)
@@ -56,7 +58,7 @@ def in_masks(points: DataFrame, runs: DataFrame, height: int) -> DataFrame:
     spread = runs.filter("length > 0").select(*IMAGE, "mask_id", "label", "start", last.alias("last"), F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor(last / BLOCK))).alias("block"))
     at = (F.col("u") * height + F.col("v")).cast("long")
     placed = points.filter((F.col("u") >= 0) & (F.col("v") >= 0) & (F.col("v") < height)).withColumn("at", at).withColumn("block", F.floor(F.col("at") / BLOCK))
-    return placed.join(spread, [*IMAGE, "block"]).filter("at >= start and at <= last").drop("block", "at", "start", "last")
+    return placed.join(spread.hint(SORTED), [*IMAGE, "block"]).filter("at >= start and at <= last").drop("block", "at", "start", "last")
 
 
 def front_depths(points: DataFrame, window: int) -> DataFrame:
@@ -67,19 +69,31 @@ def front_depths(points: DataFrame, window: int) -> DataFrame:
     return moved.groupBy(*IMAGE, "u", "v").agg(F.min("depth").alias("front"))
 
 
+def inside(pixels: DataFrame, runs: DataFrame, height: int, radius: int) -> DataFrame:
+    """Those of the distinct pixels (frame, cam, mask_id, u, v) around which all within `radius` are of their mask.
+
+    What is around a pixel meets the runs, so work follows the pixels asked for and not the areas of masks.
+    """
+    around = range(-radius, radius + 1)
+    steps = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in around for b in around if a * a + b * b <= radius * radius]
+    moved = pixels.withColumn("s", F.explode(F.array(*steps))).select(*IMAGE, F.col("mask_id").alias("own"), F.col("u").alias("u0"), F.col("v").alias("v0"), (F.col("u") + F.col("s.a")).alias("u"), (F.col("v") + F.col("s.b")).alias("v"))
+    met = in_masks(moved, runs, height).filter("mask_id = own").select(*IMAGE, "mask_id", "u0", "v0", "u", "v").distinct()
+    whole = met.groupBy(*IMAGE, "mask_id", "u0", "v0").agg(F.count("*").alias("n")).filter(F.col("n") == len(steps))
+    return whole.select(*IMAGE, "mask_id", F.col("u0").alias("u"), F.col("v0").alias("v"))
+
+
 def kept_in_masks(points: DataFrame, runs: DataFrame, rules: Rules) -> DataFrame:
     """Points with their masks and `gone`: null, or boundary or depth where the mask's erosion or a nearer front leaves them out."""
     held = in_masks(points, runs.filter(~F.col("label").isin(*rules.skip)), rules.height)
     gone = F.lit(None).cast("string")
     if rules.window > 0 and rules.depth_edge > 0:
-        held = held.join(front_depths(points, rules.window), [*IMAGE, "u", "v"])
+        held = held.join(front_depths(points, rules.window).hint(SORTED), [*IMAGE, "u", "v"])
         gone = F.when(listed(F.col("label"), rules.depth_labels) & (F.col("depth") > F.col("front") + rules.depth_edge), "depth").otherwise(gone)
     if rules.erode > 0:
         own = runs.filter(~F.col("label").isin(*rules.skip) & listed(F.col("label"), rules.erode_labels) & (F.col("length") > 0))
-        at = own.select(*IMAGE, "mask_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("at"))
-        pixels = at.select(*IMAGE, "mask_id", F.floor(F.col("at") / rules.height).alias("u"), (F.col("at") % rules.height).alias("v"))
-        inner = matching.eroded(pixels, [*IMAGE, "mask_id"], rules.erode).withColumn("inside", F.lit(True))
-        held = held.join(inner, [*IMAGE, "mask_id", "u", "v"], "left")
+        asked = held.filter(listed(F.col("label"), rules.erode_labels)).select(*IMAGE, "mask_id", "u", "v").distinct()
+        inner = inside(asked, own, rules.height, rules.erode).withColumn("inside", F.lit(True))
+        held = held.join(inner.hint(SORTED), [*IMAGE, "mask_id", "u", "v"], "left")
         gone = F.when(listed(F.col("label"), rules.erode_labels) & F.col("inside").isNull(), "boundary").otherwise(gone)
     return held.withColumn("gone", gone).drop("front", "inside")
 
@@ -136,7 +150,7 @@ def summaries(found: DataFrame) -> DataFrame:
     stats = normal(sums(rows, key))
     means = [(F.col(f"s{c}") / F.col("n")).alias(c) for c in "xyzrgb"]
     ends = [f"{c}{k}" for c in "xyz" for k in (0, 1)]
-    return stats.select(*key, F.col("n").alias("points"), *ends, *means, "nx", "ny", "nz", "planarity", "linearity").join(ids, "target_id")
+    return stats.select(*key, F.col("n").alias("points"), *ends, *means, "nx", "ny", "nz", "planarity", "linearity").join(ids.hint(SORTED), "target_id")
 
 
 def residuals(found: DataFrame) -> DataFrame:

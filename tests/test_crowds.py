@@ -54,3 +54,17 @@ def test_what_is_open_is_held_once():
         near.put(thing)
     assert sum(len(held) for held in near.cells.values()) == 1
     assert [t for held in near.about(thing["x"] + 1.5, 0.0, 0.0) for t in held.values()] == [thing]
+
+
+def test_large_even_pixel_tables_are_never_broadcast(spark):
+    from dataclasses import replace
+
+    from terrane.operators import targets
+    from terrane.plans import sightings
+
+    runs = spark.range(0, 4000, 2).selectExpr("0 frame", "0 cam", "1 mask_id", "'car' label", "id * 480 + 100 start", "300L length")
+    points = spark.range(100).selectExpr("0 frame", "0 cam", "id u", "150L v", "1.0D depth")
+    held = targets.kept_in_masks(points, runs, replace(sightings.RULES, erode=1))
+    held.collect()
+    plan = held._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "BroadcastHashJoin" not in plan and {r["gone"] for r in held.collect()} == {"boundary"}
