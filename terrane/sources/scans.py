@@ -31,6 +31,8 @@ from terrane.sources import ply
 
 #: Bytes of records that a partition reads, rows that a batch holds, and bytes up to which a gap between rows is read over.
 PARTITION_BYTES, BATCH, GAP = 64 << 20, 1 << 16, 1 << 16
+#: Ranges beyond which those smaller than PARTITION_BYTES grow, so that their number doesn't follow the input.
+MOST_RANGES = 512
 #: Bytes of a file that its header is looked for in.
 HEAD = 1 << 16
 
@@ -289,8 +291,9 @@ class RecordReader(DataSourceReader):
         options = self.source.options
         stride, most = max(1, int(options.get("stride", 1))), int(options.get("max_points", 0))
         size = int(options.get("partition_bytes", PARTITION_BYTES))
-        out = []
-        for path, layout in self.source.layouts():
+        out, layouts = [], list(self.source.layouts())
+        size = max(size, min(PARTITION_BYTES, sum(layout.count // stride * layout.width for _, layout in layouts) // MOST_RANGES))
+        for path, layout in layouts:
             if options.get("rows"):
                 wanted = np.unique(np.array([int(r) for r in options["rows"].split(",")]))
                 wanted = wanted[(wanted >= 0) & (wanted < layout.count)]

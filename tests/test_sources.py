@@ -277,3 +277,11 @@ def test_text_files_with_their_own_counts_and_comments(spark, tmp_path):
         (tmp_path / f"{k}.ply").write_text("ply\nformat ascii 1.0\n" + "comment x\n" * k + f"element vertex {count}\nproperty int n\nend_header\n{body}")
     back = ply.read(spark, str(tmp_path), ply.header_of(spark, str(tmp_path)))
     assert sorted((r["row"], r["n"]) for r in back.collect()) == sorted((n, k * 10 + n) for k, count in enumerate((2, 5, 3)) for n in range(count))
+
+
+def test_small_ranges_grow_with_the_input(spark, tmp_path, monkeypatch):
+    points = spark.range(2000).selectExpr("id AS row_id", "CAST(id AS double) AS x", "0.0D AS y", "1.0D AS z")
+    scans.write_points(points.coalesce(1), str(tmp_path / "out"), {"x": "float", "y": "float", "z": "float"})
+    found = scans.read(spark, str(tmp_path / "out"), partition_bytes=12)
+    assert found.rdd.getNumPartitions() <= 2 * scans.MOST_RANGES
+    assert sorted(r["x"] for r in found.select("x").collect()) == [float(k) for k in range(2000)]
