@@ -148,5 +148,4 @@ def surface_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rules = planes.Rules(planes=3, distance=0.06, least=60, rest=20, cell=3.0, piece=10)
     rows = points(spark, sf_dir).withColumn("kind", F.concat_ws("-", "label", F.col("cam")))
-    parts = planes.split(rows, "kind", rules)
-    return planes.surface_labels(rows.select("kind", "label", "point_id", "x", "y", "z"), parts, "kind", "label", rules)
+    return planes.surfaces(rows, "kind", "label", rules)

@@ -46,3 +46,27 @@ def test_no_plane_in_a_line():
     assert planes.found_plane(line, planes.Rules(), 1) is None and planes.found_plane(line[:2], planes.Rules(), 1) is None
     a, b, c, d = planes.found_plane(np.concatenate((line, line + [0, 1, 0])) + [0, 0, 2], planes.Rules(), 1)
     assert abs(abs(c) - 1) < 1e-9 and abs(abs(d) - 2) < 1e-9 and abs(a) + abs(b) < 1e-9
+
+
+def test_points_are_kept_once_whatever_the_rounds(spark, monkeypatch):
+    rows = scene(5)
+    frame = spark.createDataFrame([r[:6] for r in rows], "target long, label string, point_id long, x double, y double, z double").repartition(3)
+    rules, keep, kept = planes.Rules(distance=0.02, least=100, rest=50, sample=30, cell=0.5, piece=20), planes.Scratch.keep, []
+
+    def spy(self, df):
+        out = keep(self, df)
+        kept.append(out[0].count())
+        return out
+
+    want = {tuple(r) for r in planes.surface_labels(frame, planes.split(frame, "target", rules), "target", "label", rules).collect()}
+    monkeypatch.setattr(planes.Scratch, "keep", spy)
+    assert {tuple(r) for r in planes.surfaces(frame, "target", "label", rules).collect()} == want and len(want) > 5
+    assert sum(n for n in kept if n > len(rows) / 2) == len(rows)
+
+
+def test_ids_that_repeat_and_targets_without_a_name_keep_their_rows(spark):
+    # all of target 1 have one id, and so one hash: below a hash either none or all pass
+    rows = [(1, 7, 0.01 * k, 0.01 * (k * 37 % 100), 0.0) for k in range(600)] + [(1, 7, 0.01 * k, 0.0, 5.0 + k) for k in range(9)] + [(None, 8, 1.0, 1.0, 1.0)] * 3
+    frame = spark.createDataFrame(rows, "target long, point_id long, x double, y double, z double")
+    got = planes.split(frame, "target", planes.Rules(planes=1, distance=0.02, least=100, sample=40, cell=0.5, piece=20)).groupBy("target", "plane").count().collect()
+    assert {(r[0], r[1]): r[2] for r in got} == {(1, 1): 600, (1, 0): 9, (None, 0): 3}
