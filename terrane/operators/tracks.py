@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from itertools import product
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -240,33 +242,37 @@ def plane_splits(points: DataFrame, target: str, most_planes: int, within: float
     """(target, point_id, plane): planes found in each target by random samples of three points, the rest 0.
 
     The seed of a target is `seed` plus its number of points; points are in order of id. A plane takes all
-    points within `within` of it, if they are at least `least`.
+    points within `within` of it, if they are at least `least`. Only the columns that are read are moved.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("point_id")
-        xyz, plane = rows[["x", "y", "z"]].to_numpy(float), np.zeros(len(rows), np.int32)
-        rng = np.random.default_rng(seed + len(rows))
+    def fold(rows: pa.Table) -> pa.Table:
+        order = pc.sort_indices(rows["point_id"]).to_numpy()
+        xyz, plane = np.column_stack([rows[c].to_numpy()[order] for c in "xyz"]), np.zeros(rows.num_rows, np.int32)
+        rng = np.random.default_rng(seed + rows.num_rows)
         for number in range(1, most_planes + 1):
             left = np.flatnonzero(plane == 0)
             if len(left) < max(least, 3):
                 break
-            best = np.zeros(0, np.int64)
-            for _ in range(tries):
-                a, b, c = xyz[rng.choice(left, 3, replace=False)]
-                normal = np.cross(b - a, c - a)
-                size = np.linalg.norm(normal)
+            own, best, most = xyz[left], None, 0
+            corners = xyz[np.array([rng.choice(left, 3, replace=False) for _ in range(tries)], np.int64).reshape(-1, 3)]
+            normals = np.cross(corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0])
+            for a, normal in zip(corners[:, 0], normals, strict=True):
+                size = math.sqrt(normal.dot(normal))
                 if size > 1e-9:
-                    near = left[np.abs((xyz[left] - a) @ (normal / size)) <= within]
-                    if len(near) > len(best):
-                        best = near
-            if len(best) < least:
+                    near = np.abs((own - a) @ (normal / size)) <= within
+                    count = np.count_nonzero(near)
+                    if count > most:
+                        best, most = near, count
+            if most < least or best is None:
                 break
-            plane[best] = number
-        return pd.DataFrame({target: rows[target], "point_id": rows["point_id"], "plane": plane})
+            plane[left[best]] = number
+        placed = np.empty_like(plane)
+        placed[order] = plane
+        return pa.table({target: rows[target], "point_id": rows["point_id"], "plane": placed})
 
     kind = points.schema[target].dataType.simpleString()
-    return points.groupBy(target).applyInPandas(fold, f"{target} {kind}, point_id long, plane int")
+    read = points.select(target, F.col("point_id").cast("long").alias("point_id"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    return read.groupBy(target).applyInArrow(fold, f"{target} {kind}, point_id long, plane int")
 
 
 def associated(tracks_: DataFrame, least_gap: int, most_gap: int, tiers: list[tuple[str, float, float, float]]) -> DataFrame:
