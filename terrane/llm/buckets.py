@@ -15,20 +15,22 @@ from terrane.llm.shared import Scratch
 BLOCK = 2048
 
 
-def block_pairs(rows: DataFrame, bucket: str, salt: Column, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+def block_pairs(rows: DataFrame, bucket: str, salt: Column, scratch: Scratch, block: int = BLOCK, weight: str | None = None) -> DataFrame:
     """`rows` with `i`, `j` (the pair of blocks) and `side` (which of the two a row is in).
 
     A bucket of up to `block` rows is the single pair (0, 0). A larger one is dealt by `salt` into n blocks
     of about `block` rows, and each row goes to the n pairs of its block, so a group to compare never has
     more than about two blocks, however many rows share a bucket. The bucket sizes are counted with map-side
     combining; only those of large buckets are kept and joined, so rows aren't moved for it while they are few.
+    A row counts as its `weight`, where that column is named, which is left out of the result.
     """
-    large, _ = scratch.keep(rows.groupBy(F.col(bucket).alias("__bucket")).agg(F.count("*").alias("__n")).filter(F.col("__n") > block))
+    total = F.sum(weight) if weight else F.count("*")
+    large, _ = scratch.keep(rows.groupBy(F.col(bucket).alias("__bucket")).agg(total.alias("__n")).filter(F.col("__n") > block))
     dealt = rows.join(large, F.col(bucket) == F.col("__bucket"), "left").withColumn("__blocks", F.coalesce(F.ceil(F.col("__n") / block), F.lit(1)).cast("int"))
     own = F.pmod(salt, F.col("__blocks")).cast("int")
     paired = dealt.withColumn("__own", own).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     return paired.select(
-        *rows.columns,
+        *[c for c in rows.columns if c != weight],
         F.least("__own", "__other").alias("i"),
         F.greatest("__own", "__other").alias("j"),
         F.when(F.col("__own") <= F.col("__other"), 0).otherwise(1).alias("side"),

@@ -13,17 +13,19 @@ from pyspark.sql import functions as F
 from terrane.llm.buckets import BLOCK, Forest, block_pairs, group_starts, whole_groups
 from terrane.llm.components import connected_components
 from terrane.llm.shared import Scratch, packed, raw_texts, text_slices, trimmed
-from terrane.llm.substrings import mixed, plain_text, squeezed, word_names
+from terrane.llm.substrings import mixed, word_names
 
 SEED = 42
-#: Longs of a wide fingerprint: two and a half of them are cut into segments of 16 bits, the third is a sketch that buckets compare.
+#: Longs of a wide fingerprint, of which the first two and a half are cut into segments of 16 bits.
 LONGS, SEGMENTS, SEGMENT_BITS = 4, 10, 16
 #: Standard deviations of a distance beyond that of the similarity that candidates may have, and by which those are nearer that need no comparison of sets.
 SLACK, SURE = 3.0, 2.75
-#: Bits of a sketch's distance that count as one in the order of a forest, and further passes over what failed, each by another sketch.
-COARSE, PASSES = 8, 2
-#: Pairs of a bucket that are joined before those that are joined by then are left out of the next.
+#: Pairs that are joined before those that are joined by then are left out of the next.
 CHUNK = 1 << 14
+#: Shingles of a group that one block holds, and those that a set counts as besides its own.
+SET_BLOCK, SET_WEIGHT = 1 << 18, 64
+#: Sets beyond which a shingle that they share is counted by a product of matrices, of so many rows and columns at a time.
+COMMON, STRIP, COLUMNS = 16, 256, 512
 LONG_NAMES = tuple(f"f{k}" for k in range(LONGS))
 
 
@@ -87,36 +89,26 @@ def links(classes: DataFrame, scratch: Scratch, most: int = 4, block: int = BLOC
     `classes` has (fp, rep), a row for each distinct fingerprint. Within a bucket a spanning forest of the
     links at `most` bits or fewer is given, not all pairs; together they have the components of all links.
     """
-    return _bucket_edges(block_pairs(variants(classes, most), "bucket", F.xxhash64("fp"), scratch, block), classes, most, False)
-
-
-def _bucket_edges(paired: DataFrame, classes: DataFrame, most: int, nearest: bool) -> DataFrame:
-    """Distinct (src, dst) of the forests of all pairs of blocks; see _forest."""
+    paired = block_pairs(variants(classes, most), "bucket", F.xxhash64("fp"), scratch, block)
     ordered = paired.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     kind = classes.schema["rep"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["bucket", "i", "j"]):
-            a, b = _forest(table, most, nearest)
+            a, b = _forest(table, most)
             reps = table.column("rep").combine_chunks()
             yield pa.RecordBatch.from_arrays([reps.take(pa.array(a, pa.int64())), reps.take(pa.array(b, pa.int64()))], names=["src", "dst"])
 
     return ordered.mapInArrow(trimmed(run), f"src {kind}, dst {kind}").distinct()
 
 
-def _forest(table: pa.Table, most: int, nearest: bool = False) -> tuple[list[int], list[int]]:
-    """Positions of a spanning forest of the links at `most` bits or fewer in each group.
-
-    If `nearest`, of the least distances in steps of COARSE bits, among those to the least representatives, so that the
-    forests of many buckets have edges in common. Rows of one `part`, where there is such a column, are one from the start.
-    """
+def _forest(table: pa.Table, most: int) -> tuple[list[int], list[int]]:
+    """Positions of a spanning forest of the links at `most` bits or fewer in each group."""
     n = table.num_rows
     fp, side = table.column("fp").to_numpy().view(np.uint64), table.column("side").to_numpy()
     alike = table.column("i").to_numpy() == table.column("j").to_numpy()
     starts = group_starts(table, ["bucket", "i", "j"])
     ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
-    if nearest:
-        return _nearest_forest(table, fp, side, alike, starts, ends, most)
     at = np.arange(n)
     forest, first, second = Forest(n), [], []
     step = 1
@@ -131,54 +123,49 @@ def _forest(table: pa.Table, most: int, nearest: bool = False) -> tuple[list[int
     return first, second
 
 
-def _nearest_forest(table: pa.Table, fp: np.ndarray, side: np.ndarray, alike: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int) -> tuple[list[int], list[int]]:
+def _sure_forest(table: pa.Table, sure: int, far: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of a spanning forest of the pairs at `far` bits or fewer in each group, and which are at `sure` or fewer.
+
+    Those are joined before the others, so what they connect in a group the forest's connect too; among equals the pairs
+    of the least representatives, so that the forests of many buckets have edges in common.
+    """
     n = table.num_rows
-    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    starts = group_starts(table, ["bucket", "i", "j"])
+    counts = np.diff(np.append(starts, n))
+    ends = np.repeat(starts + counts, counts)
     # in order of representatives, a pair's places are its rank
-    order = np.lexsort((table.column("rep").to_numpy(), group))
-    fp, side = fp[order], side[order]
-    part = table.column("part").to_numpy()[order] if "part" in table.column_names else None
+    order = np.lexsort((table.column("rep").to_numpy(), np.repeat(np.arange(len(starts)), counts)))
+    longs = [table.column(name).to_numpy().view(np.uint64)[order] for name in LONG_NAMES]
+    side, alike = table.column("side").to_numpy()[order], table.column("i").to_numpy() == table.column("j").to_numpy()
     width, at, step, held = n.bit_length(), np.arange(n), 1, []
     while len(at := at[at + step < ends[at]]):
         other = at + step
-        apart = np.bitwise_count(fp[at] ^ fp[other])
-        near = (apart <= most) & (alike[at] | (side[at] != side[other]))
-        if part is not None:
-            near &= part[at] != part[other]
+        bits = np.zeros(len(at), np.int64)
+        for own in longs:
+            bits += np.bitwise_count(own[at] ^ own[other])
+        near = (bits <= far) & (alike[at] | (side[at] != side[other]))
         if near.any():
-            # one long a pair: distance, then the lesser place, then the other
-            held.append((apart[near].astype(np.int64) // COARSE << 2 * width) | (at[near] << width) | other[near])
+            # one long a pair: whether it is not sure, then the lesser place, then the other
+            held.append(((bits[near] > sure).astype(np.int64) << 2 * width) | (at[near] << width) | other[near])
         step += 1
-    forest, first, second = Forest(n), [], []
-    if not held:
-        return first, second
-    pairs = np.concatenate(held)
+    pairs = np.concatenate([np.zeros(0, np.int64), *held])
     held.clear()
     pairs.sort()
-    if part is not None:
-        joined_parts(forest, part, starts, n)
     low = (1 << width) - 1
-    for begin in range(0, len(pairs), CHUNK):
-        chunk = pairs[begin : begin + CHUNK]
-        a, b = chunk >> width & low, chunk & low
+    pairs = pairs[joining(Forest(n), pairs >> width & low, pairs & low)]
+    return order[pairs >> width & low], order[pairs & low], pairs >> 2 * width == 0
+
+
+def joining(forest: Forest, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs of positions, joined one after another, join what was apart."""
+    found = []
+    for begin in range(0, len(a), CHUNK):
         up = np.array(forest.up)
         while not np.array_equal(higher := up[up], up):
             up = higher
-        apart_yet = up[a] != up[b]
-        for x, y in zip(a[apart_yet].tolist(), b[apart_yet].tolist(), strict=True):
-            if forest.join(x, y):
-                first.append(int(order[x]))
-                second.append(int(order[y]))
-    return first, second
-
-
-def joined_parts(forest: Forest, part: np.ndarray, starts: np.ndarray, n: int) -> None:
-    """Joins the rows of each group that are of one part."""
-    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
-    order = np.lexsort((part, group))
-    same = (part[order[1:]] == part[order[:-1]]) & (group[order[1:]] == group[order[:-1]])
-    for k in np.flatnonzero(same).tolist():
-        forest.join(int(order[k]), int(order[k + 1]))
+        apart_yet = begin + np.flatnonzero(up[a[begin : begin + CHUNK]] != up[b[begin : begin + CHUNK]])
+        found += [k for k, x, y in zip(apart_yet.tolist(), a[apart_yet].tolist(), b[apart_yet].tolist(), strict=True) if forest.join(x, y)]
+    return np.array(found, np.int64)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 4, most: int = 4, block: int = BLOCK) -> DataFrame:
@@ -245,59 +232,116 @@ def far_bits(similarity: float, bits: int, slack: float = 0.0) -> float:
     return mean + slack * math.sqrt(mean * (1 - mean / bits))
 
 
-def wide_variants(classes: DataFrame, sketch: str, *extra: str) -> DataFrame:
-    """(bucket, fp, rep): the sketch, one of the longs, of each class under each one-wildcard variant of each of its segments."""
+def wide_variants(classes: DataFrame) -> DataFrame:
+    """(bucket, f0, f1, ..., rep): each class under each one-wildcard variant of each of its segments."""
     wild = F.col("wild")
-    dealt = classes.select(*LONG_NAMES, "rep", *extra).repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    spread = dealt.select("f0", "f1", "f3", F.col(sketch).alias("fp"), "rep", *extra, F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * SEGMENT_BITS - 1))).alias("wild"))
-    long, bit = F.when(wild < 64, F.col("f0")).when(wild < 128, F.col("f1")).otherwise(F.col("f3")), F.pmod(wild, F.lit(64))
-    spread = spread.select("fp", "rep", *extra, "wild", long.alias("own"), (F.floor(bit / SEGMENT_BITS) * SEGMENT_BITS).cast("int").alias("off"), bit.cast("int").alias("bit"))
+    dealt = classes.select(*LONG_NAMES, "rep").repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = dealt.select(*LONG_NAMES, "rep", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * SEGMENT_BITS - 1))).alias("wild"))
+    long, bit = F.when(wild < 64, F.col("f0")).when(wild < 128, F.col("f1")).otherwise(F.col("f2")), F.pmod(wild, F.lit(64))
+    spread = spread.select(*LONG_NAMES, "rep", "wild", long.alias("own"), (F.floor(bit / SEGMENT_BITS) * SEGMENT_BITS).cast("int").alias("off"), bit.cast("int").alias("bit"))
     kept = f"shiftrightunsigned(own & ~shiftleft(1L, bit), off) & {(1 << SEGMENT_BITS) - 1}L"
-    return spread.select(F.expr(f"shiftleft({kept}, 8) | wild").alias("bucket"), "fp", "rep", *extra)
-
+    return spread.select(F.expr(f"shiftleft({kept}, 8) | wild").alias("bucket"), *LONG_NAMES, "rep")
 
-def sketch_limit(similarity: float) -> int:
-    return round(far_bits(similarity, 64, SLACK))
 
+def candidate_edges(classes: DataFrame, scratch: Scratch, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(src, dst, sure) of candidates that agree in a segment but for one bit and whose whole fingerprints may be those of sets of `similarity`.
 
-def apart(edges: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst, apart) of the edges whose whole fingerprints may be those of sets of `similarity`."""
-    near = edges
-    for end in ("src", "dst"):
-        near = near.join(classes.select(F.col("rep").alias(end), *(F.col(n).alias(f"{end}_{n}") for n in LONG_NAMES)), end)
-    bits = sum((F.bit_count(F.col(f"src_{n}").bitwiseXOR(F.col(f"dst_{n}"))) for n in LONG_NAMES), F.lit(0))
-    return near.select("src", "dst", bits.cast("int").alias("apart")).filter(F.col("apart") <= round(far_bits(similarity, 64 * LONGS, SLACK)))
+    Of each bucket a forest of all its candidates, first of those whose fingerprints are near enough to be sure.
+    """
+    paired = block_pairs(wide_variants(classes), "bucket", F.xxhash64(*LONG_NAMES), scratch, block)
+    ordered = paired.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    sure, far = round(far_bits(similarity, 64 * LONGS, -SURE)), round(far_bits(similarity, 64 * LONGS, SLACK))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["bucket", "i", "j"]):
+            a, b, is_sure = _sure_forest(table, sure, far)
+            reps = table.column("rep").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(reps[a], reps[b])), pa.array(np.maximum(reps[a], reps[b])), pa.array(is_sure)], names=["src", "dst", "sure"])
 
-def candidate_edges(classes: DataFrame, scratch: Scratch, similarity: float, sketch: str, block: int = BLOCK) -> DataFrame:
-    """(src, dst, apart): candidates that agree in a segment but for one bit, of each bucket a forest by sketch distances; between `part`s, where classes have such a column."""
-    extra = ["part"] if "part" in classes.columns else []
-    rows = wide_variants(classes, sketch, *extra)
-    edges = _bucket_edges(block_pairs(rows, "bucket", F.xxhash64("fp"), scratch, block), classes, sketch_limit(similarity), True)
-    return apart(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), classes, similarity)
+    return ordered.mapInArrow(trimmed(run), "src long, dst long, sure boolean").distinct()
 
 
-def alike(edges: DataFrame, classes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(src, dst, alike): whether the shingle sets of the classes' texts have a Jaccard similarity of `similarity` or more."""
-    ends = edges.select(F.col("src").alias("rep")).unionByName(edges.select(F.col("dst").alias("rep"))).distinct()
-    wanted = classes.join(ends, "rep").select("rep", "doc_id", "hash")
+def class_sets(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(rep, n, shingles): the distinct shingles of each class's text and their number."""
     named = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("own"), "text")
-    rows = squeezed(named.join(wanted, (F.col("id") == F.col("doc_id")) & (F.col("own") == F.col("hash"))).select("rep", "text"))
-    texts = rows.groupBy("rep").agg(F.first("packed").alias("packed"))
-    both = edges.select("src", "dst")
-    for end in ("src", "dst"):
-        both = both.join(texts.select(F.col("rep").alias(end), F.col("packed").alias(f"{end}_text")), end)
+    rows = named.join(classes.select("rep", "doc_id", "hash"), (F.col("id") == F.col("doc_id")) & (F.col("own") == F.col("hash"))).select("rep", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for first, second in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = shingle_sets([plain_text(first.as_py()) or b"", plain_text(second.as_py()) or b""], size)
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                out.append(shared >= similarity * (len(a) + len(b) - shared) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=["src", "dst", "alike"])
+        for batch in text_slices(batches):
+            sets = list(shingle_sets(raw_texts(batch), size))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rep", "n", "shingles"])
+
+    return rows.mapInArrow(trimmed(run), "rep long, n long, shingles binary").groupBy("rep").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
 
-    return both.select("src", "dst", "src_text", "dst_text").mapInArrow(trimmed(run), "src long, dst long, alike boolean")
+
+def set_edges(sets: DataFrame, scratch: Scratch, similarity: float, block: int = SET_BLOCK) -> DataFrame:
+    """(src, dst) that join, in every group, all parts with sets of a Jaccard similarity of `similarity` or more.
+
+    `sets` has (rep, group, part, n, shingles). All sets of a group that are of different parts are compared, in pairs of
+    blocks of some `block` shingles; of each pair of blocks a forest is given, not all links.
+    """
+    weighed = sets.withColumn("weight", F.col("n") + SET_WEIGHT).drop("n")
+    paired = block_pairs(weighed, "group", F.xxhash64("rep"), scratch, block, "weight")
+    ordered = paired.select("group", "i", "j", "side", "rep", "part", "shingles").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["group", "i", "j"]):
+            src, dst = [], []
+            starts = group_starts(table, ["group", "i", "j"])
+            for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
+                rows = table.slice(begin, end - begin)
+                part, reps = rows.column("part").to_numpy(), rows.column("rep").to_numpy()
+                if (part == part[0]).all():
+                    continue
+                side = rows.column("side").to_numpy() if rows.column("i")[0] != rows.column("j")[0] else None
+                a, b = _set_forest([np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")], part, side, similarity)
+                src.append(reps[a])
+                dst.append(reps[b])
+            if src:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
+
+    return ordered.mapInArrow(trimmed(run), "src long, dst long")
+
+
+def _set_forest(sets: list[np.ndarray], part: np.ndarray, side: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of a forest of the links between different parts, and different sides if there are any, that joins the parts."""
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    row, name = np.repeat(np.arange(n), sizes), np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(name, kind="stable")
+    row, name = row[order], name[order]
+    shares = np.bincount(name)
+    common = shares[name] > COMMON
+    rare, rare_name = row[~common], name[~common]
+    row, column = row[common], (np.cumsum(shares > COMMON) - 1)[name[common]]
+    columns = int(column[-1]) + 1 if len(column) else 0
+    # rows of one part are one from the start
+    forest, of_part = Forest(n), np.argsort(part, kind="stable")
+    joining(forest, of_part[:-1][same := part[of_part[1:]] == part[of_part[:-1]]], of_part[1:][same])
+    first, second = [], []
+    for begin in range(0, n, STRIP):
+        end = min(begin + STRIP, n)
+        shared = np.zeros((end - begin, n), np.float32)
+        for left in range(0, columns, COLUMNS):
+            lo, hi = np.searchsorted(column, (left, left + COLUMNS))
+            dense = np.zeros((n, COLUMNS), np.float32)
+            dense[row[lo:hi], column[lo:hi] - left] = 1
+            shared += dense[begin:end] @ dense.T
+        for step in range(1, COMMON):
+            same = rare_name[step:] == rare_name[:-step]
+            if not same.any():
+                break
+            a, b = rare[:-step][same], rare[step:][same]
+            own = (a >= begin) & (a < end)
+            np.add.at(shared, (a[own] - begin, b[own]), 1)
+        union = sizes[begin:end, None] + sizes - shared.astype(np.float64)
+        near = (shared >= similarity * union - 1e-9) & (part[begin:end, None] != part) & (np.arange(begin, end)[:, None] < np.arange(n))
+        if side is not None:
+            near &= side[begin:end, None] != side
+        a, b = np.nonzero(near)
+        found = joining(forest, a + begin, b)
+        first.append(a[found] + begin)
+        second.append(b[found])
+    return np.concatenate(first), np.concatenate(second)
 
 
 def parted(spark: SparkSession, edges: DataFrame, reps: DataFrame) -> DataFrame:
@@ -306,42 +350,30 @@ def parted(spark: SparkSession, edges: DataFrame, reps: DataFrame) -> DataFrame:
     return reps.join(parts, reps["rep"] == parts["node"], "left").select("rep", F.coalesce("component", "rep").alias("part"))
 
 
-def across(edges: DataFrame, parts: DataFrame) -> DataFrame:
-    """Edges between different parts, with both."""
-    for end in ("src", "dst"):
-        edges = edges.join(parts.select(F.col("rep").alias(end), F.col("part").alias(f"{end}_part")), end)
-    return edges.filter("src_part <> dst_part")
-
-
-def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
+def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, similarity: float = 0.8, block: int = BLOCK, set_block: int = SET_BLOCK) -> DataFrame:
     """(doc_id, hash, part, first_id, first_hash) of each row with a doc_id: its group of similar texts, and the row of least doc_id that stands for it.
 
     Equal fingerprints are one class. Of each bucket a forest of candidates is taken, so hot groups never make pairs.
-    Those SURE standard deviations nearer than sets at `similarity` are links by their fingerprints; of the others, the
-    ones between parts that those leave apart are compared by their sets of shingles. Where such a candidate fails, a
-    forest may have passed over a link beside it: parts that touch one that failed are looked at again, between parts
-    and by another sketch, at most PASSES times. A link is lost if no segment agrees or if all sketches mislead.
+    Those SURE standard deviations nearer than sets at `similarity` are links by their fingerprints and make parts. Where
+    all candidates connect more than one part, all classes of those parts are compared by their sets of shingles, each with
+    each of another part, so a forest passes over no link and none is left out. A link is lost only if no segment agrees
+    and no chain of candidates leads from one end to the other.
     """
     scratch = Scratch(spark, "similar")
     docs = docs.filter("doc_id is not null")
     found, _ = scratch.keep(wide_fingerprints(docs, size))
     classes = found.groupBy(*LONG_NAMES).agg(F.min(F.struct("doc_id", "uid", "hash")).alias("first"))
     classes, _ = scratch.keep(classes.select(*LONG_NAMES, F.col("first.uid").alias("rep"), "first.doc_id", "first.hash"))
-    reps = classes.select("rep")
-    sure = F.col("apart") <= round(far_bits(similarity, 64 * LONGS, -SURE))
-    links, parts, left = None, reps.withColumn("part", F.col("rep")), classes
-    for sketch in ("f2", "f3", "f0")[: 1 + PASSES]:
-        edges, _ = scratch.keep(candidate_edges(left, scratch, similarity, sketch, block))
-        links = edges.filter(sure).select("src", "dst") if links is None else links.unionByName(edges.filter(sure).select("src", "dst"))
-        parts, _ = scratch.keep(parted(spark, links, reps))
-        tried, _ = scratch.keep(alike(across(edges.filter(~sure), parts), classes, docs, size, similarity))
-        links = links.unionByName(tried.filter("alike").select("src", "dst"))
-        parts, _ = scratch.keep(parted(spark, links, reps))
-        failed = across(tried.filter("not alike"), parts)
-        open_, _ = scratch.keep(failed.select(F.col("src_part").alias("part")).unionByName(failed.select(F.col("dst_part").alias("part"))).distinct())
-        if open_.isEmpty():
-            break
-        left = classes.join(parts.join(open_, "part", "left_semi"), "rep")
+    edges, _ = scratch.keep(candidate_edges(classes, scratch, similarity, block))
+    links = edges.filter("sure").select("src", "dst")
+    parts = parted(spark, links, classes.select("rep"))
+    chained = connected_components(spark, edges.select("src", "dst"))
+    placed, _ = scratch.keep(chained.join(parts, F.col("node") == F.col("rep")).select("rep", "part", F.col("component").alias("group")))
+    open_ = placed.groupBy("group").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least <> most").select("group")
+    left, _ = scratch.keep(classes.join(placed.join(open_, "group", "left_semi"), "rep").select("rep", "doc_id", "hash", "group", "part"))
+    sets, _ = scratch.keep(class_sets(left, docs, size).join(left.select("rep", "group", "part"), "rep"))
+    compared, _ = scratch.keep(set_edges(sets, scratch, similarity, set_block))
+    parts = parted(spark, links.unionByName(compared), classes.select("rep"))
     named = classes.join(parts, "rep").select(*LONG_NAMES, "part")
     rows, _ = scratch.keep(found.join(named, list(LONG_NAMES)).select("uid", "doc_id", "hash", "part"))
     first = rows.groupBy("part").agg(F.min(F.struct("doc_id", "uid", "hash")).alias("first"))

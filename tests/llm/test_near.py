@@ -135,6 +135,41 @@ def test_a_link_beside_nearer_candidates_that_fail(spark):
     assert got == roots(sets, pairs)
 
 
+def test_every_link_of_a_large_group_of_near_copies(spark):
+    rng = random.Random(4)
+    words, rows = [f"w{k}" for k in range(150)], []
+    for d in range(300):
+        places = set(rng.sample(range(150), rng.randint(0, 9)))
+        own = [f"o{rng.getrandbits(40)}" if k in places else w for k, w in enumerate(words)]
+        rows.append((3 * d, own))
+        # some have a partner that is near them alone
+        rows.append((3 * d + 1, ["p" if k == 75 else w for k, w in enumerate(own)])) if d % 5 == 0 else None
+    sets = {d: shingle_set(" ".join(w)) for d, w in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and likeness(sets[a], sets[b]) >= 0.8]
+    want = roots(sets, pairs)
+    assert 50 < sum(d == r for d, r in want.items()) and max(list(want.values()).count(r) for r in set(want.values())) > 100
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(spark, docs).collect()} == want
+
+
+def test_sets_of_different_parts_are_all_compared_in_small_blocks(spark):
+    rng = np.random.default_rng(6)
+    base, rows = rng.integers(1, 1 << 60, 100), []
+    for k in range(90):
+        own = base.copy() if k % 3 else rng.integers(1, 1 << 60, 100)
+        own[rng.choice(100, rng.integers(0, 16), False)] = rng.integers(1, 1 << 60)
+        own = np.unique(own).astype(np.uint64)
+        rows.append((k, k % 2, (k // 10) * 10 if k < 20 else k, len(own), own.tobytes()))
+    sets = {k: (g, p, set(np.frombuffer(x, np.uint64).tolist())) for k, g, p, _, x in rows}
+    same = [(a, b) for a in sets for b in sets if sets[a][:2] == sets[b][:2]]
+    close = [(a, b) for a in sets for b in sets if sets[a][0] == sets[b][0] and likeness(sets[a][2], sets[b][2]) >= 0.8]
+    frame = spark.createDataFrame(rows, "rep long, group long, part long, n long, shingles binary")
+    for block in (1000, 1 << 18):
+        found = [(r["src"], r["dst"]) for r in simhash.set_edges(frame, shared.Scratch(spark, "test"), 0.8, block).collect()]
+        assert set(found) <= {*close, *((b, a) for a, b in close)} and roots(sets, same + found) == roots(sets, same + close)
+        assert len(found) < len(rows) * (1 if block > 1000 else 10)
+
+
 def test_unlike_rows_of_one_id_stay(spark):
     texts = [" ".join(f"{c}{k}" for k in range(50)) for c in "abc"]
     docs = spark.createDataFrame([(1, texts[0], 1), (1, texts[1], 2), (1, texts[1], 3), (2, texts[0], 4), (3, texts[2], 5)], "doc_id long, text string, stay_id int")
