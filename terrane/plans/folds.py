@@ -157,12 +157,12 @@ TOKENS = "list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(
 
 
 @query(
-    f"WITH t AS (SELECT p_partkey AS id, {TOKENS.format('p_name || chr(32) || p_type || chr(32) || p_brand')} AS w FROM part), c AS (SELECT w, min(id) AS id FROM t WHERE len(w) > 0 GROUP BY 1), m AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS u FROM c a JOIN c b ON a.id < b.id) SELECT a, b, round(i / u, 6) AS likeness FROM m WHERE i / u >= 0.9 UNION ALL SELECT c.id, t.id, 1.0::DOUBLE FROM t JOIN c USING (w) WHERE t.id > c.id"
+    f"WITH t AS (SELECT p_partkey AS id, {TOKENS.format('p_name || chr(32) || p_type || chr(32) || p_brand')} AS w FROM part), m AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS u FROM t a JOIN t b ON a.id < b.id) SELECT a, b, round(i / u, 6) AS likeness FROM m WHERE i / u >= 0.9"
 )
 def identity_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of classes of equal tokens, by their least part, and each other part of a class with that."""
+    """All pairs of parts that are alike, those of equal tokens too."""
     parts = table(spark, sf_dir, "part").withColumn("text", F.concat_ws(" ", "p_name", "p_type", "p_brand"))
-    return text.best_pairs(parts, "p_partkey", "text", 0.9).withColumn("likeness", F.round("likeness", 6))
+    return text.all_pairs(parts, "p_partkey", "text", 0.9).withColumn("likeness", F.round("likeness", 6))
 
 
 @query("SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name), 'widget|gear') THEN 'machine' WHEN regexp_matches(lower(p_name), 'bolt|ring') THEN 'small' ELSE lower(p_type) END AS label FROM part")
