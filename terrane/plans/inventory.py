@@ -52,7 +52,8 @@ def residual_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = F.abs(F.col("r") - F.col("s_r")) <= 60
     for c in "xyz":
         inside = inside & (F.col(c) >= F.col(f"s_{c}0")) & (F.col(c) <= F.col(f"s_{c}1"))
-    found = objects.assigned(residuals, surfaces, 5.0, inside, F.abs(F.col("z") - F.col("s_z")) + F.abs(F.col("r") - F.col("s_r")) / 255, 1.0)
+    apart = [(F.col("z"), F.col("s_z"), 1.0), (F.col("r") / 255, F.col("s_r") / 255, 60 / 255)]
+    found = objects.assigned(residuals, surfaces, 5.0, inside, F.abs(F.col("z") - F.col("s_z")) + F.abs(F.col("r") - F.col("s_r")) / 255, 1.0, apart)
     return found.withColumn("cost", F.round("cost", 6))
 
 
