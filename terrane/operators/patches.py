@@ -11,12 +11,12 @@ from terrane.functions.geometry import eigenvalues
 BUCKETS = ("unknown", "horizontal", "vertical", "thin_linear", "rough_mixed")
 
 
-def sums(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums that make all statistics of a patch and that merge by adding."""
+def sums(points: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """Sums that make all statistics of a patch and that merge by adding, and `more` of the same rows."""
     one = [F.sum(c).alias(f"s{c}") for c in "xyzrgb"]
     two = [F.sum(F.col(a) * F.col(b)).alias(f"s{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")]
     ends = [f(c).alias(f"{c}{k}") for c in "xyz" for k, f in ((0, F.min), (1, F.max))]
-    return points.groupBy(*keys).agg(F.count("*").alias("n"), *one, *two, *ends)
+    return points.groupBy(*keys).agg(F.count("*").alias("n"), *one, *two, *ends, *more)
 
 
 def merged(parts: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from terrane.functions.geometry import eigenvalues
 from terrane.operators import neighbours
 from terrane.operators.graph import components
-from terrane.operators.patches import sums
+from terrane.operators.lineage import Scratch
+from terrane.operators.patches import merged, sums
 from terrane.operators.voxels import KEY
 
 #: Pixels of a block in which runs and points meet.
 BLOCK = 1 << 12
 IMAGE = ("frame", "cam")
+MASK = (*IMAGE, "mask_id")
 #: Pixels and runs follow each other so evenly that their shuffled bytes tell little of their rows; joins with them are never broadcasts.
 SORTED = "merge"
 
@@ -83,19 +85,27 @@ def inside(pixels: DataFrame, runs: DataFrame, height: int, radius: int) -> Data
 
 
 def kept_in_masks(points: DataFrame, runs: DataFrame, rules: Rules) -> DataFrame:
-    """Points with their masks and `gone`: null, or boundary or depth where the mask's erosion or a nearer front leaves them out."""
-    held = in_masks(points, runs.filter(~F.col("label").isin(*rules.skip)), rules.height)
+    """Points with their masks and `gone`: null, or boundary or depth where the mask's erosion or a nearer front leaves them out.
+
+    What masks and fronts say is told for pixels, which are kept once; points, however many a pixel has, look up theirs.
+    """
+    pixel, scratch = [*IMAGE, "u", "v"], Scratch(points.sparkSession, "pixels")
+    fronts = rules.window > 0 and rules.depth_edge > 0
+    pixels, _ = scratch.keep(points.groupBy(*pixel).agg(F.min("depth").alias("depth")) if fronts else points.select(*pixel).distinct())
+    told = in_masks(pixels.select(*pixel), runs.filter(~F.col("label").isin(*rules.skip)), rules.height)
     gone = F.lit(None).cast("string")
-    if rules.window > 0 and rules.depth_edge > 0:
-        held = held.join(front_depths(points, rules.window).hint(SORTED), [*IMAGE, "u", "v"])
+    if fronts:
+        told = told.join(front_depths(pixels, rules.window).hint(SORTED), pixel)
         gone = F.when(listed(F.col("label"), rules.depth_labels) & (F.col("depth") > F.col("front") + rules.depth_edge), "depth").otherwise(gone)
     if rules.erode > 0:
+        told, _ = scratch.keep(told)
         own = runs.filter(~F.col("label").isin(*rules.skip) & listed(F.col("label"), rules.erode_labels) & (F.col("length") > 0))
-        asked = held.filter(listed(F.col("label"), rules.erode_labels)).select(*IMAGE, "mask_id", "u", "v").distinct()
+        asked = told.filter(listed(F.col("label"), rules.erode_labels)).select(*IMAGE, "mask_id", "u", "v").distinct()
         inner = inside(asked, own, rules.height, rules.erode).withColumn("inside", F.lit(True))
-        held = held.join(inner.hint(SORTED), [*IMAGE, "mask_id", "u", "v"], "left")
+        told = told.join(inner.hint(SORTED), [*IMAGE, "mask_id", "u", "v"], "left")
         gone = F.when(listed(F.col("label"), rules.erode_labels) & F.col("inside").isNull(), "boundary").otherwise(gone)
-    return held.withColumn("gone", gone).drop("front", "inside")
+    told, _ = scratch.keep(told)
+    return points.join(told.hint(SORTED), pixel).withColumn("gone", gone).drop("front", "inside")
 
 
 def pieces(points: DataFrame, runs: DataFrame, rules: Rules) -> DataFrame:
@@ -105,20 +115,40 @@ def pieces(points: DataFrame, runs: DataFrame, rules: Rules) -> DataFrame:
     than `least` points are residual and have neither; others are numbered from 0 by size, of equals by their
     least point_id.
     """
-    key = [*IMAGE, "mask_id"]
+    held = _in_cells(points, runs, rules)
+    cells, _ = Scratch(points.sparkSession, "pieces").keep(held.groupBy(*MASK, *KEY, "node").agg(F.count("*").alias("n"), F.min("point_id").alias("least_id")))
+    return held.drop(*KEY).join(_numbered(cells, rules), "node", "left").drop("node")
+
+
+def _in_cells(points: DataFrame, runs: DataFrame, rules: Rules) -> DataFrame:
+    """Points that masks keep, with the cell of their label's size that they are in and its name `node` in their mask."""
     held = kept_in_masks(points, runs, rules).filter("gone is null").drop("gone")
     size = rules.size(F.col("label"))
-    held = held.withColumns({k: F.floor(F.col(c) / size) for k, c in zip(KEY, "xyz", strict=True)}).withColumn("node", F.xxhash64(*key, *KEY))
-    cells = held.select(*key, *KEY, "node").distinct()
+    return held.withColumns({k: F.floor(F.col(c) / size) for k, c in zip(KEY, "xyz", strict=True)}).withColumn("node", F.xxhash64(*MASK, *KEY))
+
+
+def _numbered(cells: DataFrame, rules: Rules) -> DataFrame:
+    """(node, piece, target_id) of the cells (mask, key, node, n, least_id) of pieces that are large enough."""
     steps = F.array(*[F.array(*map(F.lit, s)) for s in neighbours.positive(neighbours.offsets("cube"))])
-    moved = cells.withColumn("s", F.explode(steps)).select("node", F.xxhash64(*key, *[F.col(k) + F.col("s")[n] for n, k in enumerate(KEY)]).alias("b"))
-    edges = moved.join(cells.select(F.col("node").alias("b")), "b").select(F.col("node").alias("a"), "b")
-    named = held.join(components(edges, cells.select("node")), "node").drop("node", *KEY)
-    sizes = named.groupBy(*key, "component").agg(F.count("*").alias("n"), F.min("point_id").alias("least_id")).filter(F.col("n") >= rules.least)
-    order = Window.partitionBy(*key).orderBy(F.desc("n"), "least_id")
-    numbered = sizes.select(*key, "component", (F.row_number().over(order) - 1).alias("piece"))
-    target = F.format_string("t_%04d_cam%d_m%04d_c%02d", *key, "piece")
-    return named.join(numbered, [*key, "component"], "left").drop("component").withColumn("target_id", F.when(F.col("piece").isNotNull(), target))
+    moved = cells.withColumn("s", F.explode(steps)).select("node", F.xxhash64(*MASK, *[F.col(k) + F.col("s")[n] for n, k in enumerate(KEY)]).alias("b"))
+    edges = moved.join(cells.select(F.col("node").alias("b")).distinct(), "b").select(F.col("node").alias("a"), "b")
+    named = cells.join(components(edges, cells.select("node").distinct()), "node")
+    sizes = named.groupBy(*MASK, "component").agg(F.sum("n").alias("n"), F.min("least_id").alias("least_id")).filter(F.col("n") >= rules.least)
+    order = Window.partitionBy(*MASK).orderBy(F.desc("n"), "least_id")
+    numbered = sizes.select(*MASK, "component", (F.row_number().over(order) - 1).alias("piece"))
+    target = F.format_string("t_%04d_cam%d_m%04d_c%02d", *MASK, "piece")
+    return named.select(*MASK, "node", "component").distinct().join(numbered, [*MASK, "component"]).select("node", "piece", target.alias("target_id"))
+
+
+def found(points: DataFrame, runs: DataFrame, rules: Rules) -> DataFrame:
+    """The summaries of pieces. Points are kept once and summed up by cell; targets are sums of their cells, and only ids look up theirs."""
+    scratch = Scratch(points.sparkSession, "found")
+    held, _ = scratch.keep(_in_cells(points, runs, rules).select(*MASK, "label", *KEY, "node", "point_id", *"xyzrgb"))
+    key = [*MASK, "label", *KEY, "node"]
+    cells, _ = scratch.keep(sums(held, key, F.min("point_id").alias("least_id")))
+    told, _ = scratch.keep(_numbered(cells, rules))
+    stats = merged(cells.join(told, "node").drop("node", "least_id", *KEY), ["target_id", *MASK, "piece", "label"])
+    return _summary(stats, held.select("node", "point_id").join(told.select("node", "target_id").hint(SORTED), "node"))
 
 
 def normal(stats: DataFrame) -> DataFrame:
@@ -145,12 +175,16 @@ def normal(stats: DataFrame) -> DataFrame:
 def summaries(found: DataFrame) -> DataFrame:
     """Targets of pieces: label, points, box, centre, mean color, normal, planarity and linearity, and the ids of their points."""
     rows = found.filter("target_id is not null")
-    key = ["target_id", *IMAGE, "mask_id", "piece", "label"]
+    return _summary(sums(rows, ["target_id", *MASK, "piece", "label"]), rows)
+
+
+def _summary(stats: DataFrame, rows: DataFrame) -> DataFrame:
+    """Targets of their sums and of rows (target_id, point_id)."""
+    key = ["target_id", *MASK, "piece", "label"]
     ids = rows.groupBy("target_id").agg(F.array_sort(F.collect_list("point_id")).alias("point_ids"))
-    stats = normal(sums(rows, key))
     means = [(F.col(f"s{c}") / F.col("n")).alias(c) for c in "xyzrgb"]
     ends = [f"{c}{k}" for c in "xyz" for k in (0, 1)]
-    return stats.select(*key, F.col("n").alias("points"), *ends, *means, "nx", "ny", "nz", "planarity", "linearity").join(ids.hint(SORTED), "target_id")
+    return normal(stats).select(*key, F.col("n").alias("points"), *ends, *means, "nx", "ny", "nz", "planarity", "linearity").join(ids.hint(SORTED), "target_id")
 
 
 def residuals(found: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def mask_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seen(spark, sf_dir).drop("label").join(points(spark, sf_dir).select("point_id", "x", "y", "z"), "point_id")
+    return seen(spark, sf_dir, "x", "y", "z").drop("label")
 
 
 @query(
@@ -46,7 +46,7 @@ def mask_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def frame_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets of all frames: pieces of masks in space, with box, centre, color and direction."""
-    return targets.summaries(targets.pieces(placed(spark, sf_dir), mask_runs(spark, sf_dir), RULES))
+    return targets.found(placed(spark, sf_dir), mask_runs(spark, sf_dir), RULES)
 
 
 def sighted(spark: SparkSession, sf_dir: str) -> DataFrame:
